@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from foliograph.plans import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tables.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(tables.SQL)
