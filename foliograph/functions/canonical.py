@@ -50,3 +50,23 @@ def fingerprint(rule_id: Column, input_key: Column, part: Column, slide_id: Colu
         ),
         256,
     )
+
+
+def json_text(x: Column) -> Column:
+    """A string as JSON; null as null."""
+    quoted = F.to_json(F.array(x))
+    return F.when(x.isNull(), "null").otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+
+def json_number(x: Column) -> Column:
+    return F.coalesce(number_text(x.cast("double")), F.lit("null"))
+
+
+def json_list(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def json_object(**values: Column) -> Column:
+    """An object of JSON texts, its keys in order."""
+    pairs = [F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(values.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))

@@ -22,8 +22,7 @@ def matrix(a: Number, b: Number, c: Number, d: Number, e: Number, f: Number) ->
 IDENTITY = (1, 0, 0, 1, 0, 0)
 
 
-def compose(m: Column, n: Column) -> Column:
-    """m after n: n is applied first."""
+def _compose(m: Column, n: Column) -> Column:
     return matrix(
         m["a"] * n["a"] + m["c"] * n["b"], m["b"] * n["a"] + m["d"] * n["b"],
         m["a"] * n["c"] + m["c"] * n["d"], m["b"] * n["c"] + m["d"] * n["d"],
@@ -31,6 +30,11 @@ def compose(m: Column, n: Column) -> Column:
     )
 
 
+def compose(m: Column, n: Column) -> Column:
+    """m after n: n is applied first."""
+    return let(F.struct(m.alias("m"), n.alias("n")), lambda v: _compose(v["m"], v["n"]))
+
+
 def translation(x: Number, y: Number) -> Column:
     return matrix(1, 0, 0, 1, x, y)
 
@@ -40,21 +44,26 @@ def scaling(x: Number, y: Number) -> Column:
 
 
 def shape_matrix(x: Column, y: Column, w: Column, h: Column, degrees: Column, flip_h: Column, flip_v: Column) -> Column:
-    """Flip and rotate (clockwise) about the middle of w by h, then move to x, y; in closed form."""
-    angle = F.radians(degrees)
-    right = (degrees % 90) == 0  # right angles without rounding
-    turns = F.pmod((degrees / 90).cast("long"), F.lit(4))
-    cos = F.when(right, F.element_at(F.array(*[F.lit(v) for v in (1.0, 0.0, -1.0, 0.0)]), (turns + 1).cast("int"))).otherwise(F.cos(angle))
-    sin = F.when(right, F.element_at(F.array(*[F.lit(v) for v in (0.0, 1.0, 0.0, -1.0)]), (turns + 1).cast("int"))).otherwise(F.sin(angle))
-    sx, sy = F.when(flip_h, -1.0).otherwise(1.0), F.when(flip_v, -1.0).otherwise(1.0)
-    a, b, c, d = cos * sx, sin * sx, -sin * sy, cos * sy
-    cx, cy = w / 2, h / 2
-    return matrix(a, b, c, d, x + cx - a * cx - c * cy, y + cy - b * cx - d * cy)
+    """Flip and rotate (clockwise) about the middle of w by h, then move to x, y; in closed form. Right angles are exact."""
+    turns = F.pmod((degrees / 90).cast("long"), F.lit(4)).cast("int")
+    exact = lambda values: F.get(F.array(*[F.lit(v) for v in values]), turns)
+    right = degrees % 90 == 0
+    parts = F.struct(
+        F.when(right, exact((1.0, 0.0, -1.0, 0.0))).otherwise(F.cos(F.radians(degrees))).alias("cos"),
+        F.when(right, exact((0.0, 1.0, 0.0, -1.0))).otherwise(F.sin(F.radians(degrees))).alias("sin"),
+        F.when(flip_h, -1.0).otherwise(1.0).alias("sx"), F.when(flip_v, -1.0).otherwise(1.0).alias("sy"), (w / 2).alias("cx"), (h / 2).alias("cy"), x.alias("x"), y.alias("y"),
+    )
+
+    def built(v: Column) -> Column:
+        a, b, c, d = v["cos"] * v["sx"], v["sin"] * v["sx"], -v["sin"] * v["sy"], v["cos"] * v["sy"]
+        return matrix(a, b, c, d, v["x"] + v["cx"] - a * v["cx"] - c * v["cy"], v["y"] + v["cy"] - b * v["cx"] - d * v["cy"])
+
+    return let(parts, built)
 
 
 def folded_matrix(matrices: Column) -> Column:
     """The composition of an array of matrices, the last applied first."""
-    return F.aggregate(matrices, matrix(*IDENTITY), compose)
+    return F.aggregate(matrices, matrix(*IDENTITY), _compose)
 
 
 def point(x: Number, y: Number) -> Column:
@@ -67,7 +76,8 @@ def rectangle(x: Number, y: Number, w: Number, h: Number) -> Column:
 
 
 def moved(polygon: Column, m: Column) -> Column:
-    return F.transform(polygon, lambda p: point(m["a"] * p["x"] + m["c"] * p["y"] + m["e"], m["b"] * p["x"] + m["d"] * p["y"] + m["f"]))
+    both = F.struct(polygon.alias("p"), m.alias("m"))
+    return let(both, lambda v: F.transform(v["p"], lambda p: point(v["m"]["a"] * p["x"] + v["m"]["c"] * p["y"] + v["m"]["e"], v["m"]["b"] * p["x"] + v["m"]["d"] * p["y"] + v["m"]["f"])))
 
 
 def let(value: Column, body) -> Column:
