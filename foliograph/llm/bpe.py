@@ -13,13 +13,14 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that the caches of chunks and of token pairs hold before they start anew.
-CHUNKS, PAIRS = 300_000, 1_000_000
+CHUNKS, PAIRS = 500_000, 1_000_000
 
 
 class PrefixEncoder:
@@ -29,6 +30,11 @@ class PrefixEncoder:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
+        self.ending = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), rank)
+        self.ending.make_automaton()
         self._stay: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -57,29 +63,33 @@ class PrefixEncoder:
         return known
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """last[i] is the last token of data[: i + 1]; adds those that are missing, in place."""
-        get, longest, stay, known = self.ranks.get, self.longest, self.stay, self._stay
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(data[start:end])
-                if token is None:
-                    continue
-                before = last[start - 1] if start else -1
-                ok = known.get((before << 32) | token if start else -1 - token)
-                if ok is None:
-                    ok = stay(before, token)
-                if ok:
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+        """last[i] is the last token of data[: i + 1]; adds those that are missing, in place.
+
+        The automaton gives the tokens that end at each byte, longest first; the first that fits is the only one.
+        """
+        size, stay, known, done = self.size, self.stay, self._stay, len(last)
+        for end, token in self.ending.iter(data.decode("latin-1"), max(0, done - self.longest)):
+            if end < done:
+                continue
+            start = end + 1 - size[token]
+            if start < 0:
+                continue
+            before = last[start - 1] if start else -1
+            ok = known.get((before << 32) | token if start else -1 - token)
+            if ok is None:
+                ok = stay(before, token)
+            if ok:
+                last.append(token)
+                done += 1
+        if done < len(data):
+            raise ValueError("the vocabulary lacks a single byte")
         return last
 
     def tokens(self, data: bytes, last: list[int]) -> list[int]:
         out, at = [], len(data)
         while at:
             out.append(last[at - 1])
-            at -= len(self.bytes_of[out[-1]])
+            at -= self.size[out[-1]]
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
