@@ -13,7 +13,7 @@ from foliograph.sources import decks
 
 def inspect_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, config: Config) -> StreamingQuery:
     """Appends the findings of new packages to `out`; a batch that runs again replaces its own folder. Ends when all are read."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.[pP][pP][tT][xX]").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY").option("pathGlobFilter", "*.[pP][pP][tT][xX]").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def batch(df, number: int) -> None:
