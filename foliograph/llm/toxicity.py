@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from foliograph.llm.common import materialize
 
 #: Labelled documents that the machine is trained on, at most: half of either label, of smallest hash.
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS, FACTORS = 1 << 18, 4
 #: A term is used if so many documents of the sample hold it and its likelihood ratio (G) with the label is so large.
 LEAST, LEAST_G = 4, 10.8
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
     offsets, flat = found.offsets.to_numpy(), found.values.to_numpy()
-    lists = [flat[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    lists = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     y = got.column("label").to_numpy().astype(float)
     order = sorted(range(len(lists)), key=lambda i: (lists[i].tobytes(), y[i]))  # rows come in any order
     return train([lists[i] for i in order], y[order])
