@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate classes through a vantage-point tree.
+"""SimHash fingerprints and near-duplicate classes through vantage-point trees.
 
 The tree cuts fingerprint space by Hamming distance: a node has a vantage fingerprint and a radius, near points go left
 and far points right. Two points within `link` bits lie on one side, or the far one within `link` of the border; so a far
@@ -6,6 +6,12 @@ point in that band also visits the left side, and by the triangle inequality no
 Every linked pair thus meets in a leaf, where it is found exactly. Only distinct fingerprints enter the tree, and a leaf
 returns a spanning forest of its links, so a group of copies never becomes all its pairs. Classes then come from
 alternating stars over those edges.
+
+64 bits tell few differing bits exactly, but not a similarity of 0.8, at which texts differ in 10 of 64 and unlike texts
+are found by chance. Similar texts (drop_near_duplicates) therefore take 512 bits and several trees. No tree can hold
+every pair so far apart without visiting nearly all branches; BAND is the border that points visit, and the number of
+trees follows their depth so that a pair at the limit meets in one of them with a chance of MEET. A pair that meets is
+told by its distance.
 """
 
 from __future__ import annotations
@@ -28,6 +34,10 @@ SAMPLE = 20_000
 #: Shingles that are hashed at a time; bounds memory on very long texts.
 CHUNK = 1 << 16
 BANDS = 5
+#: Words of 64 bits of the fingerprints of similar texts, bits in which they differ at most, and bits in which their first words do.
+WIDE, SIMILAR, FIRST = 8, 82, 22
+#: Border that points visit in trees of wide fingerprints; the chance that a pair at the limit stays together at a node, by that border, and is to meet in a tree.
+BAND, STAY, MEET = 6, 0.9, 0.95
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -67,8 +77,40 @@ def with_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """WIDE words by distinct shingles, of their hash and of mixed forms of it; zero for a text without words."""
+    blocks = list(shingle_hashes(text, width))
+    hashes = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), CHUNK // WIDE):
+        x = hashes[at : at + CHUNK // WIDE, None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        bits = np.unpackbits((x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):  # so many ones still fit into a byte
+            ones += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def with_wide_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """doc_id, code (WIDE words) for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [wide_fingerprint(x.as_py(), width) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "code"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, code binary")
+
+
+def words_of(codes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), "<u8").reshape(-1, WIDE)
+
+
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Differing bits of one-word fingerprints, or of rows of several words."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.sum(axis=1, dtype=np.int64) if bits.ndim == 2 else bits
 
 
 def plant(sample: np.ndarray, depth: int, link: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +120,15 @@ def plant(sample: np.ndarray, depth: int, link: int, seed: int = 7) -> tuple[np.
     for the evenest cut; below an empty node any will do.
     """
     rng = np.random.default_rng(seed)
-    points, radii = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, 31, np.int64)
+    words, middle = sample.shape[1:], 32 * max(1, sample[:1].size) - 1
+    points, radii = np.zeros(((1 << depth) - 1, *words), np.uint64), np.full((1 << depth) - 1, middle, np.int64)
     held = {0: sample}
     for node in range(len(points)):
         own = held.pop(node)
         best = None
-        for vantage in [*rng.choice(own, min(len(own), 6), replace=False), rng.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2)]:
+        for vantage in [*rng.choice(own, min(len(own), 6), replace=False), rng.integers(0, 1 << 63, words or None, dtype=np.uint64) * np.uint64(2)]:
             d = distance(own, vantage)
-            radius = int(np.median(d)) if len(d) else 31
+            radius = int(np.median(d)) if len(d) else middle
             for r in {max(0, radius - 1), radius}:
                 larger = max(np.count_nonzero(d <= r + link), np.count_nonzero(d > r))
                 if best is None or larger < best[0]:
@@ -168,6 +211,45 @@ def leaf_links(fps: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
     return own, root[own]
 
 
+def similar_links(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all pairs within SIMILAR bits among distinct codes: each point and its root."""
+    forest, first = _Forest(len(codes)), np.ascontiguousarray(codes[:, 0])
+    for at in range(0, len(codes), 64):
+        a, b = np.nonzero(np.bitwise_count(first[at : at + 64, None] ^ first[None, at + 1 :]) <= FIRST)
+        a, b = a + at, b + at + 1
+        later = b > a
+        a, b = a[later], b[later]
+        near = distance(codes[a], codes[b]) <= SIMILAR
+        if near.any():
+            forest.join(a[near], b[near])
+    root = forest.flat()
+    own = np.flatnonzero(root != np.arange(len(codes)))
+    return own, root[own]
+
+
+def similar(fps: DataFrame, count: int) -> DataFrame:
+    """u, v: edges between the fp of distinct codes (fp, code) whose codes differ in at most SIMILAR bits."""
+    depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
+    trees = int(np.ceil(np.log(1 - MEET) / np.log(1 - STAY**depth))) if depth else 1
+    sample = words_of([bytes(r[0]) for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("code").collect()]) if depth else np.zeros((0, WIDE), np.uint64)
+    planted = [plant(sample, depth, BAND, seed) for seed in range(trees)]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = words_of(batch.column(1).to_pylist())
+            for tree, (points, radii) in enumerate(planted):
+                leaf, at = routed(own, points, radii, depth, BAND)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int64)), pa.array(leaf), *[c.take(pa.array(at)) for c in batch.columns]], ["tree", "leaf", "fp", "code"])
+
+    def search(table: pa.Table) -> pa.Table:
+        names = table.column("fp").to_numpy()
+        a, b = similar_links(words_of(table.column("code").to_pylist()))
+        return pa.table({"u": names[a], "v": names[b]})
+
+    visits = fps.select("fp", "code").mapInArrow(visit, "tree long, leaf long, fp long, code binary")
+    return visits.groupBy("tree", "leaf").applyInArrow(search, "u long, v long")
+
+
 def linked(fps: DataFrame, count: int, link: int) -> DataFrame:
     """u, v: edges between distinct fingerprints whose classes are those of all links within `link` bits."""
     depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
@@ -210,7 +292,7 @@ def classes(edges: DataFrame) -> DataFrame:
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, link: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, link: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, the smallest key reachable by links.
 
     A text without words (or null) has fingerprint zero and links like any other. A class whose keys are all null has a
@@ -218,7 +300,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     prints = materialize(with_fingerprints(docs, key, text, width), "prints")
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    roots = classes(linked(fps, fps.count(), link))
+    out = _components(prints, fps, linked(fps, fps.count(), link))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """One row per row of docs: doc_id, component_id, the smallest key reachable by links of a similarity of 0.8 or more.
+
+    Texts are similar if their codes differ in at most SIMILAR of 512 bits; at a Jaccard similarity of 0.8 of their
+    distinct shingles 77 are expected. Texts without words are alike. Null keys, repeated rows and an empty table as in
+    near_duplicates.
+    """
+    prints = materialize(with_wide_fingerprints(docs, key, text, width).select("doc_id", F.xxhash64("code").alias("fp"), "code"), "prints")
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("code").alias("code")), "fps")
+    return _components(prints, fps, similar(fps, fps.count())).select("doc_id", "component_id")
+
+
+def _components(prints: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of each row of prints (doc_id, fp) by the links (u, v) between fps (fp, first)."""
+    roots = classes(links)
     labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     labelled = materialize(labelled, "labelled")
     names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -232,15 +332,15 @@ def _by_hot(prints: DataFrame, labelled: DataFrame, names: DataFrame) -> DataFra
     often = prints.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > -(-rows // 1000)).select("fp")
     hot = F.broadcast(materialize(named.join(F.broadcast(often), "fp"), "hot"))
     out = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(named, "fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, link: int = 3) -> DataFrame:
-    """docs with one document of each class, that of the smallest key; all columns kept, and all rows of that key.
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """docs with one document of each class of similar texts, that of the smallest key; all columns kept, and all rows of that key.
 
     A class whose keys are all null keeps all its rows, as none of them can be told from the others.
     """
-    decided = near_duplicates(docs, key, text, width, link)
+    decided = similar_documents(docs, key, text, width)
     gone = decided.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
     gone = materialize(gone, "gone")
     stay = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")

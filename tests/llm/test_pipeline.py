@@ -23,11 +23,11 @@ def test_stages_and_run(spark, sf):
     last = {t: i for i, t in sorted(clean.items())}
     first = {}
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for t, i in last.items()}
-    prints = {i: simhash.fingerprint(" ".join(w), 5) for i, w in words.items()}
+    prints = {i: int.from_bytes(simhash.wide_fingerprint(" ".join(w), 5), "little") for i, w in words.items()}
     root = {i: i for i in prints}
     for a in sorted(prints):
         for b in prints:
-            if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 3:
+            if (prints[a] ^ prints[b]).bit_count() <= simhash.SIMILAR:
                 x, y = root[a], root[b]
                 root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
     assert kept == set(root.values()) and not first

@@ -95,7 +95,56 @@ def test_documents(docs, no_docs):
 
 
 def test_drop(docs, no_docs):
-    kept = simhash.drop_near_duplicates(docs, width=4, link=4)
+    kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 5, 7, 7, None, None, 8, 9, 10, 12]))
     assert simhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def edited(rng, words, edits):
+    """The words with so many of them replaced."""
+    out = list(words)
+    for i in rng.choice(len(out), edits, replace=False):
+        out[i] = f"new{rng.integers(1 << 30)}"
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similarity():
+    """Copies of a similarity of 0.85 or more are told, texts of 0.6 or less aren't."""
+    rng = np.random.default_rng(3)
+    for edits, near in ((1, True), (4, True), (25, False)):
+        told = []
+        for _ in range(40):
+            words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+            other = edited(rng, words, edits)
+            assert jaccard(words, other) >= 0.85 if near else jaccard(words, other) <= 0.7
+            codes = simhash.words_of([simhash.wide_fingerprint(" ".join(x), 5) for x in (words, other)])
+            told.append(simhash.distance(codes[:1], codes[1:])[0] <= simhash.SIMILAR)
+        assert np.mean(told) >= 0.95 if near else np.mean(told) <= 0.05
+
+
+def test_similar_in_deep_trees(spark):
+    """Planned as for many more documents, the trees still bring nearly all similar pairs together; unlike texts stay apart."""
+    rng = np.random.default_rng(5)
+    rows, pairs = [], 120
+    for i in range(pairs):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, 2)))]
+    prints = simhash.with_wide_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).selectExpr("doc_id", "doc_id AS fp", "doc_id AS first", "code").cache()
+    got = {r.doc_id: r.component_id for r in simhash._components(prints, prints, simhash.similar(prints, 8 * simhash.LEAF)).collect()}
+    assert len(got) == 2 * pairs and all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.95 * pairs
+
+
+def test_similar_group_is_a_forest():
+    """A large group of near copies gives one edge less than it has texts."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, (1, simhash.WIDE), dtype=np.uint64)
+    codes = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, (2000, simhash.WIDE), dtype=np.uint64)), axis=0)
+    a, b = simhash.similar_links(codes)
+    assert len(a) == len(codes) - 1 and set(b.tolist()) == {0}
