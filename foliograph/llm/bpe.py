@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that the caches of chunks and of token pairs hold before they start anew.
-CHUNKS, PAIRS = 500_000, 1_000_000
+#: Entries that the caches of chunks and of token pairs hold before they start anew, and characters of a chunk that is held.
+CHUNKS, PAIRS, LONG = 500_000, 1_000_000, 64
 
 
 class PrefixEncoder:
@@ -136,9 +136,11 @@ class TextEncoder:
         for piece in self.pattern.findall(chunk):
             known = self.pieces.get(piece)
             if known is None:
-                if len(self.pieces) >= CHUNKS:
-                    self.pieces.clear()
-                known = self.pieces[piece] = self.encoder.encode(piece.encode("utf-8"))
+                known = self.encoder.encode(piece.encode("utf-8"))
+                if len(piece) <= LONG:
+                    if len(self.pieces) >= CHUNKS:
+                        self.pieces.clear()
+                    self.pieces[piece] = known
             out += known
         return tuple(out)
 
@@ -152,9 +154,11 @@ class TextEncoder:
         for chunk in chunks:
             known = seen.get(chunk)
             if known is None:
-                if len(seen) >= CHUNKS:
-                    seen.clear()
-                known = seen[chunk] = self._chunk(chunk)
+                known = self._chunk(chunk)
+                if len(chunk) <= LONG:
+                    if len(seen) >= CHUNKS:
+                        seen.clear()
+                    seen[chunk] = known
             out += known
         return out
 

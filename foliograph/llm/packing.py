@@ -23,8 +23,8 @@ from tokenizers import Tokenizer
 from foliograph.llm.common import gapless_rank, materialize, spread
 
 SIZE = 2048
-#: Words whose ids a worker remembers before it starts anew.
-WORDS = 450_000
+#: Words whose ids a worker remembers before it starts anew, and characters of a word that it remembers.
+WORDS, LONG = 450_000, 64
 #: Texts whose unknown words are encoded together.
 TEXTS = 64
 
@@ -61,7 +61,7 @@ class WordIds:
     def _learn(self, words: set[str]) -> None:
         seen, plain, other = self.seen, [], []
         for word in words:
-            m = self.PLAIN.fullmatch(word)
+            m = len(word) <= LONG and self.PLAIN.fullmatch(word)
             if m:
                 plain.append((word, m[1].lower(), m[2]))
             else:
@@ -81,7 +81,10 @@ class WordIds:
         if new:
             self._learn(new)
         get = seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for word in [w for w in new if len(w) > LONG]:  # texts without spaces are words, and aren't held
+            del seen[word]
+        return out
 
 
 @lru_cache(maxsize=2)

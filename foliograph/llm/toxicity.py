@@ -26,7 +26,8 @@ BUCKETS, FACTORS = 1 << 18, 4
 #: A term is used if so many documents of the sample hold it and its likelihood ratio (G) with the label is so large.
 LEAST, LEAST_G = 4, 10.8
 PREFIXES = (4, 5)
-WORDS = 300_000
+#: Tokens whose buckets a worker remembers before it starts anew, and characters of a token that it remembers.
+WORDS, LONG = 300_000, 64
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,10 +57,12 @@ class Terms:
         for token in tokens:
             known = seen.get(token)
             if known is None:
-                if len(seen) >= WORDS:
-                    seen.clear()
                 known = word_buckets(token)
-                known = seen[token] = tuple(known if self.at is None else (self.at[b] for b in known if b in self.at))
+                known = tuple(known if self.at is None else (self.at[b] for b in known if b in self.at))
+                if len(token) <= LONG:
+                    if len(seen) >= WORDS:
+                        seen.clear()
+                    seen[token] = known
             if known:
                 out.update(known)
         return sorted(out)
