@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import materialize
+from foliograph.llm.common import materialize, smallest
 
 #: A leaf is planned for so many fingerprints, without visitors.
 LEAF = 4096
@@ -231,7 +231,7 @@ def similar(fps: DataFrame, count: int) -> DataFrame:
     """u, v: edges between the fp of distinct codes (fp, code) whose codes differ in at most SIMILAR bits."""
     depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
     trees = int(np.ceil(np.log(1 - MEET) / np.log(1 - STAY**depth))) if depth else 1
-    sample = words_of([bytes(r[0]) for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("code").collect()]) if depth else np.zeros((0, WIDE), np.uint64)
+    sample = words_of([bytes(r[0]) for r in smallest(fps, F.xxhash64("fp"), SAMPLE, count).select("code").collect()]) if depth else np.zeros((0, WIDE), np.uint64)
     planted = [plant(sample, depth, BAND, seed) for seed in range(trees)]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def similar(fps: DataFrame, count: int) -> DataFrame:
 def linked(fps: DataFrame, count: int, link: int) -> DataFrame:
     """u, v: edges between distinct fingerprints whose classes are those of all links within `link` bits."""
     depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
-    sample = [r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else []
+    sample = [r[0] for r in smallest(fps.select("fp"), F.xxhash64("fp"), SAMPLE, count).collect()] if depth else []
     points, radii = plant(np.array(sample, np.int64).view(np.uint64), depth, link)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

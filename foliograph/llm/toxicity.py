@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import materialize
+from foliograph.llm.common import materialize, smallest
 
 #: Labelled documents that the machine is trained on, at most: half of either label, of smallest hash.
 SAMPLE = 6_000
@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     named = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     named = named.where(~held_out(F.col("doc_id")))
-    halves = [named.where(f"label = {v}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2) for v in (0, 1)]
+    counts = {r[0]: r[1] for r in named.groupBy("label").agg(F.count("*")).collect()}
+    halves = [smallest(named.where(f"label = {v}"), F.xxhash64("doc_id"), SAMPLE // 2, counts.get(v, 0), "doc_id") for v in (0, 1)]
     chosen = materialize(halves[0].unionByName(halves[1]), "chosen")
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import materialize
+from foliograph.llm.common import materialize, smallest
 
 #: Labelled urls that the trees are trained on, at most: those of smallest hash, so any run takes the same.
 SAMPLE = 20_000
@@ -109,7 +109,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: st
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.verdict)]) if rules else F.create_map(F.lit(""), F.lit("allow"))
     rows = rows.withColumn("given", F.try_element_at(verdicts, F.col("rule")))
-    labelled = rows.where("rule IS NOT NULL").orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(SAMPLE)
+    labelled = rows.where("rule IS NOT NULL")
+    labelled = smallest(labelled, F.xxhash64("url", "page_id"), SAMPLE, labelled.count(), "url", "page_id")
     sample = materialize(with_features(labelled).withColumn("label", (F.col("given") == "block").cast("double")), "urls")
     count, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if blocked in (0, count):

@@ -4,9 +4,11 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.conftest import DOCS
 
 from foliograph.llm import simhash
+from foliograph.llm.common import smallest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -148,3 +150,11 @@ def test_similar_group_is_a_forest():
     codes = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, (2000, simhash.WIDE), dtype=np.uint64)), axis=0)
     a, b = simhash.similar_links(codes)
     assert len(a) == len(codes) - 1 and set(b.tolist()) == {0}
+
+
+def test_smallest(spark):
+    """The bounded sample is that of smallest hash, however many rows are left off before the sort."""
+    hashed = F.xxhash64("id")
+    want = [r.id for r in spark.range(5000).orderBy(hashed).limit(100).collect()]
+    assert [r.id for r in smallest(spark.range(5000), hashed, 100, 5000).collect()] == want
+    assert smallest(spark.range(7), hashed, 100, 7).count() == 7 and smallest(spark.range(0), hashed, 100, 0).count() == 0
