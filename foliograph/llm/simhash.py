@@ -8,10 +8,9 @@ returns a spanning forest of its links, so a group of copies never becomes all i
 alternating stars over those edges.
 
 64 bits tell few differing bits exactly, but not a similarity of 0.8, at which texts differ in 10 of 64 and unlike texts
-are found by chance. Similar texts (drop_near_duplicates) therefore take 512 bits and several trees. No tree can hold
-every pair so far apart without visiting nearly all branches; BAND is the border that points visit, and the number of
-trees follows their depth so that a pair at the limit meets in one of them with a chance of MEET. A pair that meets is
-told by its distance.
+are found by chance. Similar texts (drop_near_duplicates) are therefore found by prefix filtering: in any one order of all
+shingles, two sets of a similarity of 0.8 share a shingle among the first fifth of each. Sets that do are compared shingle
+by shingle, so no pair is lost or told by an estimate. Fingerprints of 512 bits in several trees (similar) estimate it.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from foliograph.llm.common import materialize, smallest
 
@@ -38,6 +38,8 @@ BANDS = 5
 WIDE, SIMILAR, FIRST = 8, 82, 22
 #: Border that points visit in trees of wide fingerprints; the chance that a pair at the limit stays together at a node, by that border, and is to meet in a tree.
 BAND, STAY, MEET = 6, 0.9, 0.95
+#: Texts that tell about which shingles are common, and common shingles at most; a shingle is in few heads if in so many.
+SHINGLED, COMMON, FEW = 8_000, 1 << 18, 8
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -304,35 +306,159 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles, sorted."""
+    blocks = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _common(texts: DataFrame, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that some of about SHINGLED texts share, sorted, and in how many of these. They only set the order of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width).view(np.int64))], ["token"])
+
+    some = texts.where(F.pmod("at", F.lit(max(1, rows // SHINGLED))) == 0).dropDuplicates(["at"])
+    tokens = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    got = tokens.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+    token, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def head(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles, rare ones before common ones, of which two sets of a similarity of 0.8 share one."""
+    token, n = common
+    if len(token) and len(own):
+        at = np.minimum(np.searchsorted(token, own), len(token) - 1)
+        own = own[np.argsort(np.where(token[at] == own, n[at], 0), kind="stable")]
+    return own[: len(own) - (4 * len(own) + 4) // 5 + 1]
+
+
+def _prints(texts: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, at, fp (hash of the shingle set), n (its size), head of each row of texts (doc_id, at, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, heads = [], [], []
+            for x in batch.column(2):
+                own = shingle_set(x.as_py(), width)
+                fps.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                heads.append(head(own, common).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "at", "fp", "n", "head"])
+
+    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head binary")
+
+
+def _shared(fps: DataFrame) -> DataFrame:
+    """token, fp, n, pos, held: the head's shingles that more than one of the sets (fp, n, head) has in its head; held is how many have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, n, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                token = np.frombuffer(own, "<i8")
+                if len(token):
+                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), fp)), pa.array((n << 32) + np.arange(len(token)))], ["token", "fp", "place"])
+
+    tokens = fps.select("fp", "n", "head").mapInArrow(run, "token long, fp long, place long")
+    held = tokens.withColumn("held", F.count("*").over(W.Window.partitionBy("token"))).where("held > 1")
+    return materialize(held.select("token", "fp", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"), "held"), "shared")
+
+
+#: Whether a set x can have a similarity of 0.8 with a larger set y by a shingle at their pos.
+MAY = (
+    "(x.n < y.n OR x.n = y.n AND x.fp < y.fp) AND 5 * x.n >= 4 * y.n AND x.pos <= x.n - (8 * x.n + 8) div 9 "
+    "AND 9 * (least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1) >= 4 * (x.n + y.n)"
+)
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (u, v) of sets whose similarity is 0.8 or more, by their shingles."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(fps.select("fp", "at"), "fp")
+    bodies = materialize(texts.join(needed, "at").groupBy("fp").agg(F.first("text").alias("text")), "bodies")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())], ["fp", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(5 * both >= 4 * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+
+    sets = bodies.mapInArrow(hashed, "fp long, own binary")
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("own").alias("y")), "v")
+    return materialize(both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "verified")
+
+
+def _similar_edges(fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """u, v: edges between sets (fp, n, at, head) whose classes are those of all pairs of a similarity of 0.8 or more.
+
+    Sets that share a shingle of their heads are compared. Of a shingle that over FEW of them share, each is first compared
+    with two of them; then those outside the shingle's largest class with all that aren't in their own class. No pair is
+    left off that isn't in one class already.
+    """
+    shared = _shared(fps)
+    few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
+    pairs = few.alias("x").join(few.alias("y"), F.expr("x.token = y.token AND " + MAY)).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+    ends = many.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    star = many.join(ends, "token").select(F.col("fp").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
+    edges = _verified(pairs.union(star.select(F.least("u", "v"), F.greatest("u", "v"))), fps, texts, width)
+    roots = materialize(classes(edges), "roots").withColumnRenamed("node", "fp")
+    many = materialize(many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "many")
+    sizes = many.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "root"))["root"].alias("main"))
+    many = materialize(many.join(sizes.where("kinds > 1"), "token"), "open")
+    if many.isEmpty():
+        return edges
+    other = many.where("root <> main")
+    unlike = "x.token = y.token AND x.root <> y.root AND " + MAY
+    pairs = other.alias("x").join(many.alias("y"), F.expr(unlike)).select("x.fp", "y.fp")
+    pairs = pairs.union(many.where("root = main").alias("x").join(other.alias("y"), F.expr(unlike)).select("x.fp", "y.fp")).toDF("u", "v")
+    return edges.union(_verified(pairs, fps, texts, width))
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, component_id, the smallest key reachable by links of a similarity of 0.8 or more.
 
-    Texts are similar if their codes differ in at most SIMILAR of 512 bits; at a Jaccard similarity of 0.8 of their
-    distinct shingles 77 are expected. Texts without words are alike. Null keys, repeated rows and an empty table as in
-    near_duplicates.
+    Similarity is the Jaccard similarity of the texts' distinct shingles, counted and not estimated. Texts without words
+    are alike. Null keys, repeated rows and an empty table as in near_duplicates.
     """
-    prints = materialize(with_wide_fingerprints(docs, key, text, width).select("doc_id", F.xxhash64("code").alias("fp"), "code"), "prints")
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("code").alias("code")), "fps")
-    return _components(prints, fps, similar(fps, fps.count())).select("doc_id", "component_id")
+    return _similar(docs, key, text, width).select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """doc_id, at (hash of the text), fp, component_id, chosen (the fp of its class with the smallest key) of each row of docs."""
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("at"))
+    prints = materialize(_prints(texts, width, _common(texts, width, docs.count())), "prints")
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("head").alias("head")), "fps")
+    return _components(prints.drop("n", "head"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
 
 
 def _components(prints: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of each row of prints (doc_id, fp) by the links (u, v) between fps (fp, first)."""
+    """Each row of prints (doc_id, fp, others) with component_id and chosen, the fp of its class with the smallest key, by the links (u, v) between fps (fp, first)."""
     roots = classes(links)
     labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     labelled = materialize(labelled, "labelled")
-    names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.min_by("fp", F.struct(F.col("first").isNull(), "first", "fp")).alias("chosen"))
     return _by_hot(prints, labelled, names)
 
 
 def _by_hot(prints: DataFrame, labelled: DataFrame, names: DataFrame) -> DataFrame:
     """Each print's component. Fingerprints with over 1/1000 of the rows, fewer than 1000, are looked up in a broadcast."""
-    named = materialize(labelled.join(materialize(names, "names"), "root").select("fp", "component_id"), "named")
+    named = materialize(labelled.join(materialize(names, "names"), "root").select("fp", "component_id", "chosen"), "named")
     rows = prints.count()
     often = prints.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > -(-rows // 1000)).select("fp")
     hot = F.broadcast(materialize(named.join(F.broadcast(often), "fp"), "hot"))
     out = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(named, "fp"))
-    return out.select("doc_id", "fp", "component_id")
+    return out.select(*prints.columns, "component_id", "chosen")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
