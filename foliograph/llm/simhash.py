@@ -462,12 +462,14 @@ def _by_hot(prints: DataFrame, labelled: DataFrame, names: DataFrame) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """docs with one document of each class of similar texts, that of the smallest key; all columns kept, and all rows of that key.
+    """docs with one document of each class of similar texts, that of the smallest key; all columns kept.
 
-    A class whose keys are all null keeps all its rows, as none of them can be told from the others.
+    Each row is decided by its own text: rows whose text is similar to none stay, whatever becomes of others of their key
+    or of a null key. Rows that repeat the chosen one's key and shingles stay all. A class whose keys are all null keeps
+    all its rows, as none of them can be told from the others.
     """
-    decided = similar_documents(docs, key, text, width)
-    gone = decided.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
+    decided = _similar(docs, key, text, width)
+    gone = decided.where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id OR fp <> chosen)").select("doc_id", "at").distinct()
     gone = materialize(gone, "gone")
-    stay = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    stay = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs[text]) == gone["at"]), "left_anti")
     return stay.select(*docs.columns)

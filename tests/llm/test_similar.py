@@ -66,3 +66,15 @@ def test_large_groups(spark):
     want = classes(texts)
     assert len(set(want)) > 15
     assert told(spark, texts) == want
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    """A near copy with a null or repeated key takes no unrelated row of that key along."""
+    rng = np.random.default_rng(4)
+    base, *alone = ([f"d{x}" for x in rng.integers(0, 9000, 80)] for _ in range(6))
+    copies = [" ".join(edited(rng, base, [i])) for i in range(3)]
+    alone = [" ".join(x) for x in alone]
+    rows = [(5, copies[0]), (None, copies[1]), (7, copies[2]), (None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (5, alone[4]), (5, copies[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in rows if r[1] not in copies[1:]]))
