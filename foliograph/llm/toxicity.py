@@ -140,6 +140,14 @@ def train(found: list[np.ndarray], labels: np.ndarray, steps: int = 1500, batch_
     return m
 
 
+def at_prior(machine: Machine, sample: np.ndarray, positives: int, negatives: int) -> Machine:
+    """The machine with the bias of labels that are in the given proportion, and not in that of the sample it was trained on."""
+    drawn = sample.sum()
+    if 0 < drawn < len(sample):
+        machine.bias += float(np.log(positives / negatives) - np.log(drawn / (len(sample) - drawn)))
+    return machine
+
+
 def held_out(key: Column) -> Column:
     """Whether crc32 of the key as text leaves 2 when divided by 4; a null key isn't held out."""
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
@@ -148,8 +156,9 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """A machine trained on at most SAMPLE labelled documents that aren't held out.
 
-    Their terms are hashed on the executors; the driver gets bucket numbers only. Without labels of both kinds the score
-    is the share of positive labels.
+    Their terms are hashed on the executors; the driver gets bucket numbers only, of one text a key: the one of smallest
+    hash where a key repeats. Scores are chances at the share of positive labels among all that aren't held out, however
+    many of either the sample holds. Without labels of both kinds the score is the share of positive labels.
     """
     named = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     named = named.where(~held_out(F.col("doc_id")))
@@ -164,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = [terms.of(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(0)], ["terms", "label"])
 
-    rows = body.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(run, "terms array<int>, label int")
+    own = body.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(run, "terms array<int>, label int")
     got = rows.toArrow()
     found = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
@@ -172,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     lists = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     y = got.column("label").to_numpy().astype(float)
     order = sorted(range(len(lists)), key=lambda i: (lists[i].tobytes(), y[i]))  # rows come in any order
-    return train([lists[i] for i in order], y[order])
+    return at_prior(train([lists[i] for i in order], y[order]), y, counts.get(1, 0), counts.get(0, 0))
 
 
 def _scored(machine: Machine, text: str):

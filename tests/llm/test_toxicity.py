@@ -61,3 +61,24 @@ def test_no_labels(spark, docs):
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
     one = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, one).collect()} == {0}
+
+
+def test_scores_keep_the_prior(spark, monkeypatch):
+    """Where the sample holds as many of either label, scores are still chances at the share of all labels."""
+    rng = random.Random(6)
+    rows = [(i, f"{'odd' if rng.random() < (0.6 if i % 10 == 0 else 0.2) else 'even'} word{i % 7}", int(i % 10 == 0)) for i in range(4000)]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 500)
+    scores = toxicity.toxicity(table, labels).agg({"score": "avg"}).first()[0]
+    assert abs(scores - 0.1) < 0.05
+
+
+def test_repeated_keys_give_one_text(spark):
+    """A chosen key that repeats brings one text to the driver, the same one in any order."""
+    rows = corpus(400)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "word1 vermin")] * 3000, "doc_id long, text string")
+    once = table.dropDuplicates()
+    a, b = (toxicity.fit(x, labels) for x in (table, once.repartition(3)))
+    assert a.bias == b.bias and (a.used == b.used).all() and np.array_equal(a.weights, b.weights)
