@@ -1,7 +1,7 @@
 """URL filter: host rules, and gradient-boosted trees on lexical features for the urls that no rule fits.
 
 The labelled urls are those that a rule fits. Features, scoring and statistics are DataFrame functions; the trees are
-Spark ML's, trained on a bounded sample and applied in the JVM.
+Spark ML's, trained on a bounded sample and applied in the JVM; the rates of suffixes are those of all labelled urls.
 """
 
 from __future__ import annotations
@@ -91,10 +91,36 @@ def with_features(pages: DataFrame) -> DataFrame:
     })
 
 
-def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], overall: float) -> DataFrame:
-    """Adds each suffix's smoothed share of blocked rows; the tables have at most SAMPLE rows each."""
+def _rates(rows: DataFrame) -> tuple[DataFrame, int, int, float]:
+    """kind, suffix, rows, labelled, label_sum of each suffix over all rows (given: the verdict, or null); their number, that of labelled ones, and the sum of labels."""
+    label = (F.col("given") == "block").cast("double")
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("kind"), F.coalesce(s, F.lit("")).alias("suffix")) for s in SUFFIXES])).alias("of")
+    each = with_features(rows).withColumn("label", label).select(kinds, "label").select("of.*", "label")
+    held = materialize(each.groupBy("kind", "suffix").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("label_sum")), "suffixes")
+    total = held.where(F.col("kind") == SUFFIXES[0]).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "labelled", "label_sum")]).first()
+    return held, int(total[0]), int(total[1]), float(total[2])
+
+
+def _with_rates(rows: DataFrame, held: DataFrame, count: int, overall: float) -> DataFrame:
+    """Adds each suffix's smoothed share of blocked rows among all labelled ones.
+
+    A kind's suffixes are broadcast where they are SAMPLE at most; else only those with over 1/1000 of the `count` rows,
+    fewer than 1000, are, and the rows of other suffixes meet theirs in a shuffle.
+    """
+    rate = (F.col("label_sum") + PRIOR * overall) / (F.col("labelled") + PRIOR)
+    kinds = {r[0]: r[1] for r in held.where("labelled > 0").groupBy("kind").agg(F.count("*")).collect()}
     for s in SUFFIXES:
-        rows = rows.join(F.broadcast(rates[s]), s, "left").withColumn(f"{s}_rate", F.coalesce(f"{s}_rate", F.lit(overall)))
+        rates = held.where(F.col("kind") == s).select(F.col("suffix").alias(s), rate.alias(f"{s}_rate"), "rows", "labelled")
+        rows = rows.withColumn(s, F.coalesce(s, F.lit("")))
+        often = F.col("rows") > -(-count // 1000)
+        if kinds.get(s, 0) <= SAMPLE:
+            rows = rows.join(F.broadcast(rates.where("labelled > 0").drop("rows", "labelled")), s, "left")
+        else:
+            rows = rows.join(F.broadcast(rates.where(often).select(s, F.col(f"{s}_rate").alias("_hot"))), s, "left")
+            rows = rows.withColumn("_at", F.when(F.col("_hot").isNull(), F.concat(F.lit("="), s)).otherwise(F.concat(F.lit("#"), F.xxhash64("url", "page_id").cast("string"))))
+            rest = rates.where(~often & (F.col("labelled") > 0)).select(F.concat(F.lit("="), s).alias("_at"), f"{s}_rate")
+            rows = rows.join(rest, "_at", "left").withColumn(f"{s}_rate", F.coalesce("_hot", f"{s}_rate")).drop("_at", "_hot")
+        rows = rows.withColumn(f"{s}_rate", F.coalesce(f"{s}_rate", F.lit(overall)))
     return rows
 
 
@@ -109,18 +135,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: st
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.verdict)]) if rules else F.create_map(F.lit(""), F.lit("allow"))
     rows = rows.withColumn("given", F.try_element_at(verdicts, F.col("rule")))
-    labelled = rows.where("rule IS NOT NULL")
-    labelled = smallest(labelled, F.xxhash64("url", "page_id"), SAMPLE, labelled.count(), "url", "page_id")
-    sample = materialize(with_features(labelled).withColumn("label", (F.col("given") == "block").cast("double")), "urls")
-    count, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    held, every, count, blocked = _rates(rows)
     if blocked in (0, count):
         constant = F.lit("block" if blocked and blocked == count else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("given", constant).alias("verdict"), F.lit(None).cast("double").alias("score"))
     overall = blocked / count
-    rates = {s: materialize(sample.groupBy(s).agg(((F.sum("label") + PRIOR * overall) / (F.count("*") + PRIOR)).alias(f"{s}_rate")), "rates") for s in SUFFIXES}
+    labelled = smallest(rows.where("rule IS NOT NULL"), F.xxhash64("url", "page_id"), SAMPLE, count, "url", "page_id")
+    sample = materialize(with_features(labelled).withColumn("label", (F.col("given") == "block").cast("double")), "urls")
     columns = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, maxBins=64, seed=7).fit(columns.transform(_with_rates(sample, rates, overall)).select("features", "label"))
+    trees = GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, maxBins=64, seed=7).fit(columns.transform(_with_rates(sample, held, every, overall)).select("features", "label"))
     ruled = rows.where("rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("given").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    open_ = _with_rates(with_features(rows.where("rule IS NULL")), rates, overall)
+    open_ = _with_rates(with_features(rows.where("rule IS NULL")), held, every, overall)
     scored = trees.transform(columns.transform(open_)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return ruled.unionByName(scored.select("page_id", "host", "path", "rule", F.when(F.col("score") > 0.5, "block").otherwise("allow").alias("verdict"), "score"))

@@ -53,3 +53,20 @@ def test_held_out_accuracy(spark):
     open_ = [r for r in got if r.rule is None]
     assert len(open_) > 200 and sum(r.verdict == truth[r.page_id] for r in open_) / len(open_) > 0.95
     assert all(0 <= r.score <= 1 for r in open_)
+
+
+def test_rates_cover_all_labelled_urls(spark, monkeypatch):
+    """Segments tell spam, and there are more of them than the trees' sample has urls."""
+    monkeypatch.setattr(u, "SAMPLE", 100)
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(300)]
+    rows, truth = [], {}
+    for i in range(3600):
+        k = i % 300
+        host = "adb.com" if i >= 3300 else "bad.com" if k % 2 else "dab.com"  # alike but for the segment
+        rows.append((i, f"http://{host}/{names[k]}/x"))
+        truth[i] = "block" if k % 2 else "allow"
+    got = u.judge(spark.createDataFrame(rows, "page_id long, url string"), (u.Rule("block", "bad.com", "/"), u.Rule("allow", "dab.com", "/"))).collect()
+    open_ = [r for r in got if r.rule is None]
+    assert len(got) == len(rows) and len(open_) == 300
+    assert sum(r.verdict == truth[r.page_id] for r in open_) / len(open_) > 0.95
