@@ -40,6 +40,8 @@ WIDE, SIMILAR, FIRST = 8, 82, 22
 BAND, STAY, MEET = 6, 0.9, 0.95
 #: Texts that tell about which shingles are common, and common shingles at most; a shingle is in few heads if in so many.
 SHINGLED, COMMON, FEW = 8_000, 1 << 18, 8
+#: Texts that are looked up in a broadcast at most; more meet theirs in a shuffle.
+LOOKED_UP = 500_000
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -338,19 +340,20 @@ def head(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _prints(texts: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, at, fp (hash of the shingle set), n (its size), head of each row of texts (doc_id, at, text)."""
+    """doc_id, at, fp (hash of the shingle set), n (its size), head, counts (its hashes by their top byte, up to 255) of each row of texts (doc_id, at, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, heads = [], [], []
+            fps, sizes, heads, counts = [], [], [], []
             for x in batch.column(2):
                 own = shingle_set(x.as_py(), width)
                 fps.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 sizes.append(len(own))
                 heads.append(head(own, common).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "at", "fp", "n", "head"])
+                counts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "at", "fp", "n", "head", "counts"])
 
-    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head binary")
+    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head binary, counts binary")
 
 
 def _shared(fps: DataFrame) -> DataFrame:
@@ -377,8 +380,24 @@ MAY = (
 
 def _verified(pairs: DataFrame, fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (u, v) of sets whose similarity is 0.8 or more, by their shingles."""
-    pairs = materialize(pairs.distinct(), "pairs")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("x", "y"))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)  # at least so many shingles are in one of the two only
+            keep = pa.array(9 * apart <= batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["u", "v"])
+
+    counted = fps.select("fp", "n", "counts")
+    left = counted.select(F.col("fp").alias("u"), F.col("n").alias("nx"), F.col("counts").alias("x"))
+    right = counted.select(F.col("fp").alias("v"), F.col("n").alias("ny"), F.col("counts").alias("y"))
+    pairs = pairs.distinct().join(left, "u").join(right, "v").select("u", "v", (F.col("nx") + F.col("ny")).alias("n"), "x", "y")
+    pairs = materialize(pairs.mapInArrow(possible, "u long, v long"), "pairs")
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(fps.select("fp", "at"), "fp")
+    needed = materialize(needed, "needed")
+    needed = F.broadcast(needed) if needed.count() <= LOOKED_UP else needed
     bodies = materialize(texts.join(needed, "at").groupBy("fp").agg(F.first("text").alias("text")), "bodies")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,8 +457,8 @@ def _similar(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """doc_id, at (hash of the text), fp, component_id, chosen (the fp of its class with the smallest key) of each row of docs."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("at"))
     prints = materialize(_prints(texts, width, _common(texts, width, docs.count())), "prints")
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("head").alias("head")), "fps")
-    return _components(prints.drop("n", "head"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("counts").alias("counts")), "fps")
+    return _components(prints.drop("n", "head", "counts"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
 
 
 def _components(prints: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
