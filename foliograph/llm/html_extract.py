@@ -1,34 +1,46 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-A page's tokens are the paths of its elements. Over a host's pages, tokens that occur equally often on each page (they
-share an occurrence vector) form a class; the class of tokens that occur once on nearly every page is the template's
-skeleton, and the other frequent classes nest in it by their paths. Text stands in the slots between skeleton elements.
-The main slot is the deepest skeleton element that holds nearly all running text of the host's pages; a page's text is
-what it holds there, without what is marked as menu, header, footer, sidebar, notice, advert, form or comments.
-Occurrence vectors are compared by order-free digests, so a host's pages are never brought together.
+A page's tokens are its elements, by path, and its texts, by path and words. Over a host's different pages, tokens of one
+occurrence vector form a class; vectors are compared by order-free digests, so a host's pages are never brought together.
+A class is valid if its tokens come in one order on nearly all pages that hold it and its occurrences cross no better
+class's. Valid classes nest, each in a slot between two tokens of another: that is the host's template. Its skeleton are
+the classes that stand once on nearly every page. The main slot is the deepest skeleton element that holds nearly all
+running text outside the template; a page's text is what stands there in slots, so texts of the template's classes go.
+
+Tags and class words that tell of menus, headers, adverts, comments and the like break ties only: they weigh text when the
+main slot is chosen, and leave off parts inside it. Marks on the main slot or around it don't count, nor do marks of forms
+and class words where next to all text stands under one.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import materialize
 from foliograph.llm.url_filter import host_of
 
-#: Share of a host's pages on which a frequent token occurs at least, and on which a skeleton token does.
+#: Share of a host's pages on which an element of a class stands at least, and on which the skeleton and a template's texts do.
 FREQUENT, NEARLY_ALL = 0.02, 0.9
+#: Different pages that tell a template's texts from text of the pages.
+SUPPORT = 5
+#: Share of a class's pages that may break its order or nesting.
+BROKEN = 0.02
 #: Share of running text that the main slot holds.
 MAIN = 0.8
-#: Share of a list's or table's text in links from which its class is a menu.
+#: Share of a list's or table's text in links from which it is a menu.
 LINKED = 0.7
+#: Marks don't count where less than this share of running text is unmarked and one marked element holds nearly all.
+UNMARKED = 0.1
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -36,24 +48,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 WHOLE = frozenset("html body main article".split())
-DROPPED_TAGS = frozenset("head nav header footer aside form script style noscript iframe textarea button select dialog template svg menu canvas object audio video".split())
-DROPPED_WORDS = frozenset(
+#: Elements that show no text of the page.
+UNSEEN = frozenset("head script style noscript iframe textarea select template svg canvas object audio video xmp".split())
+MARKED_TAGS = frozenset("nav header footer aside form button dialog menu".split())
+MARKED_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead topbar footer bottombar sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
     "banner cookie cookies consent notice notices notification alert gdpr popup modal overlay newsletter subscribe subscription form login signup search comment comments commentlist "
     "reply replies respond disqus social share sharing breadcrumb breadcrumbs pagination pager related recommended widget toolbar contentinfo complementary".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A block of text is in a slot, and never the slot.
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th figcaption".split())
+BLOCKS = HEADINGS | frozenset("p li dd dt pre blockquote td th figcaption".split())
+LISTS = frozenset("ul ol table".split())
 #: An open element of the tag closes those of the value that stand open since the nearest list or table.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table".split())
 
 
 class Element:
-    __slots__ = ("dropped", "linked", "path", "tag")
+    """marks: the paths of marked elements it stands in, itself included, each with whether the mark is weak (a form or a class word)."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, linked: bool) -> None:
-        self.tag, self.path, self.dropped, self.linked = tag, path, dropped, linked
+    __slots__ = ("linked", "marks", "path", "tag", "titled", "unseen")
+
+    def __init__(self, tag: str, path: str, marks: tuple, unseen: bool, linked: bool, titled: bool) -> None:
+        self.tag, self.path, self.marks, self.unseen, self.linked, self.titled = tag, path, marks, unseen, linked, titled
 
 
 def _named(attributes: str) -> list[str]:
@@ -61,15 +79,26 @@ def _named(attributes: str) -> list[str]:
     return [w.lower() for m in NAMES.finditer(attributes) for w in WORDS.findall(m[1] or m[2] or m[3] or "")]
 
 
-def parts(page: str) -> Iterator[tuple[Element | None, str]]:
-    """(element, "") where one opens, (element it stands in, text) for text, (None, "") where a block ends or starts."""
-    root = Element("", "", False, False)
-    stack, at, find = [root], 0, TOKEN.search
+def _child(above: Element, tag: str, words: list[str]) -> Element:
+    path = f"{above.path}/{'.'.join([tag, *dict.fromkeys(words)])}"
+    hit = () if tag in WHOLE else MARKED_WORDS.intersection(words)
+    marks, titled = above.marks, above.titled or tag in ("article", "main")
+    if tag in MARKED_TAGS or hit:
+        header = tag == "header" or tag not in MARKED_TAGS and hit == {"header"}
+        marks = (*marks, (path, tag == "form" or tag not in MARKED_TAGS, header and above.titled))
+    elif tag in HEADINGS and marks and all(own for _, _, own in marks):  # an article's own header holds its title
+        marks = ()
+    return Element(tag, path, marks, above.unseen or tag in UNSEEN, above.linked or tag == "a", titled)
+
+
+def parts(page: str) -> Iterator[tuple[str, Element | None, str]]:
+    """("open" or "close", element, ""), ("text", element it stands in, text), and ("cut", None, "") where a block starts or ends."""
+    stack, at, find = [Element("", "", (), False, False, False)], 0, TOKEN.search
     while at < len(page):
         m = find(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            yield stack[-1], text
+            yield "text", stack[-1], text
         if not m:
             break
         at = m.end()
@@ -77,149 +106,402 @@ def parts(page: str) -> Iterator[tuple[Element | None, str]]:
         if not tag:
             continue
         if tag not in INLINE:
-            yield None, ""
+            yield "cut", None, ""
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    yield from _closed(stack, i)
                     break
             continue
         if tag not in INLINE and tag not in VOID:
-            _close(stack, ("p",), SCOPES)
+            yield from _close(stack, ("p",), SCOPES)
         if tag in CLOSES:
-            _close(stack, CLOSES[tag], SCOPES)
-        words = _named(m[3]) if m[3] else []
-        above = stack[-1]
-        name = ".".join([tag, *dict.fromkeys(words)])
-        dropped = above.dropped or tag in DROPPED_TAGS or tag not in WHOLE and not DROPPED_WORDS.isdisjoint(words)
-        element = Element(tag, f"{above.path}/{name}", dropped, above.linked or tag == "a")
-        yield element, ""
+            yield from _close(stack, CLOSES[tag], SCOPES)
+        element = _child(stack[-1], tag, _named(m[3]) if m[3] else [])
+        yield "open", element, ""
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
             close = page.find(">", at)
             at = close + 1 if end and close >= 0 else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+            yield "close", element, ""
+        elif tag in VOID or m[3].endswith("/"):
+            yield "close", element, ""
+        else:
             stack.append(element)
+    yield from _closed(stack, 1)
+
+
+def _closed(stack: list[Element], start: int) -> Iterator[tuple[str, Element, str]]:
+    while len(stack) > start:
+        yield "close", stack.pop(), ""
 
 
-def _close(stack: list[Element], tags: tuple[str, ...], scopes: frozenset[str]) -> None:
+def _close(stack: list[Element], tags: tuple[str, ...], scopes: frozenset[str]) -> Iterator[tuple[str, Element, str]]:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
+            yield from _closed(stack, i)
             return
         if stack[i].tag in scopes or stack[i].tag not in INLINE and stack[i].tag not in tags and tags == ("p",):
             return
 
 
-def tokens(page: str) -> list[tuple[str, int, int, int]]:
-    """(path, times, characters of running text in it, of these in links) of the page's elements; the empty path is the page."""
-    times: Counter[str] = Counter({"": 1})
-    text: Counter[str] = Counter()
-    linked: Counter[str] = Counter()
-    for element, body in parts(page):
-        if element is None:
+class Token(NamedTuple):
+    """Of a page, or summed over a host's pages: path, key (0 for an element, else of the text), pages and times it occurs.
+
+    vector: digest of the times on each page; text: characters in it; linked: of these in links; running: not in links;
+    plain: running and unmarked; weak: whether it is marked by a form or class word; first: sum of first places.
+    """
+
+    path: str
+    key: int
+    pages: int
+    times: int
+    vector: int
+    text: int
+    linked: int
+    plain: int
+    weak: bool
+    first: int
+
+
+def text_key(path: str, words: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\0{words}".encode("utf-8", "surrogatepass"), 7) >> 1 | 1
+
+
+def token_id(path: str, key: int) -> int:
+    return key or text_key(path, "")
+
+
+def structure(page: str) -> tuple[list[Token], list[int]]:
+    """The page's tokens, and its events in order: n where token n opens or a text is, -n-1 where it closes. The first is the page itself."""
+    known: dict[tuple[str, int], int] = {("", 0): 0}
+    sums, events, open_ = [[1, 0, 0, 0, False, 0]], [0], [0]
+
+    def token(path: str, key: int, weak: bool = False) -> int:
+        n = known.setdefault((path, key), len(known))
+        if n == len(sums):
+            sums.append([0, 0, 0, 0, weak, len(events)])
+        sums[n][0] += 1
+        events.append(n)
+        return n
+
+    for kind, element, body in parts(page):
+        if kind == "open":
+            open_.append(token(element.path, 0, bool(element.marks) and element.marks[-1][0] == element.path and element.marks[-1][1]))
+        elif kind == "close":
+            events.append(-open_.pop() - 1)
+        elif kind == "text" and not element.unseen and (words := " ".join(body.split())):
+            own = token(element.path, text_key(element.path, words))
+            for n in (*dict.fromkeys(open_), own):
+                sums[n][1] += len(words)
+                if element.linked:
+                    sums[n][2] += len(words)
+                elif not element.marks:
+                    sums[n][3] += len(words)
+    events.append(-1)
+    return [Token(path, key, 1, times, times, text, linked, plain, weak, first) for (path, key), (times, text, linked, plain, weak, first) in zip(known, sums, strict=True)], events
+
+
+# classes
+
+
+def classes(tokens: list[Token]) -> list[list[Token]]:
+    """The classes of tokens that share a vector, the best supported first, each in the order of its tokens' first places."""
+    found: dict[int, list[Token]] = {}
+    for t in tokens:
+        found.setdefault(t.vector, []).append(t)
+    own = [sorted(c, key=lambda t: (t.first, t.path, t.key)) for c in found.values()]
+    return sorted(own, key=lambda c: (-c[0].pages, -len(c), c[0].path, c[0].key))
+
+
+def order_of(tokens: list[tuple[str, int]]) -> list[int]:
+    """The events of one occurrence of a class: n where its token n opens or a text is, -n-1 where it closes."""
+    out: list[int] = []
+    open_: list[int] = []
+    for n, (path, key) in enumerate(tokens):
+        while open_ and not (path + "/").startswith(tokens[open_[-1]][0] + "/"):
+            out.append(-open_.pop() - 1)
+        out.append(n)
+        if not key:
+            open_.append(n)
+    return out + [-n - 1 for n in reversed(open_)]
+
+
+def fits(events: list[tuple[int, int]], orders: list[list[int]]) -> dict[int, tuple[int, int] | None]:
+    """The (class, slot) around each class that a page's (class, event)s keep in order and nested; -1, 0 at the outermost.
+
+    Classes that are out of order are None, and so is the later one of two that cross.
+    """
+    at, stack = [0] * len(orders), []
+    out: dict[int, tuple[int, int] | None] = {}
+
+    def drop(c: int) -> None:
+        out[c] = None
+        if c in stack:
+            stack.remove(c)
+
+    for c, event in events:
+        if c in out and out[c] is None:
+            continue
+        if orders[c][at[c]] != event:
+            drop(c)
             continue
-        if not body:
-            times[element.path] += 1
-        elif not element.dropped and (size := len(body.strip())):
-            text[element.path] += size
-            if element.linked:
-                linked[element.path] += size
-    for own in (text, linked):  # an element holds what its descendants hold
-        for path, size in list(own.items()):
-            while path:
-                path = path.rpartition("/")[0]
-                own[path] += size
-    return [(path, n, text[path], linked[path]) for path, n in times.items()]
-
-
-def template(rows: pd.DataFrame) -> tuple[str, list[str]]:
-    """The main slot's path and the paths of menus, from a host's frequent tokens (path, pages, times, vector, text, linked)."""
-    pages = int(rows["pages"].max())
-    classes: dict[tuple, list] = {}
-    for r in rows.itertuples():
-        classes.setdefault((r.pages, r.times, r.vector), []).append(r)
-    skeleton = [r for (held, times, _), own in classes.items() if held >= NEARLY_ALL * pages and times == held for r in own]
-    whole = next((r.text - r.linked for r in skeleton if r.path == ""), 0)
-    holding = [r for r in skeleton if r.text - r.linked >= MAIN * whole]
-    main = ""
-    if whole and holding:
-        tag = lambda r: r.path.rpartition("/")[2].partition(".")[0]
-        named = [r for r in holding if tag(r) == "article"] or [r for r in holding if tag(r) == "main"]
-        boxes = [r for r in holding if not BLOCKS.intersection(x.partition(".")[0] for x in r.path.split("/")) and tag(r) not in INLINE]
-        main = max(named or boxes, key=lambda r: (r.path.count("/"), r.text, r.path)).path  # the page itself is a box
-    inside = any(x.partition(".")[0] in ("main", "article") for x in main.split("/"))
-    menus = [] if inside else [r.path for r in rows.itertuples() if r.path.rpartition("/")[2].partition(".")[0] in ("ul", "ol", "table") and r.text and r.linked >= LINKED * r.text and r.pages > 1]
-    return main, menus
-
-
-def main_text(page: str, main: str, menus: list[str]) -> str:
-    """The page's text in the main slot; where the page lacks the slot, all its text that isn't marked as something else."""
+        if not at[c]:
+            out.setdefault(c, (stack[-1], at[stack[-1]]) if stack else (-1, 0))
+            stack.append(c)
+        while stack[-1] != c:  # what opened since has not ended
+            if stack[-1] < c:
+                drop(c)
+                break
+            drop(stack[-1])
+        if out[c] is not None:
+            at[c] += 1
+            if at[c] == len(orders[c]):
+                at[c] = 0
+                stack.pop()
+    for c in list(stack):
+        drop(c)
+    return out
+
+
+@dataclass
+class Template:
+    """main: path of the main slot; None: no template. menus: paths inside it that are menus; weak: whether weak marks count; texts: keys of the template's texts."""
+
+    main: str | None = None
+    menus: list[str] = field(default_factory=list)
+    weak: bool = True
+    texts: list[int] = field(default_factory=list)
+
+
+def template(tokens: list[Token], valid: list[list[Token]], nested: dict[int, tuple[int, int]]) -> Template:
+    """From a host's frequent tokens, its classes, and the slot that each valid one nests in."""
+    pages = max((t.pages for t in tokens), default=0)
+    inside = {c for c in nested if _rooted(c, nested)}
+    skeleton = [t for c in inside for t in valid[c] if t.pages >= NEARLY_ALL * pages and t.times == t.pages]
+    boxes = {t.path: t for t in skeleton if not t.key}
+    if "" not in boxes:
+        return Template()
+    texts = [t for c in inside for t in valid[c] if t.key]
+    whole, weak = boxes[""], True
+    running = lambda t: t.text - t.linked
+    if whole.plain < UNMARKED * running(whole):
+        weak = not any(t.weak and running(t) >= MAIN * running(whole) for t in tokens if not t.key)
+    weight = (lambda t: t.plain) if weak else running
+    held = {p: weight(t) - sum(weight(x) for x in texts if (x.path + "/").startswith(p + "/")) for p, t in boxes.items()}
+    tags = lambda p: [x.partition(".")[0] for x in p.split("/")]
+    holding = [p for p in boxes if held[p] >= MAIN * held[""]] if held[""] > 0 else [""]
+    named = [p for p in holding if tags(p)[-1] == "article"] or [p for p in holding if tags(p)[-1] == "main"]
+    plain = [p for p in holding if not BLOCKS.intersection(tags(p)) and tags(p)[-1] not in INLINE]
+    main = max(named or plain or [""], key=lambda p: (p.count("/"), held[p], p))
+    if not named:
+        main = _with_headings(main, [t for t in tokens if not t.key], boxes, weight)
+    within = any(x in ("main", "article") for x in tags(main))
+    menus = [] if within else [t.path for t in tokens if not t.key and tags(t.path)[-1] in LISTS and t.text and t.linked >= LINKED * t.text and t.pages > 1]
+    return Template(main, sorted(menus), weak, sorted({t.key for t in texts}))
+
+
+def _rooted(c: int, nested: dict[int, tuple[int, int]]) -> bool:
+    """Whether a class and all that it nests in are valid."""
+    seen = set()
+    while c != -1:
+        if c not in nested or c in seen:
+            return False
+        seen.add(c)
+        c = nested[c][0]
+    return True
+
+
+def _with_headings(main: str, elements: list[Token], boxes: dict, weight) -> str:
+    """The outermost element around main that adds headings only."""
+    best, up, added = main, main, 0
+    heads = [t for t in elements if t.path.rpartition("/")[2].partition(".")[0] in HEADINGS]
+    while up:
+        up = up.rpartition("/")[0]
+        if up in boxes:
+            more = sum(weight(t) for t in heads if t.path.startswith(up + "/") and not t.path.startswith(main + "/"))
+            if weight(boxes[up]) - weight(boxes[main]) > more:
+                break
+            if more > added:
+                best, added = up, more
+    return best
+
+
+def own_template(page: str) -> Template:
+    """That of a page by itself."""
+    tokens, _ = structure(page)
+    elements = [t for t in tokens if not t.key]
+    found = classes(elements)
+    return template(elements, found, {c: (-1, 0) for c in range(len(found))})
+
+
+def main_text(page: str, known: Template | None) -> str:
+    """What stands in the slots of the page's main slot. A page without it is its own template; without any template all text returns."""
+    known = known or Template()
     kept: list[str] = []
-    all_: list[str] = []
-    under = main + "/"
-    left_off = tuple(m + "/" for m in menus)
-    found = not main
-    for element, body in parts(page):
-        if element is None:
+    main, found = known.main or "", not known.main
+    under, menus, texts = main + "/", tuple(m + "/" for m in known.menus), set(known.texts)
+    for kind, element, body in parts(page):
+        if kind == "cut":
             kept.append(" ")
-            all_.append(" ")
-        elif not body:
+        elif kind == "open":
             found = found or element.path == main
-        elif not element.dropped:
+        elif kind == "text" and not element.unseen:
             path = element.path + "/"
-            if not (left_off and path.startswith(left_off)):
-                all_.append(body)
-                if path.startswith(under) or not main:
-                    kept.append(body)
-    return " ".join(entities.unescape("".join(kept if found else all_)).split())
+            if known.main is not None:
+                if main and not path.startswith(under) or menus and path.startswith(menus):
+                    continue
+                if any(len(p) > len(main) and (known.weak or not weak) for p, weak, _ in element.marks):
+                    continue
+                if texts and text_key(element.path, " ".join(body.split())) in texts:
+                    continue
+            kept.append(body)
+    if not found:
+        return main_text(page, own_template(page))
+    return " ".join(entities.unescape("".join(kept)).split())
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, pages, main, menus of each host, from page_id, host, html."""
+# over hosts
+
+TALLY = "array<struct<id:bigint,path:string,key:bigint,times:int,text:bigint,linked:bigint,plain:bigint,weak:boolean,first:bigint>>"
+TOKENS = ("path", "key", "pages", "times", "vector", "text", "linked", "plain", "weak", "first")
+
+
+def structures(pages: DataFrame) -> DataFrame:
+    """host, page (hash of the html), tally (its tokens), events of each of a host's different pages, from host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "page_id", "path", "times", "text", "linked"]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        names = ("id", "path", "key", "times", "text", "linked", "plain", "weak", "first")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(host, page_id, *t) for page_id, host, page in zip(*[c.to_pylist() for c in part.columns], strict=True) for t in tokens(page)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows, ends, events = [], [0], []
+                for page in part.column(2):
+                    tokens, own = structure(page.as_py())
+                    rows += [(token_id(t.path, t.key), t.path, t.key, t.times, t.text, t.linked, t.plain, t.weak, t.first) for t in tokens]
+                    ends.append(len(rows))
+                    events.append(own)
+                values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(events, pa.list_(pa.int32()))], ["host", "page", "tally", "events"])
+
+    each = pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(run, f"host string, page long, tally {TALLY}, events array<int>")
+    return each.groupBy("host", "page").agg(F.any_value(F.struct("tally", "events")).alias("s")).select("host", "page", "s.*")
+
+
+def vectors(pages: DataFrame) -> DataFrame:
+    """host and TOKENS of the tokens that a host's template may hold, from its structures. Occurrences combine before the shuffle."""
+    each = pages.select("host", "page", F.explode("tally").alias("t")).select("host", "page", "t.*").withColumn("mixed", F.xxhash64("page", "times"))
+    half = F.lit(0xFFFFFFFF)
+    held = each.groupBy("host", "path", "key").agg(
+        F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum(F.col("mixed").bitwiseAND(half)).alias("low"), F.sum(F.shiftrightunsigned("mixed", 32)).alias("high"),
+        *[F.sum(c).alias(c) for c in ("text", "linked", "plain")], F.bool_or("weak").alias("weak"), F.sum("first").alias("first"),
+    )
+    held = held.where(f"key = 0 OR pages >= {SUPPORT}").withColumn("vector", F.xxhash64("low", "high")).select("host", *TOKENS)
+    held = materialize(held, "vectors")
+    sizes = held.where("path = '' AND key = 0").select("host", F.col("pages").alias("all_pages"))
+    return held.join(sizes, "host").where(F.col("pages") >= F.col("all_pages") * F.when(F.col("key") == 0, FREQUENT).otherwise(NEARLY_ALL)).drop("all_pages")
+
 
-    each = pages.select("page_id", "host", "html").mapInArrow(run, "host string, page_id long, path string, times long, text long, linked long")
-    held = each.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("times").alias("times"), F.bit_xor(F.xxhash64("page_id", "times")).alias("vector"), F.sum("text").alias("text"), F.sum("linked").alias("linked"))
-    held = materialize(held, "tokens")
-    sizes = held.where("path = ''").select("host", F.col("pages").alias("all_pages"))
-    frequent = held.join(sizes, "host").where(F.col("pages") >= F.col("all_pages") * FREQUENT)
+def _tokens(rows: pd.DataFrame) -> list[Token]:
+    return [Token(*r) for r in rows[list(TOKENS)].itertuples(index=False, name=None)]
 
-    def deduce(rows: pd.DataFrame) -> pd.DataFrame:
-        main, menus = template(rows)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [int(rows["pages"].max())], "main": [main], "menus": [menus]})
 
-    return frequent.groupBy("host").applyInPandas(deduce, "host string, pages long, main string, menus array<string>")
+def candidates(frequent: DataFrame) -> DataFrame:
+    """host, ids, spots, orders: the tokens of a host's classes by token_id, each with its class and place there, and each class's events.
+
+    Classes are numbered from the best supported.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = classes(_tokens(rows))
+        ids = [token_id(t.path, t.key) for own in found for t in own]
+        spots = [x for c, own in enumerate(found) for n in range(len(own)) for x in (c, n)]
+        orders = [order_of([(t.path, t.key) for t in own]) for own in found]
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "ids": [ids], "spots": [spots], "orders": [orders]})
+
+    return frequent.groupBy("host").applyInPandas(run, "host string, ids array<long>, spots array<int>, orders array<array<int>>")
+
+
+def by_host(rows: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with the columns of known (host, pages, columns). Hosts with over 1/1000 of all pages, fewer than 1000, are broadcast."""
+    total = known.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    often = F.col("pages") > -(-total // 1000)
+    hot, cold = F.broadcast(known.where(often).select("host", *columns)), known.where(~often).select("host", *columns)
+    return rows.join(hot, "host").unionByName(rows.join(hot.select("host"), "host", "left_anti").join(cold, "host"))
+
+
+def validated(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host, class, outer, slot, pages: on how many pages a class is in order and nests there; outer is null where it doesn't."""
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    joined = by_host(pages, materialize(found.join(sizes, "host"), "classes"), ["ids", "spots", "orders"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[str, tuple] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                host, tokens, events, *own = [batch.column(n)[i] for n in range(6)]
+                host = host.as_py()
+                if host not in recent:
+                    if len(recent) == 256:
+                        recent.clear()
+                    ids, spots, orders = [x.as_py() for x in own]
+                    recent[host] = (dict(zip(ids, zip(spots[::2], spots[1::2], strict=True), strict=True)), orders)
+                place, orders = recent[host]
+                at = [place.get(t) for t in tokens.as_py()]
+                own = [(s[0], s[1] if e >= 0 else -s[1] - 1) for e in events.as_py() if (s := at[e if e >= 0 else -e - 1])]
+                out += [(host, c, *(around or (None, None))) for c, around in fits(own, orders).items()]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ([],) * 4, kinds, strict=True)], ["host", "class", "outer", "slot"])
+
+    each = joined.select("host", F.col("tally.id").alias("tokens"), "events", "ids", "spots", "orders")
+    return each.mapInArrow(run, "host string, class int, outer int, slot int").groupBy("host", "class", "outer", "slot").agg(F.count("*").alias("pages"))
+
+
+def nested_in(rows: list[tuple]) -> dict[int, tuple[int, int]]:
+    """The slot of each valid class, from (class, outer, slot, pages): the one on most pages, if few pages break the class."""
+    held: dict[int, dict] = {}
+    for c, outer, slot, pages in rows:
+        held.setdefault(c, {})[None if outer is None else (outer, slot)] = pages
+    good = {c: {k: n for k, n in own.items() if k} for c, own in held.items() if own.get(None, 0) <= BROKEN * sum(own.values())}
+    return {c: max(own, key=lambda k: (own[k], (-k[0], -k[1]))) for c, own in good.items() if own}
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, pages, main, menus, weak, texts of each host, from host, html; see Template."""
+    each = materialize(structures(pages), "structures")
+    frequent = materialize(vectors(each), "frequent")
+    found = materialize(candidates(frequent), "candidates")
+    checked = validated(each, found)
+
+    def assemble(rows: pd.DataFrame, nests: pd.DataFrame) -> pd.DataFrame:
+        tokens = _tokens(rows)
+        some = [(int(c), None if pd.isna(o) else int(o), None if pd.isna(s) else int(s), int(n)) for c, o, s, n in nests[["class", "outer", "slot", "pages"]].itertuples(index=False, name=None)]
+        t = template(tokens, classes(tokens), nested_in(some))
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": [t.main], "menus": [t.menus], "weak": [t.weak], "texts": [t.texts]})
+
+    return frequent.groupBy("host").cogroup(checked.groupBy("host")).applyInPandas(assemble, "host string, main string, menus array<string>, weak boolean, texts array<bigint>")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
     Null html is empty and gives an empty text. A page without a host shares one template with all such pages; a host's
-    only page is its own template. Repeated rows return as often; an empty table gives no rows.
+    only page is its own template, and so is one without its host's main slot. Long texts are whole. Copies of a page
+    count once for the template and return as often as they come; other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    known = materialize(templates(rows), "templates")
-    total = known.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    often = F.col("pages") > -(-total // 1000)
-    hot = F.broadcast(known.where(often).select("host", "main", "menus"))  # under 1000 hosts
-    cold = known.where(~often).select("host", "main", "menus")
-    joined = rows.join(hot, "host").unionByName(rows.join(hot.select("host"), "host", "left_anti").join(cold, "host"))
+    known = templates(rows.select("host", "html")).join(rows.groupBy("host").agg(F.count("*").alias("pages")), "host")
+    joined = by_host(rows, materialize(known, "templates"), ["main", "menus", "weak", "texts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(*x) for x in zip(*[part.column(c).to_pylist() for c in ("html", "main", "menus")], strict=True)]
+                texts = [main_text(page, Template(main, menus, weak, keys)) for page, main, menus, weak, keys in zip(*[part.column(c).to_pylist() for c in ("html", "main", "menus", "weak", "texts")], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "main", "menus").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "main", "menus", "weak", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
