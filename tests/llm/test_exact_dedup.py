@@ -46,10 +46,11 @@ def test_hot_group_and_full_filter(spark, monkeypatch):
     got = exact_dedup.dedup_decisions(docs)
     want = docs.groupBy("text").agg(F.max("doc_id").alias("k"), F.count("*").alias("n")).join(docs, "text").selectExpr("doc_id", "k AS keep_id", "n AS group_size", "doc_id = k AS kept")
     assert got.drop("text_sha256").exceptAll(want).count() == 0 and got.count() == 30000
+    stays = got.where("kept").select("doc_id")
+    assert exact_dedup.drop_copies(docs).select("doc_id").exceptAll(stays).count() == 0 and stays.count() == exact_dedup.drop_copies(docs).count()
 
 
 def test_filter_lets_unique_rows_pass(spark):
     docs = spark.range(20000).selectExpr("id AS doc_id", "concat('text ', least(id, 19990)) AS text")
-    digests, rows, bits, slots = exact_dedup._first_pass(docs, "doc_id", "text")
-    maybe = exact_dedup.possibly_repeated(digests, bits, slots).where("_maybe").count()
-    assert rows == 20000 and 10 <= maybe < 800
+    digests, bits, slots = exact_dedup._first_pass(docs, "doc_id", "text")
+    assert 10 <= exact_dedup.tested(digests, "_h", bits, slots).where("_maybe").count() < 200
