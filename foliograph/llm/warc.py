@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import materialize, new_dir
+from foliograph.llm.exact_dedup import filter_of, repeated, tested
 
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
-#: Bytes of a range, and of a read.
-RANGE, READ = 8 << 20, 1 << 18
+#: Bytes of a range, of a read, and of a false candidate's header that is looked through at most.
+RANGE, READ, LOOKED = 8 << 20, 1 << 18, 1 << 22
+#: Reading tasks at most; past that a task has several ranges.
+TASKS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LENGTH_HEADER = "X-Payload-Length"
@@ -38,16 +41,29 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload, bytes, digest, refers_to: of equal payloads of LEAST_BYTES or more, the smallest key's is stored."""
+    """page_id, url, payload, bytes, refers_to: of equal payloads of LEAST_BYTES or more, the smallest key's is stored.
+
+    Which payloads repeat is told from keys and digests. A Bloom filter of those that do lets pages of other payloads pass;
+    the rest meet the smallest key by digest, those of very frequent payloads in a broadcast of fewer than 1000.
+    """
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.cast("binary").alias("payload"), F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("digest"))
-    counts = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = materialize(counts, "payloads")
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.broadcast(repeated.where(F.col("n") > -(-total // 1000)).drop("n"))  # fewer than 1000
-    cold = repeated.where(F.col("n") <= -(-total // 1000)).select(F.col("digest"), F.col("first").alias("other"))
-    joined = rows.join(hot, "digest", "left").join(cold, "digest", "left").withColumn("first", F.coalesce("first", "other"))
-    return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(F.col("first") != F.coalesce("page_id", F.lit(-(1 << 63))), F.col("first")).alias("refers_to"))
+    keys = pages.select(F.col(key).cast("long").alias("page_id"), F.xxhash64(body).alias("_h"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes"))
+    keys = materialize(keys.where(F.col("bytes") >= LEAST_BYTES).drop("bytes"), "payloads")
+    often = repeated(keys, "_h")
+    bits, slots = filter_of(often, "_h", often.count())
+    groups = tested(keys, "_h", bits, slots).where("_maybe").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups, "groups")
+    limit = -(-groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1000)
+    hot = F.broadcast(groups.where(F.col("n") > limit).drop("n"))  # fewer than 1000
+    cold = groups.where(F.col("n") <= limit).drop("n")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("bytes"), F.xxhash64(body).alias("_h"))
+    rows = tested(rows, "_h", bits, slots).withColumn("_maybe", F.col("_maybe") & (F.col("bytes") >= LEAST_BYTES))
+    alone = rows.where("NOT _maybe").withColumn("first", F.lit(None).cast("long"))
+    maybe = rows.where("_maybe").withColumn("digest", F.sha2("html", 256))
+    common = maybe.join(hot, "digest")
+    other = maybe.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest", "left")
+    every = alone.unionByName(common.drop("digest")).unionByName(other.drop("digest"))
+    return every.select("page_id", "url", F.col("html").cast("binary").alias("payload"), "bytes", F.sha2("html", 256).alias("digest"), F.when(F.col("first") != F.coalesce("page_id", F.lit(-(1 << 63))), F.col("first")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -116,14 +132,14 @@ class _Member:
 
 
 def _head(blocks: Iterator[bytes], start: bytes = b"") -> tuple[bytes, bytes]:
-    """What comes before the first empty line, and what was read after it."""
-    got = start
-    while b"\r\n\r\n" not in got:
+    """What comes before the first empty line, and what was read after it. Only the head of a WARC record may be long."""
+    got, looked = bytearray(start), 0
+    while (end := got.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+        looked = len(got)
+        if looked > LOOKED and not got.startswith(b"WARC/"):
+            raise ValueError("no header")
         got += next(blocks)
-        if len(got) > 1 << 20:
-            raise ValueError("a header is over 1 MB")
-    head, _, rest = got.partition(b"\r\n\r\n")
-    return head, rest
+    return bytes(got[:end]), bytes(got[end + 4 :])
 
 
 def read_record(file: pa.NativeFile, at: int) -> tuple[dict[str, str], int, str, int]:
@@ -205,7 +221,8 @@ def read(archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    dealt = ranges.repartition("path", "start")
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    dealt = ranges.repartition(min(int(tasks), TASKS))  # a number, or small rows would be brought together
     return dealt.mapInArrow(run, "path string, offset long, headers map<string,string>, payload_bytes long, payload_digest string")
 
 
@@ -213,7 +230,8 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """Writes all pages as archives, reads them back; page_id, payload_bytes, payload_digest, record_type, refers_to of each record.
 
     Null html is an empty payload, a null url is left out of the record, a null key can't be referred to. Rows that repeat
-    key and payload are all responses. An empty table gives no rows.
+    key and payload are all responses. Payloads and urls of any length are whole; a payload is never held whole when read.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     archives = write(pages, new_dir(pages.sparkSession, "warc"), key, url, html)
     header = lambda name: F.try_element_at("headers", F.lit(name))

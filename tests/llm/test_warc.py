@@ -82,3 +82,28 @@ def test_small_ranges_in_spark(spark):
     archives = warc.write(frame(spark, PAGES), new_dir(spark, "warc-test"))
     assert archives.agg({"records": "sum"}).first()[0] == len(PAGES)
     assert warc.read(archives, 64).count() == len(PAGES)
+
+
+def test_a_task_for_each_range(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "sha2(cast(id AS string), 512) || sha2(cast(-id AS string), 512) AS html")
+    archives = warc.write(pages.repartition(2), new_dir(spark, "warc-test"))
+    ranges = archives.selectExpr("sum(ceil(bytes / 4096))").first()[0]
+    tasks = {r[0] for r in warc.read(archives, 4096).selectExpr("spark_partition_id()").collect()}
+    assert ranges > 16 and len(tasks) > ranges // 2
+
+
+def test_long_url(spark):
+    rows = [(1, "http://x/" + "u" * 2_000_000, BIG), (2, "http://x/" + "ü" * 700_000, BIG), (3, "y", "z")]
+    got = warc.round_trip(frame(spark, rows)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
+def test_very_frequent_payload(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", f"CASE WHEN id % 3 = 0 THEN '{BIG}' ELSE repeat(cast(id div 2 AS string), 40) END AS html")
+    got = {r.page_id: r.refers_to for r in warc.round_trip(pages).collect()}
+    want = {}
+    for i in range(3000):
+        body = BIG if i % 3 == 0 else str(i // 2) * 40
+        want.setdefault(body, []).append(i)
+    firsts = {i: own[0] if i != own[0] and len(body.encode()) >= 100 else None for body, own in want.items() for i in own}
+    assert got == firsts
