@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from foliograph.llm.common import materialize, smallest
+from foliograph.llm.exact_dedup import filter_of, repeated, tested
 
 #: A leaf is planned for so many fingerprints, without visitors.
 LEAF = 4096
@@ -42,6 +43,8 @@ BAND, STAY, MEET = 6, 0.9, 0.95
 SHINGLED, COMMON, FEW = 8_000, 1 << 18, 8
 #: Texts that are looked up in a broadcast at most; more meet theirs in a shuffle.
 LOOKED_UP = 500_000
+#: Texts whose shingles a worker holds at a time.
+TEXTS = 64
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -344,31 +347,35 @@ def _prints(texts: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, heads, counts = [], [], [], []
-            for x in batch.column(2):
-                own = shingle_set(x.as_py(), width)
-                fps.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                sizes.append(len(own))
-                heads.append(head(own, common).tobytes())
-                counts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "at", "fp", "n", "head", "counts"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                fps, sizes, heads, counts = [], [], [], []
+                for x in part.column(2):
+                    own = shingle_set(x.as_py(), width)
+                    fps.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                    sizes.append(len(own))
+                    heads.append(head(own, common).view(np.int64))
+                    counts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads), pa.array(counts, pa.binary())], ["doc_id", "at", "fp", "n", "head", "counts"])
 
-    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head binary, counts binary")
+    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head array<long>, counts binary")
 
 
-def _shared(fps: DataFrame) -> DataFrame:
-    """token, fp, n, pos, held: the head's shingles that more than one of the sets (fp, n, head) has in its head; held is how many have it."""
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for fp, n, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                token = np.frombuffer(own, "<i8")
-                if len(token):
-                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), fp)), pa.array((n << 32) + np.arange(len(token)))], ["token", "fp", "place"])
 
-    tokens = fps.select("fp", "n", "head").mapInArrow(run, "token long, fp long, place long")
-    held = tokens.withColumn("held", F.count("*").over(W.Window.partitionBy("token"))).where("held > 1")
-    return materialize(held.select("token", "fp", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"), "held"), "shared")
+def _shared(fps: DataFrame) -> DataFrame:
+    """token, fp, n, pos, held: the head's shingles that more than one of the sets (fp, n, head) has in its head; held is how many have it.
+
+    Only shingles that a Bloom filter of the repeated ones lets through move with their set; the others move alone, to be counted.
+    """
+    often = repeated(fps.select(F.explode("head").alias("token")), "token")
+    bits, slots = filter_of(often, "token", often.count())
+    tokens = fps.select("fp", "n", F.posexplode("head").alias("pos", "token"))
+    maybe = tested(tokens, "token", bits, slots).where("_maybe").join(often.withColumnRenamed("n", "held"), "token")
+    return materialize(maybe.select("token", "fp", "n", "pos", "held"), "shared")
 
 
 #: Whether a set x can have a similarity of 0.8 with a larger set y by a shingle at their pos.
@@ -402,20 +409,14 @@ def _verified(pairs: DataFrame, fps: DataFrame, texts: DataFrame, width: int) ->
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())], ["fp", "own"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(x.as_py(), width).view(np.int64) for x in part.column(1)])], ["fp", "own"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(5 * both >= 4 * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
-
-    sets = bodies.mapInArrow(hashed, "fp long, own binary")
+    sets = materialize(bodies.mapInArrow(hashed, "fp long, own array<long>"), "sets")
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("own").alias("y")), "v")
-    return materialize(both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "verified")
+    shared = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("n"))
+    return materialize(shared.where("5 * both >= 4 * (n - both)").select("u", "v"), "verified")
 
 
 def _similar_edges(fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
