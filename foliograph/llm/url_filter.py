@@ -1,7 +1,8 @@
 """URL filter: host rules, and gradient-boosted trees on lexical features for the urls that no rule fits.
 
 The labelled urls are those that a rule fits. Features, scoring and statistics are DataFrame functions; the trees are
-Spark ML's, trained on a bounded sample and applied in the JVM; the rates of suffixes are those of all labelled urls.
+Spark ML's, trained on a bounded sample and applied in the JVM; the rates of suffixes are those of all labelled urls. A url
+that the trees are trained on has the rates of the other folds, so that they can't tell its own label.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from foliograph.llm.common import materialize, smallest
 
 #: Labelled urls that the trees are trained on, at most: those of smallest hash, so any run takes the same.
 SAMPLE = 20_000
+#: Folds of the labelled urls.
+FOLDS = 5
 #: Rows by which a suffix's rate is drawn to the overall rate.
 PRIOR = 10.0
 SUFFIXES = ("domain", "extension", "segment")
@@ -91,16 +94,34 @@ def with_features(pages: DataFrame) -> DataFrame:
     })
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url", "page_id", F.lit("fold")), F.lit(FOLDS))
+
+
 def _rates(rows: DataFrame) -> tuple[DataFrame, int, int, float]:
-    """kind, suffix, rows, labelled, label_sum of each suffix over all rows (given: the verdict, or null); their number, that of labelled ones, and the sum of labels."""
+    """kind, suffix, rows, labelled, label_sum and these two by folds, of each suffix over all rows (given: the verdict, or null); their number, that of labelled ones, and the sum of labels."""
     label = (F.col("given") == "block").cast("double")
     kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("kind"), F.coalesce(s, F.lit("")).alias("suffix")) for s in SUFFIXES])).alias("of")
-    each = with_features(rows).withColumn("label", label).select(kinds, "label").select("of.*", "label")
-    held = materialize(each.groupBy("kind", "suffix").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("label_sum")), "suffixes")
+    each = with_features(rows).withColumns({"label": label, "fold": _fold()}).select(kinds, "label", "fold").select("of.*", "label", "fold")
+    mine = lambda f: F.when(F.col("fold") == f, F.col("label"))
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    folds = [F.array(*[F.count(mine(f)) for f in range(FOLDS)]).alias("fold_labelled"), F.array(*[sums(mine(f)) for f in range(FOLDS)]).alias("fold_sum")]
+    held = materialize(each.groupBy("kind", "suffix").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), sums("label").alias("label_sum"), *folds), "suffixes")
     total = held.where(F.col("kind") == SUFFIXES[0]).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "labelled", "label_sum")]).first()
     return held, int(total[0]), int(total[1]), float(total[2])
 
 
+def _out_of_fold(sample: DataFrame, held: DataFrame, overall: float) -> DataFrame:
+    """Adds each suffix's rate among the labelled urls of the other folds. The sample, of SAMPLE rows at most, is broadcast."""
+    at = F.col("fold").cast("int")
+    for s in SUFFIXES:
+        side = held.where(F.col("kind") == s).select(F.col("suffix").alias(s), "labelled", "label_sum", "fold_labelled", "fold_sum")
+        joined = side.join(F.broadcast(sample.withColumns({s: F.coalesce(s, F.lit("")), "fold": _fold()})), s)
+        rate = (F.col("label_sum") - F.get("fold_sum", at) + PRIOR * overall) / (F.col("labelled") - F.get("fold_labelled", at) + PRIOR)
+        sample = joined.select(*sample.columns, rate.alias(f"{s}_rate"))
+    return sample
+
+
 def _with_rates(rows: DataFrame, held: DataFrame, count: int, overall: float) -> DataFrame:
     """Adds each suffix's smoothed share of blocked rows among all labelled ones.
 
@@ -143,7 +164,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: st
     labelled = smallest(rows.where("rule IS NOT NULL"), F.xxhash64("url", "page_id"), SAMPLE, count, "url", "page_id")
     sample = materialize(with_features(labelled).withColumn("label", (F.col("given") == "block").cast("double")), "urls")
     columns = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, maxBins=64, seed=7).fit(columns.transform(_with_rates(sample, held, every, overall)).select("features", "label"))
+    trees = GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, maxBins=64, seed=7).fit(columns.transform(_out_of_fold(sample, held, overall)).select("features", "label"))
     ruled = rows.where("rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("given").alias("verdict"), F.lit(None).cast("double").alias("score"))
     open_ = _with_rates(with_features(rows.where("rule IS NULL")), held, every, overall)
     scored = trees.transform(columns.transform(open_)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))

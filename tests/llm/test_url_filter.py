@@ -1,6 +1,7 @@
 import random
 
 from foliograph.llm import url_filter as u
+from pyspark.sql import functions as F
 
 RULES = (u.Rule("allow", "com", "/"), u.Rule("block", "example.com", "/en/"), u.Rule("allow", "www.example.com", "/en/"), u.Rule("block", "net", "/es/"))
 
@@ -70,3 +71,14 @@ def test_rates_cover_all_labelled_urls(spark, monkeypatch):
     open_ = [r for r in got if r.rule is None]
     assert len(got) == len(rows) and len(open_) == 300
     assert sum(r.verdict == truth[r.page_id] for r in open_) / len(open_) > 0.95
+
+
+def test_rates_of_the_training_urls_lack_their_own_label(spark):
+    rows = [(i, f"http://{'bad' if i % 2 else 'dab'}.com/s{i}/x") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": u.host_of(F.col("url")), "path": u.path_of(F.col("url"))})
+    pages = pages.withColumn("given", F.when(F.col("host") == "bad.com", "block").otherwise("allow"))
+    held, _, count, blocked = u._rates(pages)
+    sample = u.with_features(pages).withColumn("label", (F.col("given") == "block").cast("double"))
+    got = u._out_of_fold(sample, held, blocked / count).collect()
+    assert len(got) == 60 and {r.segment_rate for r in got} == {0.5}  # each segment is one url's
+    assert all(0 < r.domain_rate < 1 for r in got)
