@@ -1,16 +1,17 @@
 """SimHash fingerprints and near-duplicate classes through vantage-point trees.
 
-The tree cuts fingerprint space by Hamming distance: a node has a vantage fingerprint and a radius, near points go left
-and far points right. Two points within `link` bits lie on one side, or the far one within `link` of the border; so a far
-point in that band also visits the left side, and by the triangle inequality no other branch can hold a linked partner.
-Every linked pair thus meets in a leaf, where it is found exactly. Only distinct fingerprints enter the tree, and a leaf
-returns a spanning forest of its links, so a group of copies never becomes all its pairs. Classes then come from
-alternating stars over those edges.
-
-64 bits tell few differing bits exactly, but not a similarity of 0.8, at which texts differ in 10 of 64 and unlike texts
-are found by chance. Similar texts (drop_near_duplicates) are therefore found by prefix filtering: in any one order of all
-shingles, two sets of a similarity of 0.8 share a shingle among the first fifth of each. Sets that do are compared shingle
-by shingle, so no pair is lost or told by an estimate. Fingerprints of 512 bits in several trees (similar) estimate it.
+A tree cuts fingerprint space by Hamming distance: a node has a vantage fingerprint and a radius, near points go left and
+far points right. Two points within a link lie on one side, or the far one within the link of the border; so a far point in
+that band also visits the left side, and by the triangle inequality no other branch can hold a linked partner. Every linked
+pair thus meets in a leaf, where it is found exactly. Random fingerprints crowd around the border, so the link must be
+short: the bits are parted, and a pair that differs in 4 bits differs in at most 1, 1 or 0 bits of one of three parts, each
+of which has a tree of its own. Only distinct fingerprints enter the trees, and a leaf returns a spanning forest of its
+links, so a group of copies never becomes all its pairs. Classes then come from alternating stars over those edges.
+
+64 bits tell few differing bits exactly, but not a similarity of 0.8, at which texts differ in up to 20 bits and unlike
+texts are found by chance. Similar texts (drop_near_duplicates) are therefore found by prefix filtering: in any one order of
+all shingles, two sets of a similarity of 0.8 share a shingle among the first fifth of each. Sets that do are compared
+shingle by shingle, so no pair is lost or told by an estimate.
 """
 
 from __future__ import annotations
@@ -28,17 +29,15 @@ from pyspark.sql import window as W
 from foliograph.llm.common import materialize, smallest
 from foliograph.llm.exact_dedup import filter_of, repeated, tested
 
-#: A leaf is planned for so many fingerprints, without visitors.
-LEAF = 4096
+#: A leaf is planned for so many fingerprints, with visitors; one of over MOST is compared in blocks.
+LEAF, MOST = 1 << 14, 500_000
+#: Share of a node's points that visit the other side of a border of one bit, about.
+VISIT = 0.17
 #: Vantage points and radii are fitted on so many fingerprints at most.
 SAMPLE = 20_000
 #: Shingles that are hashed at a time; bounds memory on very long texts.
 CHUNK = 1 << 16
 BANDS = 5
-#: Words of 64 bits of the fingerprints of similar texts, bits in which they differ at most, and bits in which their first words do.
-WIDE, SIMILAR, FIRST = 8, 82, 22
-#: Border that points visit in trees of wide fingerprints; the chance that a pair at the limit stays together at a node, by that border, and is to meet in a tree.
-BAND, STAY, MEET = 6, 0.9, 0.95
 #: Texts that tell about which shingles are common, and common shingles at most; a shingle is in few heads if in so many.
 SHINGLED, COMMON, FEW = 8_000, 1 << 18, 8
 #: Texts that are looked up in a broadcast at most; more meet theirs in a shuffle.
@@ -84,56 +83,32 @@ def with_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """WIDE words by distinct shingles, of their hash and of mixed forms of it; zero for a text without words."""
-    blocks = list(shingle_hashes(text, width))
-    hashes = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
-    ones = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), CHUNK // WIDE):
-        x = hashes[at : at + CHUNK // WIDE, None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        bits = np.unpackbits((x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        for i in range(0, len(bits), 255):  # so many ones still fit into a byte
-            ones += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
-
-
-def with_wide_fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """doc_id, code (WIDE words) for each row of docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [wide_fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "code"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, code binary")
-
-
-def words_of(codes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), "<u8").reshape(-1, WIDE)
+def parted(link: int) -> list[tuple[int, int]]:
+    """(mask, link) of parts of the 64 bits: two fingerprints within `link` bits are within a part's own link in one of them, at least."""
+    links = [1] * ((link + 1) // 2) + [0] * ((link + 1) % 2)
+    cuts = np.linspace(0, 64, len(links) + 1).astype(int).tolist()
+    return [((1 << hi) - (1 << lo), own) for lo, hi, own in zip(cuts[:-1], cuts[1:], links, strict=True)]
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
-    """Differing bits of one-word fingerprints, or of rows of several words."""
-    bits = np.bitwise_count(a ^ b)
-    return bits.sum(axis=1, dtype=np.int64) if bits.ndim == 2 else bits
+    """Differing bits."""
+    return np.bitwise_count(a ^ b)
 
 
-def plant(sample: np.ndarray, depth: int, link: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Vantage points and radii of a full tree of that depth, node n's children being 2n+1 and 2n+2.
+def plant(sample: np.ndarray, depth: int, mask: int, link: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage points and radii of a full tree of that depth on the masked bits, node n's children being 2n+1 and 2n+2.
 
     A node's vantage point is the one of some sampled candidates that leaves the fewest points in the border band
     for the evenest cut; below an empty node any will do.
     """
-    rng = np.random.default_rng(seed)
-    words, middle = sample.shape[1:], 32 * max(1, sample[:1].size) - 1
-    points, radii = np.zeros(((1 << depth) - 1, *words), np.uint64), np.full((1 << depth) - 1, middle, np.int64)
-    held = {0: sample}
+    rng, masked = np.random.default_rng(seed), np.uint64(mask)
+    middle = mask.bit_count() // 2
+    points, radii = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, middle, np.int64)
+    held = {0: sample & masked}
     for node in range(len(points)):
         own = held.pop(node)
         best = None
-        for vantage in [*rng.choice(own, min(len(own), 6), replace=False), rng.integers(0, 1 << 63, words or None, dtype=np.uint64) * np.uint64(2)]:
+        for vantage in [*rng.choice(own, min(len(own), 6), replace=False), (rng.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, dtype=np.uint64)) & masked]:
             d = distance(own, vantage)
             radius = int(np.median(d)) if len(d) else middle
             for r in {max(0, radius - 1), radius}:
@@ -218,64 +193,45 @@ def leaf_links(fps: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
     return own, root[own]
 
 
-def similar_links(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all pairs within SIMILAR bits among distinct codes: each point and its root."""
-    forest, first = _Forest(len(codes)), np.ascontiguousarray(codes[:, 0])
-    for at in range(0, len(codes), 64):
-        a, b = np.nonzero(np.bitwise_count(first[at : at + 64, None] ^ first[None, at + 1 :]) <= FIRST)
-        a, b = a + at, b + at + 1
-        later = b > a
-        a, b = a[later], b[later]
-        near = distance(codes[a], codes[b]) <= SIMILAR
-        if near.any():
-            forest.join(a[near], b[near])
-    root = forest.flat()
-    own = np.flatnonzero(root != np.arange(len(codes)))
-    return own, root[own]
+def depth_for(count: int, link: int) -> int:
+    """Levels after which a leaf has about LEAF points: each level halves them and lets VISIT of them, if any, visit."""
+    kept = (1 + (VISIT if link else 0)) / 2
+    return max(0, int(np.ceil(np.log(max(1, count / LEAF)) / -np.log(kept))))
 
 
-def similar(fps: DataFrame, count: int) -> DataFrame:
-    """u, v: edges between the fp of distinct codes (fp, code) whose codes differ in at most SIMILAR bits."""
-    depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
-    trees = int(np.ceil(np.log(1 - MEET) / np.log(1 - STAY**depth))) if depth else 1
-    sample = words_of([bytes(r[0]) for r in smallest(fps, F.xxhash64("fp"), SAMPLE, count).select("code").collect()]) if depth else np.zeros((0, WIDE), np.uint64)
-    planted = [plant(sample, depth, BAND, seed) for seed in range(trees)]
+def visits(fps: DataFrame, count: int, link: int) -> DataFrame:
+    """tree, leaf, fp: the leaves of each part's tree that each fp belongs to or visits."""
+    parts = [(mask, own, depth_for(count, own)) for mask, own in parted(link)]
+    sample = np.array([r[0] for r in smallest(fps.select("fp"), F.xxhash64("fp"), SAMPLE, count).collect()] if any(d for _, _, d in parts) else [], np.int64).view(np.uint64)
+    planted = [(np.uint64(mask), own, depth, *plant(sample, depth, mask, own)) for mask, own, depth in parts]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = words_of(batch.column(1).to_pylist())
-            for tree, (points, radii) in enumerate(planted):
-                leaf, at = routed(own, points, radii, depth, BAND)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int64)), pa.array(leaf), *[c.take(pa.array(at)) for c in batch.columns]], ["tree", "leaf", "fp", "code"])
-
-    def search(table: pa.Table) -> pa.Table:
-        names = table.column("fp").to_numpy()
-        a, b = similar_links(words_of(table.column("code").to_pylist()))
-        return pa.table({"u": names[a], "v": names[b]})
+            own = batch.column(0).to_numpy().view(np.uint64)
+            for tree, (mask, near, depth, points, radii) in enumerate(planted):
+                leaf, at = routed(own & mask, points, radii, depth, near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(leaf), pa.array(own[at].view(np.int64))], ["tree", "leaf", "fp"])
 
-    visits = fps.select("fp", "code").mapInArrow(visit, "tree long, leaf long, fp long, code binary")
-    return visits.groupBy("tree", "leaf").applyInArrow(search, "u long, v long")
+    return fps.select("fp").mapInArrow(visit, "tree int, leaf long, fp long")
 
 
 def linked(fps: DataFrame, count: int, link: int) -> DataFrame:
-    """u, v: edges between distinct fingerprints whose classes are those of all links within `link` bits."""
-    depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
-    sample = [r[0] for r in smallest(fps.select("fp"), F.xxhash64("fp"), SAMPLE, count).collect()] if depth else []
-    points, radii = plant(np.array(sample, np.int64).view(np.uint64), depth, link)
+    """u, v: edges between distinct fingerprints whose classes are those of all links within `link` bits.
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            leaf, at = routed(own, points, radii, depth, link)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own[at].view(np.int64))], ["leaf", "fp"])
+    A leaf of more than MOST points is cut into blocks, and each pair of its blocks is a group of its own.
+    """
+    met = materialize(visits(fps, count, link), "visits")
+    large = met.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("tree", "leaf", F.ceil(F.col("n") / MOST).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
+    dealt = met.join(large, ["tree", "leaf"], "left").select("tree", "leaf", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("block"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(pdf["fp"].to_numpy()).view(np.uint64)
         a, b = leaf_links(own, link)
         return pd.DataFrame({"u": own[a].view(np.int64), "v": own[b].view(np.int64)})
 
-    visits = fps.select("fp").mapInArrow(visit, "leaf long, fp long")
-    return visits.groupBy("leaf").applyInPandas(search, "u long, v long")
+    return dealt.groupBy("tree", "leaf", "block").applyInPandas(search, "u long, v long")
 
 
 def classes(edges: DataFrame) -> DataFrame:
