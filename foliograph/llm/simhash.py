@@ -414,10 +414,19 @@ def _similar(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """doc_id, at (hash of the text), fp, component_id, chosen (the fp of its class with the smallest key) of each row of docs."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("at"))
     prints = materialize(_prints(texts, width, _common(texts, width, docs.count())), "prints")
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("counts").alias("counts")), "fps")
+    fps = materialize(_distinct(prints), "fps")
     return _components(prints.drop("n", "head", "counts"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
 
 
+def _distinct(prints: DataFrame) -> DataFrame:
+    """fp, first (the smallest doc_id), at, n, head, counts of each set. Sets of one row pass a Bloom filter and don't move."""
+    often = repeated(prints, "fp")
+    each = tested(prints.withColumn("first", F.col("doc_id")), "fp", *filter_of(often, "fp", often.count()))
+    rest = ["at", "n", "head", "counts"]
+    alone = each.where("NOT _maybe").select("fp", "first", *rest)
+    return alone.unionByName(each.where("_maybe").groupBy("fp").agg(F.min("first").alias("first"), F.min("at").alias("at"), *[F.first(c).alias(c) for c in rest[1:]]))
+
+
 def _components(prints: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
     """Each row of prints (doc_id, fp, others) with component_id and chosen, the fp of its class with the smallest key, by the links (u, v) between fps (fp, first)."""
     roots = classes(links)
