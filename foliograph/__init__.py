@@ -8,11 +8,16 @@ import zipfile
 from pathlib import Path
 
 _SHIPPED: dict[str, str] = {}
+#: Rows that a Python worker is sent at a time, where the session doesn't say: whole texts of these fit beside a tokenizer.
+BATCH = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark) -> None:
-    """Sends this package to the executors once per application, as --py-files would."""
+    """Sends this package to the executors once per application, as --py-files would, and bounds the batches of Python workers."""
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH_SETTING)) == 10_000:  # Spark's own default
+        spark.conf.set(BATCH_SETTING, str(BATCH))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
