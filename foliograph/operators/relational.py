@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliograph.functions import canonical, geometry
+from foliograph.plans.work import keep
 
 
 def missing(edges: DataFrame, targets: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -16,16 +17,18 @@ def missing(edges: DataFrame, targets: DataFrame, on: str | Sequence[str]) -> Da
     return edges.join(targets, on, "left_anti")
 
 
-def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key by order; `repeats` tells how many more had the key."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumns({"_n": F.row_number().over(w.orderBy(*order)), "repeats": F.count("*").over(w) - 1}).where("_n = 1").drop("_n")
+def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key by order; `repeats` tells how many more had the key. Combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.lit(None)
+    out = rows.groupBy(*keys).agg(first.alias("_first"), (F.count("*") - 1).alias("repeats"))
+    return out.select(*[c if c in keys else F.col(f"_first.{c}").alias(c) for c in rows.columns], "repeats")
 
 
-def last_value_first_place(rows: DataFrame, key: str, order: str) -> DataFrame:
+def last_value_first_place(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Of rows with one key the last by order, at the place of the first. Combines before the shuffle."""
-    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (key, order)]), order)
-    return rows.groupBy(key).agg(F.min(order).alias(order), last.alias("_last")).select(key, order, "_last.*")
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, order)]), order)
+    return rows.groupBy(*keys).agg(F.min(order).alias(order), last.alias("_last")).select(*keys, order, "_last.*")
 
 
 def duplicated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -33,11 +36,11 @@ def duplicated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def override_or_default(rows: DataFrame, overrides: DataFrame, defaults: DataFrame, override_key: str, default_key: str, value: str) -> DataFrame:
-    """Adds value: that of the override for the row's key, else the default for its other key, else null."""
-    over = overrides.select(F.col(override_key), F.col(value).alias("_over"))
-    default = defaults.select(F.col(default_key), F.col(value).alias("_default"))
-    joined = rows.join(over, override_key, "left").join(default, default_key, "left")
+def override_or_default(rows: DataFrame, overrides: DataFrame, defaults: DataFrame, override_keys: Sequence[str], default_keys: Sequence[str], value: str) -> DataFrame:
+    """Adds value: that of the override for the row's keys, else the default for its other keys, else null."""
+    over = overrides.select(*override_keys, F.col(value).alias("_over"))
+    default = defaults.select(*default_keys, F.col(value).alias("_default"))
+    joined = rows.join(over, list(override_keys), "left").join(default, list(default_keys), "left")
     return joined.select(*rows.columns, F.coalesce("_over", "_default").alias(value))
 
 
@@ -69,7 +72,9 @@ def outside(rows: DataFrame, polygon: str, frame: str, tolerance: float, least:
     )))
     over = rows.withColumns({"edges": edges, "area": geometry.area(F.col(polygon))}).where("size(edges) > 0 AND area > 0")
     inside = geometry.intersection(F.col(polygon), geometry.rectangle(room["x"], room["y"], room["width"], room["height"]))
-    over = over.withColumn("inside", inside).withColumn("inside_area", geometry.area(F.col("inside")))
+    # exploded, so that the clip is worked out once and not again by the filter
+    over = over.withColumn("_cut", F.explode(F.array(geometry.let(inside, lambda v: F.struct(v.alias("inside"), geometry.area(v).alias("area"))))))
+    over = over.withColumns({"inside": F.col("_cut.inside"), "inside_area": F.col("_cut.area")}).drop("_cut")
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("area") - F.col("inside_area")) / F.col("area")))
     return over.withColumn("outside_ratio", ratio).where(canonical.at_least(F.col("outside_ratio"), least))
 
@@ -103,3 +108,20 @@ def severity_counts(rows: DataFrame, group: str | None, severity: str = "severit
     """errors, warnings, total of each group and, as the null group, of all."""
     aggs = [F.count_if(F.col(severity) == "error").alias("errors"), F.count_if(F.col(severity) == "warning").alias("warnings"), F.count("*").alias("total")]
     return rows.rollup(group).agg(*aggs) if group else rows.agg(*aggs)
+
+
+def places(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds name: 1, 2, 3, ... in each group by order. No group is sorted in one task.
+
+    Spark's range partitioning by group and order cuts even one group into many ranges; rows are numbered in their
+    partition's part of the group, and shifted by the counts of the partitions before.
+    """
+    dealt = keep(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
+    inside = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    same = F.lit(True)
+    for c in (*group, "_part"):
+        same = same & inside[c].eqNullSafe(starts[c])
+    return inside.join(starts, same).select(*[inside[c] for c in rows.columns], (F.col("_r") + F.col("_start")).alias(name))

@@ -21,7 +21,7 @@ from foliograph.sources import decks
 #: EMU in a point (fixed value).
 POINT = 12700
 NUL = "\u0000"
-DRAFT = ("input_key", "rule_id", "severity", "message", "part", "slide_number", "slide_id", "shape_ids", "shape_names", "paragraph", "run", "evidence", "discriminator")
+DRAFT = ("input_key", "rule_id", "severity", "message", "part", "slide_number", "slide_id", "shape_ids", "shape_names", "paragraph", "run", "evidence", "discriminator", "emitted")
 
 
 @dataclass
@@ -30,6 +30,7 @@ class Facts:
 
     files: DataFrame
     parts: DataFrame
+    types: DataFrame
     edges: DataFrame
     slides: DataFrame
     leaves: DataFrame
@@ -41,9 +42,12 @@ class Facts:
 def facts(files: DataFrame, limits: dict | None = None, with_rasters: bool = False) -> Facts:
     """files: file, input_key, source_sha256, content (see decks.decks). Packages are parsed once and the facts kept."""
     parts = keep(decks.names(keep(decks.entries(files, limits, with_rasters), "entries")), "parts")
-    edges, said = package.relationships(parts)
-    edges = keep(edges, "edges")
-    slides = package.with_parts(keep(package.slides(edges, parts), "order"), parts)
+    keys = files.where("input_key IS NOT NULL").select("input_key").distinct()
+    readable = keep(keys.join(parts.where("zip_error IS NOT NULL").select("input_key"), "input_key", "left_anti"), "readable")
+    types, of_types = package.content_types(parts, readable)
+    edges, of_edges = package.relationships(parts)
+    order, of_slides = package.slides(edges, parts, readable)
+    slides = package.with_parts(order, parts)
     over = edges.where(F.col("internal") & package.is_type(F.col("type"), "themeOverride")).groupBy("input_key", F.col("source_part").alias("over_source")).agg(F.min(F.coalesce("resolved", "rels_part")).alias("over"))
     for part in ("slide_part", "layout_part"):
         slides = slides.join(over.withColumnsRenamed({"over_source": part, "over": f"_{part}"}), ["input_key", part], "left")
@@ -51,33 +55,24 @@ def facts(files: DataFrame, limits: dict | None = None, with_rasters: bool = Fal
     usable = slides.where("slide_part IS NOT NULL")
     leaves = keep(shapes.leaves(usable), "leaves")
     found = keep(text.bodies(usable).join(usable.select("input_key", "number", "override_part"), ["input_key", "number"]), "bodies")
-    none = F.lit(None).cast("string")
-    problem = lambda df, code, part, message: df.select("input_key", code.alias("code"), part.alias("part"), none.alias("rel_id"), message.alias("message"))
-    diagnostics = said
-    for df, code, part, message in (
-        (parts.where("part_name IS NULL AND zip_error IS NULL"), F.lit("invalid-part-name"), F.col("raw_name"), F.lit("The entry's name is no part name.")),
-        (parts.where("NOT alone").dropDuplicates(["input_key", "part_key"]), F.lit("ambiguous-part-name"), F.col("part_key"), F.lit("Several entries have this name.")),
-        (parts.where("denied IS NOT NULL"), F.col("denied"), F.col("part_name"), F.lit("The entry is over a limit.")),
-        (parts.where("read_error IS NOT NULL"), F.col("read_error"), F.col("part_name"), F.lit("The entry can't be read.")),
-        (parts.where("xml.code IS NOT NULL"), F.lit("malformed-xml"), F.col("part_name"), F.col("xml.message")),
-        (slides.where("number IS NOT NULL AND slide_part IS NULL"), F.lit("missing-presentation-target"), F.col("presentation"), F.concat(F.lit("Slide "), F.col("number"), F.lit(" can't be reached."))),
-        (leaves.where("reason IS NOT NULL"), F.lit("unsupported-geometry"), F.col("slide_part"), F.concat(F.lit("Shape "), F.coalesce("shape_id", F.lit("?")), F.lit(": "), F.col("reason"))),
-    ):
-        diagnostics = diagnostics.unionByName(problem(df, code, part, message))
-    reached = slides.select("input_key").distinct()
-    lost = files.where("input_key IS NOT NULL").select("input_key").join(reached, "input_key", "left_anti").join(parts.where("zip_error IS NOT NULL").select("input_key"), "input_key", "left_anti")
-    diagnostics = diagnostics.unionByName(problem(lost, F.lit("missing-office-document"), F.lit("_rels/.rels"), F.lit("No presentation can be reached.")))
-    return Facts(files, parts, edges, slides, leaves, found, keep(text.runs(found), "runs"), keep(diagnostics.dropDuplicates(["input_key", "code", "part", "rel_id", "message"]), "diagnostics"))
+    bad = leaves.where("reason IS NOT NULL").groupBy("input_key", "slide_part").agg(F.count("*").alias("n"), F.min("number").alias("number"), F.min_by("reason", F.struct("number", "z")).alias("reason"))
+    text_of = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    placeless = package.note(F.lit(True), "unsupported-geometry", F.col("slide_part"), text_of("Slide ", F.col("number"), ": shapes without a place: ", F.col("n"), ", first: ", F.col("reason")))
+    diagnostics = package.entries(parts)
+    for more in (of_types, of_edges, of_slides, package.said(bad, placeless)):
+        diagnostics = diagnostics.unionByName(more)
+    return Facts(files, parts, types, edges, slides, leaves, found, keep(text.runs(found), "runs"), keep(diagnostics.distinct(), "diagnostics"))
 
 
 # rules
 
 
-def _draft(rows: DataFrame, rule: str, severity: str, message: Column, discriminator: Column, evidence: Column, **location: Column) -> DataFrame:
-    """rows as findings; location columns that a rule doesn't give are null."""
+def _draft(rows: DataFrame, rule: str, severity: str, message: Column, discriminator: Column, evidence: Column, emitted: tuple = (), **location: Column) -> DataFrame:
+    """rows as findings; location columns that a rule doesn't give are null. emitted: the rule's own order."""
+    emitted = emitted or (F.lit(0),)
     kinds = {"part": "string", "slide_number": "int", "slide_id": "string", "shape_ids": "array<bigint>", "shape_names": "array<string>", "paragraph": "int", "run": "int"}
     where = [(location[k] if k in location else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
-    return rows.select("input_key", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"), *where, evidence.alias("evidence"), discriminator.alias("discriminator")).select(*DRAFT)
+    return rows.select("input_key", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"), *where, evidence.alias("evidence"), discriminator.alias("discriminator"), F.array(*[c.cast("long") for c in emitted]).alias("emitted")).select(*DRAFT)
 
 
 def _box(b: Column, scale: float = 1) -> Column:
@@ -138,7 +133,7 @@ def outside_slide(f: Facts, severity: str, options: dict) -> DataFrame:
         minOutsideRatio=C.json_number(F.lit(options["minOutsideRatio"])), outsideAreaEmu2=C.json_number(C.round_half_up(F.col("area") - F.col("inside_area"), 3)), outsideRatio=C.json_number(C.round_half_up(ratio, 6)), shapeId=C.json_number(F.col("shape_id")),
         shapeName=C.json_text(F.col("shape_name")), slideBoundsEmu=_box(F.col("frame")), toleranceEmu=C.json_number(F.lit(options["tolerancePt"] * POINT)), tolerancePt=C.json_number(F.lit(options["tolerancePt"])),
     )
-    return _draft(rows, "layout/outside-slide", severity, message, F.col("shape_id").cast("string"), evidence, **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"))
+    return _draft(rows, "layout/outside-slide", severity, message, F.col("shape_id").cast("string"), evidence, (F.col("number"), F.col("z")), **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"))
 
 
 def _meeting(first: DataFrame, second: DataFrame, condition: Column, prefix_a: str, prefix_b: str) -> DataFrame:
@@ -163,7 +158,7 @@ def text_overlap(f: Facts, severity: str, options: dict) -> DataFrame:
     )
     message = F.concat(F.lit("Text frames share "), C.number_text(C.round_half_up(F.col("ratio") * 100, 1)), F.lit("% of the smaller one."))
     place = {"part": F.col("a_slide_part"), "slide_number": F.col("number"), "slide_id": F.col("a_slide_id")}
-    return _draft(rows, "layout/text-overlap", severity, message, F.concat_ws(NUL, "a_shape_id", "b_shape_id"), evidence, **place, shape_ids=F.array_sort(F.array("a_shape_id", "b_shape_id")), shape_names=_names("a_shape_name", "b_shape_name"))
+    return _draft(rows, "layout/text-overlap", severity, message, F.concat_ws(NUL, "a_shape_id", "b_shape_id"), evidence, (F.col("number"), F.col("a_z"), F.col("b_z")), **place, shape_ids=F.array_sort(F.array("a_shape_id", "b_shape_id")), shape_names=_names("a_shape_name", "b_shape_name"))
 
 
 def text_occluded(f: Facts, severity: str, options: dict) -> DataFrame:
@@ -186,7 +181,7 @@ def text_occluded(f: Facts, severity: str, options: dict) -> DataFrame:
     )
     message = F.concat(F.lit("An opaque shape covers "), C.number_text(C.round_half_up(F.col("ratio") * 100, 1)), F.lit("% of a text frame."))
     place = {"part": F.col("a_slide_part"), "slide_number": F.col("number"), "slide_id": F.col("a_slide_id")}
-    return _draft(rows, "layout/text-occluded", severity, message, F.concat_ws(NUL, "a_shape_id", "b_shape_id", "a_frame"), evidence, **place, shape_ids=F.array_sort(F.array("a_shape_id", "b_shape_id")), shape_names=_names("a_shape_name", "b_shape_name"))
+    return _draft(rows, "layout/text-occluded", severity, message, F.concat_ws(NUL, "a_shape_id", "b_shape_id", "a_frame"), evidence, (F.col("number"), F.col("a_z"), F.col("b_z")), **place, shape_ids=F.array_sort(F.array("a_shape_id", "b_shape_id")), shape_names=_names("a_shape_name", "b_shape_name"))
 
 
 def _minimum(options: dict) -> Column:
@@ -195,7 +190,7 @@ def _minimum(options: dict) -> Column:
 
 def _run_draft(rows: DataFrame, rule: str, severity: str, message: Column, evidence: Column, *more: Column) -> DataFrame:
     key = F.concat_ws(NUL, "shape_id", "body_at", "r.paragraph", "r.run", *more)
-    return _draft(rows, rule, severity, message, key, evidence, **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"), paragraph=F.col("r.paragraph"), run=F.col("r.run"))
+    return _draft(rows, rule, severity, message, key, evidence, tuple(F.col(c) for c in ("number", "z", "body_at", "r.paragraph", "r.run")), **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"), paragraph=F.col("r.paragraph"), run=F.col("r.run"))
 
 
 def _provenance() -> Column:
@@ -226,7 +221,7 @@ def autofit_enabled(f: Facts, severity: str, options: dict) -> DataFrame:
     a = F.col("autofit")
     evidence = C.json_object(autofitKind=C.json_text(a["kind"]), rawFontScale=C.json_text(a["raw"]), reason=C.json_text(a["reason"]), sourceKind=C.json_text(a["source_kind"]), sourcePart=C.json_text(a["source_part"]), textBodyIndex=C.json_number(F.col("b.idx")))
     message = F.lit("Autofit is on without a usable stored scale, so the text's size depends on the renderer.")
-    return _draft(rows, "text/autofit-enabled", severity, message, F.concat_ws(NUL, "shape_id", "b.idx"), evidence, **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"))
+    return _draft(rows, "text/autofit-enabled", severity, message, F.concat_ws(NUL, "shape_id", "b.idx"), evidence, (F.col("number"), F.col("z"), F.col("b.idx")), **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"))
 
 
 def fonts_allowed(f: Facts, severity: str, options: dict) -> DataFrame:
@@ -270,12 +265,10 @@ def findings(f: Facts, config: Config) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
     spark = f.files.sparkSession
     if out is None:
-        out = spark.createDataFrame([], ", ".join(f"{c} string" for c in DRAFT)).withColumns({"shape_ids": F.lit(None).cast("array<bigint>"), "shape_names": F.lit(None).cast("array<string>"), "slide_number": F.lit(None).cast("int")})
+        out = spark.createDataFrame([], ", ".join(f"{c} string" for c in DRAFT)).withColumns({"shape_ids": F.lit(None).cast("array<bigint>"), "shape_names": F.lit(None).cast("array<string>"), "slide_number": F.lit(None).cast("int"), "emitted": F.lit(None).cast("array<bigint>")})
     ids = F.coalesce("shape_ids", F.array().cast("array<bigint>"))
     out = out.withColumn("fingerprint", C.fingerprint(F.col("rule_id"), F.col("input_key"), F.col("part"), F.col("slide_id"), F.col("slide_number"), ids, F.col("discriminator")))
-    columns = [c for c in DRAFT if c not in ("discriminator", "input_key")]
-    one = F.max_by(F.struct(*columns), F.struct("evidence", "message"))
-    return keep(out.groupBy("input_key", "fingerprint").agg(one.alias("v")).select("input_key", "fingerprint", "v.*"), "findings")
+    return keep(relational.last_value_first_place(out.drop("discriminator"), ["input_key", "fingerprint"], "emitted").drop("emitted"), "findings")
 
 
 def suppressed(found: DataFrame, config: Config) -> DataFrame:
@@ -290,17 +283,29 @@ def suppressed(found: DataFrame, config: Config) -> DataFrame:
     return found.join(hit, ["input_key", "fingerprint"], "left")
 
 
-def classified(found: DataFrame, baseline: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Adds status (new or existing) to what no suppression took, and the baseline's entries that are resolved.
+def unused(found: DataFrame, files: DataFrame, config: Config) -> DataFrame:
+    """input_key, idx, rule_id of the suppressions that may fit an input and fit none of its findings."""
+    none = files.select("input_key", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("rule_id")).where("FALSE")
+    if not config.ignore:
+        return none
+    every = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(s["rule"]).alias("rule_id"), F.lit(s.get("file")).cast("string").alias("file")) for i, s in enumerate(config.ignore)])
+    each = files.where("input_key IS NOT NULL").select("input_key", F.explode(every).alias("s")).select("input_key", "s.*").where("file IS NULL OR file = input_key")
+    used = found.where("suppressed_by IS NOT NULL").select("input_key", F.col("suppressed_by").alias("idx")).distinct()
+    return relational.missing(each, used, ["input_key", "idx"]).select("input_key", "idx", "rule_id")
+
+
+def classified(found: DataFrame, baseline: DataFrame | None, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Adds status (new or existing) to what no suppression took, and the baseline's entries that are resolved, of the files' inputs.
 
-    baseline: input_key, fingerprint.
+    baseline: input_key, fingerprint. A suppressed finding counts as gone.
     """
     if baseline is None:
         return found.withColumn("status", F.lit("new")), None
-    old = baseline.select("input_key", "fingerprint", F.lit(True).alias("_old")).distinct()
-    left = found.where("suppressed_by IS NULL").select("input_key", "fingerprint")
-    resolved = baseline.join(found.select("input_key").distinct(), "input_key", "left_semi").join(left, ["input_key", "fingerprint"], "left_anti")
-    return found.join(old, ["input_key", "fingerprint"], "left").withColumn("status", F.when(F.col("_old"), "existing").otherwise("new")).drop("_old"), resolved
+    keys = ["input_key", "fingerprint"]
+    of_files = baseline.join(files.select("input_key"), "input_key", "left_semi")
+    status = relational.baseline_status(found.where("suppressed_by IS NULL"), of_files, keys)
+    resolved = relational.missing(of_files, status.where("status <> 'resolved'"), keys)
+    return found.join(status.where("status <> 'resolved'"), keys, "left").withColumn("status", F.coalesce("status", F.lit("new"))), resolved
 
 
 def skipped(f: Facts, config: Config) -> DataFrame:
@@ -311,13 +316,28 @@ def skipped(f: Facts, config: Config) -> DataFrame:
 
 
 def unexplained(f: Facts, found: DataFrame, config: Config) -> DataFrame:
-    """Diagnostics that no finding accounts for; findings that fail the command, and suppressed ones, account for theirs."""
+    """input_key of each diagnostic and malformed part that no finding accounts for.
+
+    Findings that fail the command, new or not, account for theirs, and so do suppressed ones: of malformed XML for
+    diagnostics of that part, or of what its relationships lead to; of a broken edge for those of the edge.
+    """
     heavy = found.where((F.col("severity") == "error") | (F.lit(config.fail_on) == "warning") | F.col("suppressed_by").isNotNull())
-    xml = heavy.where("rule_id = 'package/malformed-xml'").select("input_key", "part").distinct()
-    edge = heavy.where("rule_id IN ('package/broken-relationship', 'package/missing-media')").select("input_key", F.get_json_object("evidence", "$.relationshipPart").alias("part"), F.get_json_object("evidence", "$.relationshipId").alias("rel_id")).distinct()
-    by_xml, by_edge = F.col("code").isin("malformed-xml", "invalid-content-types", "invalid-relationships", "missing-office-document"), F.col("code").isin("invalid-relationship-target", "missing-presentation-part", "missing-presentation-target")
-    d = f.diagnostics
-    return d.where(by_xml).join(xml, ["input_key", "part"], "left_anti").unionByName(d.where(by_edge).join(edge, ["input_key", "part", "rel_id"], "left_anti")).unionByName(d.where(~by_xml & ~by_edge))
+    xml = heavy.where("rule_id = 'package/malformed-xml'").select("input_key", paths.part_key(F.col("part")).alias("key")).distinct()
+    edge = heavy.where("rule_id IN ('package/broken-relationship', 'package/missing-media')").select("input_key", paths.part_key(F.get_json_object("evidence", "$.relationshipPart")).alias("key"), F.get_json_object("evidence", "$.relationshipId").alias("rel_id")).distinct()
+    d, code = f.diagnostics.withColumn("key", paths.part_key(F.col("part"))), F.col("code")
+    paired = d.where("code = 'malformed-xml'").select("input_key", "key").distinct().join(xml, ["input_key", "key"], "left_semi").withColumn("paired", F.lit(True))
+    own = d.where(code == "malformed-xml")
+    pairs = d.where(code.isin("invalid-content-types", "invalid-relationships")).join(paired, ["input_key", "key"], "left").where("paired IS NULL")
+    above = code.isin("missing-office-document", "missing-presentation-relationship")
+    led = d.where(above).withColumn("key", F.when(code == "missing-office-document", "_rels/.rels").otherwise(paths.part_key(paths.rels_of_source(F.col("part")))))
+    on_edge = code.isin("invalid-relationship-target", "missing-presentation-part", "missing-presentation-target")
+    edges = relational.missing(d.where(on_edge), edge, ["input_key", "key", "rel_id"])
+    known = code.isin("malformed-xml", "invalid-content-types", "invalid-relationships") | above | on_edge
+    light = relational.missing(found.where("rule_id = 'package/malformed-xml' AND suppressed_by IS NULL"), heavy.select("input_key", "fingerprint"), ["input_key", "fingerprint"])
+    out = light.select("input_key")
+    for rows in (relational.missing(own, xml, ["input_key", "key"]), pairs, relational.missing(led, xml, ["input_key", "key"]), edges, d.where(~known)):
+        out = out.unionByName(rows.select("input_key"))
+    return out
 
 
 def summary(f: Facts, found: DataFrame, config: Config, resolved: DataFrame | None = None) -> DataFrame:
@@ -334,20 +354,20 @@ def summary(f: Facts, found: DataFrame, config: Config, resolved: DataFrame | No
     rows = f.files.select(F.coalesce("input_key", "file").alias("input_key"), F.col("input_key").isNull().alias("bad_key"))
     rows = rows.join(counts, "input_key", "left").join(tally(found.where("suppressed_by IS NOT NULL"), "suppressed"), "input_key", "left")
     rows = rows.join(tally(f.diagnostics, "diagnostics"), "input_key", "left").join(tally(unexplained(f, found, config), "open"), "input_key", "left").join(tally(skipped(f, config), "skipped"), "input_key", "left")
-    rows = rows.join(tally(found.where("rule_id = 'package/malformed-xml'"), "malformed"), "input_key", "left").join(tally(f.parts.where("zip_error IS NOT NULL"), "unreadable"), "input_key", "left")
+    rows = rows.join(tally(found.where("rule_id = 'package/malformed-xml' AND suppressed_by IS NULL"), "live_malformed"), "input_key", "left").join(tally(found.where("rule_id = 'package/malformed-xml'"), "malformed"), "input_key", "left").join(tally(f.parts.where("zip_error IS NOT NULL"), "unreadable"), "input_key", "left")
     rows = rows.join(tally(resolved, "resolved"), "input_key", "left") if resolved is not None else rows.withColumn("resolved", F.lit(0))
     rows = rows.fillna(0)
     complete = (F.col("diagnostics") == 0) & (F.col("skipped") == 0) & (F.col("malformed") == 0) & (F.col("unreadable") == 0) & ~F.col("bad_key")
     failing = F.col("new_errors") + (F.col("new_warnings") if config.fail_on == "warning" else F.lit(0))
-    broken = F.col("bad_key") | (F.col("unreadable") > 0) | (F.col("open") > 0) | (~complete & (F.col("diagnostics") == 0) & (F.col("malformed") == 0))
+    broken = F.col("bad_key") | (F.col("unreadable") > 0) | (F.col("open") > 0) | (~complete & (F.col("diagnostics") == 0) & (F.col("live_malformed") == 0))
     rows = rows.withColumns({"complete": complete, "exit_code": F.when(broken, 2).when(failing > 0, 1).otherwise(0)})
     sums = ["errors", "warnings", "total", "new_errors", "new_warnings", "existing", "suppressed", "resolved", "diagnostics", "skipped"]
     return rows.rollup("input_key").agg(*[F.sum(c).alias(c) for c in sums], F.bool_and("complete").alias("complete"), F.max("exit_code").alias("exit_code"))
 
 
 def inspect(files: DataFrame, config: Config, baseline: DataFrame | None = None, limits: dict | None = None) -> dict[str, DataFrame]:
-    """findings (with suppressed_by and status), resolved, diagnostics, skipped, summary. Suppressions come before the baseline."""
+    """findings (with suppressed_by and status), unused suppressions, resolved, diagnostics, skipped, summary. Suppressions come before the baseline."""
     f = facts(files, limits, "layout/text-occluded" in config.enabled())
-    found, resolved = classified(suppressed(findings(f, config), config), baseline)
+    found, resolved = classified(suppressed(findings(f, config), config), baseline, files)
     found = keep(found, "classified")
-    return {"findings": found, "resolved": resolved, "diagnostics": f.diagnostics, "skipped": skipped(f, config), "summary": summary(f, found, config, resolved), "facts": f}
+    return {"findings": found, "unused": unused(found, files, config), "resolved": resolved, "diagnostics": f.diagnostics, "skipped": skipped(f, config), "summary": summary(f, found, config, resolved), "facts": f}

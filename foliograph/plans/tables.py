@@ -119,7 +119,7 @@ def q_lookup_override_default(spark, sf_dir):
     """Override by key, else default by extension, else null; and whether the type is XML."""
     plain = F.regexp_extract("url", "://[^?#]*", 0)
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^/]*)/", 1).alias("lang"), F.lower(F.regexp_extract(plain, r"\.([^./]*)$", 1)).alias("ext"))
-    found = R.override_or_default(pages, literal(spark, "lang, content_type", OVERRIDES), literal(spark, "ext, content_type", DEFAULTS), "lang", "ext", "content_type")
+    found = R.override_or_default(pages, literal(spark, "lang, content_type", OVERRIDES), literal(spark, "ext, content_type", DEFAULTS), ["lang"], ["ext"], "content_type")
     return found.select("page_id", "ext", "content_type", paths.is_xml_type(F.col("content_type")).alias("is_xml"))
 
 
@@ -249,7 +249,7 @@ def q_fingerprint(spark, sf_dir):
 def q_dedup_last(spark, sf_dir):
     """Of equal keys the last value, at the first one's place."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    return R.last_value_first_place(events, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
+    return R.last_value_first_place(events, ["user_id"], "event_id").select("user_id", "event_id", "event_type", "value")
 
 
 SUPPRESSIONS = ((0, "short", None, "de"), (1, "short", "src3", None), (2, "long", "src1", "en"), (3, "long", None, "xx"), (4, "short", "src3", "en"))
@@ -305,8 +305,7 @@ def q_precision(spark, sf_dir):
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_custkey, o_orderkey) AS place FROM orders")
 def q_canonical_order(spark, sf_dir):
     """Places in the order of rule, part, number, identity; ranked within a rule."""
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderstatus", "o_custkey", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+    return R.places(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderstatus", "o_custkey", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
 @query(f"""WITH p AS ({PLACED}), l AS (SELECT l_orderkey, list({{'s': w / 4, 't': x}} ORDER BY pos) AS m FROM p GROUP BY l_orderkey)
@@ -326,4 +325,4 @@ def q_clip_area(spark, sf_dir):
     """The general convex clip, on rectangles."""
     lines = placed_lines(spark, sf_dir)
     cut = geometry.intersection(geometry.rectangle(F.col("x"), F.col("y"), F.col("w"), F.col("h")), geometry.rectangle(10, 2, 30, 4))
-    return lines.select("l_orderkey", "pos", canonical.round_half_up(geometry.area(cut), 3).alias("area"))
+    return lines.select("l_orderkey", "pos", F.explode(F.array(geometry.area(cut))).alias("area")).withColumn("area", canonical.round_half_up(F.col("area"), 3))

@@ -13,11 +13,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from foliograph.functions import paths
+from foliograph.operators import relational
 from foliograph.sources import xml_facts, zip_entries
 
 #: The limits, which options may lower and not raise.
 LIMITS = {"entries": 10_000, "part": 256 << 20, "xml": 20 << 20, "total": 1 << 30, "ratio": 200}
 
+#: Media types of XML (fixed values).
+XML_TYPE = re.compile(r"^\s*(application/xml|text/xml|application/vnd\.openxmlformats-officedocument\.vmldrawing|[^;]*\+xml)\s*(;|$)", re.I)
+
 PROPS = "STRUCT<kind STRING, level INT, sz STRING, lang STRING, alt_lang STRING, font_ref STRING, has_latin BOOLEAN, latin STRING, has_ea BOOLEAN, ea STRING, has_cs BOOLEAN, cs STRING>"
 XFRM = "STRUCT<x LONG, y LONG, w LONG, h LONG, rot LONG, flip_h BOOLEAN, flip_v BOOLEAN, ch_x LONG, ch_y LONG, ch_w LONG, ch_h LONG>"
 OPS = "ARRAY<STRUCT<op STRING, val LONG>>"
@@ -75,10 +79,11 @@ def entry_rows(key: str, data: bytes, limits: dict[str, float], with_rasters: bo
         yield {"input_key": key, "zip_error": str(e), "idx": -1}
         return
     total_denied = "archive-limit-exceeded" if len(found) > limits["entries"] or sum(e.usize for e in found) > limits["total"] else None
-    declared: set[str] = set()
+    overrides: dict[str, bool] = {}
+    defaults: dict[str, bool] = {}
     for e in sorted(found, key=lambda e: e.name.lower() != "[content_types].xml"):
         low = e.name.lower()
-        is_xml = low.endswith((".xml", ".rels")) or "/" + low in declared
+        is_xml = low.endswith((".xml", ".rels")) or overrides.get("/" + low, defaults.get(low.rpartition("/")[2].rpartition(".")[2], False) if "." in low.rpartition("/")[2] else False)
         ratio = e.usize / e.csize if e.csize else float("inf") if e.usize else 1
         over = e.usize > limits["part"] or ratio > limits["ratio"] or is_xml and e.usize > limits["xml"]
         row = {"input_key": key, "idx": e.idx, "raw_name": e.name, "method": e.method, "csize": e.csize, "usize": e.usize, "crc": e.crc, "encrypted": bool(e.flags & 1), "denied": total_denied or ("part-limit-exceeded" if over else None)}
@@ -90,7 +95,10 @@ def entry_rows(key: str, data: bytes, limits: dict[str, float], with_rasters: bo
                     root = xml_facts.parse(body)
                     row |= xml_facts.facts(root)
                     row["xml"] = {}
-                    declared |= {t["key"].lower() for t in row.get("types", ()) if t["kind"] == "Override" and t["key"] and re.search(r"(\+xml|/xml)\s*(;|$)", t["content_type"] or "", re.I)}
+                    for t in row.get("types", ()) if low == "[content_types].xml" else ():
+                        if t["key"] and t["content_type"]:
+                            held, name = (overrides, "/" + t["key"].lower().lstrip("/")) if t["kind"] == "Override" else (defaults, t["key"].lower())
+                            held.setdefault(name, bool(XML_TYPE.search(t["content_type"])))
                 except xml_facts.Bad as x:
                     row["xml"] = {"code": x.code, "message": str(x), "line": x.line, "col": x.column, "offset": x.offset}
             elif body is not None:
@@ -119,8 +127,9 @@ def entries(files: DataFrame, limits: dict[str, float] | None = None, with_raste
 def names(entries_: DataFrame) -> DataFrame:
     """Adds part_name, part_key and `alone`: whether no other entry of the package has the key."""
     named = entries_.withColumn("part_name", paths.part_name(F.col("raw_name"))).withColumn("part_key", paths.part_key(F.col("part_name")))
-    counts = named.where("part_key IS NOT NULL AND raw_name NOT LIKE '%/'").groupBy("input_key", "part_key").agg(F.count("*").alias("_n"))
-    return named.join(counts, ["input_key", "part_key"], "left").withColumn("alone", F.col("_n") == 1).drop("_n")
+    copies = relational.duplicated(named.where("part_key IS NOT NULL AND raw_name NOT LIKE '%/'"), ["input_key", "part_key"])
+    plain = F.col("part_key").isNotNull() & ~F.col("raw_name").endswith("/")
+    return named.join(copies, ["input_key", "part_key"], "left").withColumn("alone", plain & F.col("copies").isNull()).drop("copies")
 
 
 def cwd_key(path: str, cwd: str) -> str:
