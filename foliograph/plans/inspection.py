@@ -42,6 +42,7 @@ class Facts:
 def facts(files: DataFrame, limits: dict | None = None, with_rasters: bool = False) -> Facts:
     """files: file, input_key, source_sha256, content (see decks.decks). Packages are parsed once and the facts kept."""
     parts = keep(decks.names(keep(decks.entries(files, limits, with_rasters), "entries")), "parts")
+    files = keep(files.drop("content"), "files")  # contents are read no more
     keys = files.where("input_key IS NOT NULL").select("input_key").distinct()
     readable = keep(keys.join(parts.where("zip_error IS NOT NULL").select("input_key"), "input_key", "left_anti"), "readable")
     types, of_types = package.content_types(parts, readable)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.plans import config, inspection, tables
+from foliograph.plans import config, inspection, packages, tables
 from foliograph.sources import decks, fixtures
 
 
@@ -25,5 +25,5 @@ PACKAGE_SQL = """SELECT 'examples/public-broken-deck.pptx' AS input_key, rule_id
     ('text/autofit-scale-below-minimum', 'error', '4fb8a2226c58cc7fe79e57a94c1bcec9a296cbba0bbec92f57b7813a7c72aa1d'),
     ('text/min-font-size', 'error', 'c038cd30376efd3f2e6cbda502b94de4b92293f6e91b51bb2c3bb4b2b7ede1ba')) AS t(rule_id, severity, fingerprint)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tables.QUERIES | {"q_package_findings": q_package_findings}
-ORACLE_SQL: dict[str, str] = tables.SQL | {"q_package_findings": PACKAGE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tables.QUERIES | packages.QUERIES | {"q_package_findings": q_package_findings}
+ORACLE_SQL: dict[str, str] = tables.SQL | packages.SQL | {"q_package_findings": PACKAGE_SQL}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,11 +135,16 @@ def names(entries_: DataFrame) -> DataFrame:
 
 
 def cwd_key(path: str, cwd: str) -> str:
-    """The key of a file on the driver: relative to cwd, or external/<sha256>/<name> outside it."""
-    import hashlib
-
+    """The key of a file on the driver: relative to cwd, or external/<sha256>/<name> outside it; %, \\ and : are encoded."""
     relative = os.path.relpath(path, cwd).replace(os.sep, "/")
+    encoded = relative.replace("%", "%25").replace("\\", "%5C").replace(":", "%3A")
     if not relative.startswith("../"):
-        return relative
-    encoded = "/".join(s.replace("%", "%25").replace("\\", "%5C").replace(":", "%3A") for s in relative.split("/"))
-    return f"external/{hashlib.sha256(encoded.encode()).hexdigest()}/{encoded.rsplit('/', 1)[-1]}"
+        return encoded
+    return f"external/{hashlib.sha256(encoded.encode()).hexdigest()}/{encoded.rpartition('/')[2]}"
+
+
+def named(spark: SparkSession, inputs: dict[str, str]) -> DataFrame:
+    """Decks of the given files, path to key."""
+    files = spark.read.format("binaryFile").load([f"file://{quote(os.path.abspath(p))}" for p in inputs])
+    keys = spark.createDataFrame([("file:" + os.path.abspath(p), key) for p, key in inputs.items()], "path string, file string")
+    return decks(files.join(F.broadcast(keys), "path").select("file", "content"))
