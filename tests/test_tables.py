@@ -1,11 +1,13 @@
-"""Every table query against DuckDB on the smallest tables."""
+"""Every table and package query against DuckDB on the smallest tables."""
 
 import math
 
 import duckdb
 import pytest
 
-from foliograph.plans import tables
+from foliograph.plans import packages, tables
+
+EVERY = {**tables.QUERIES, **packages.QUERIES}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -29,10 +31,10 @@ def rows(names, values):
     return sorted(([plain(r[i]) for i in order] for r in values), key=repr), sorted(names)
 
 
-@pytest.mark.parametrize("name", tables.QUERIES)
+@pytest.mark.parametrize("name", EVERY)
 def test_against_duckdb(spark, sf, duck, name):
-    frame = tables.QUERIES[name](spark, sf)
-    result = duck.execute(tables.SQL[name])
+    frame = EVERY[name](spark, sf)
+    result = duck.execute((tables.SQL | packages.SQL)[name])
     assert rows(frame.columns, frame.collect()) == rows([d[0] for d in result.description], result.fetchall())
 
 
