@@ -235,6 +235,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each row of docs.
 
-    Null text is empty: one piece of id 0. A row that repeats is packed as often; a null key is as any.
+    Null text is empty: one piece of id 0. A row that repeats is packed as often, and its copies are ranked in one cell; a
+    null key is as any. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     return pack(materialize(pieces(docs, path, key, text, size), "pieces"), size)

@@ -35,7 +35,8 @@ def shard_table(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: st
     Law `key`: key and shard count decide. size is UTF-8 bytes plus 16; null text counts as no bytes and has the
     checksum of the empty text. Repeated rows each get a slot; a null key is a key like any other; columns of docs
     but key and text are ignored, whatever their names; an empty table gives no rows. slot is the rank in the shard
-    by a hash of the key, built from many small cells, so no task sorts a shard.
+    by a hash of the key, built from many small cells, so no task sorts a shard; rows of one key share a cell, so those of a
+    key that repeats very often are ranked by one task (two numbers a row).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     equal = [1.0] * shards

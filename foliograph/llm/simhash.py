@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, the smallest key reachable by links.
 
     A text without words (or null) has fingerprint zero and links like any other. A class whose keys are all null has a
-    null component_id; other null keys get their class's. Repeated rows each return. An empty table gives no rows.
+    null component_id; other null keys get their class's. Repeated rows each return. Long texts are whole, other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
     prints = materialize(with_fingerprints(docs, key, text, width), "prints")
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")

@@ -215,7 +215,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """doc_id, held_out, score, predicted (1 from THRESHOLD on) for each row of docs.
 
     Learns from labelled rows that aren't held out; labels, languages, sources and keys are no inputs of a score.
-    Repeated rows score alike; a null key is not held out; an empty table gives no rows.
+    Null text scores as the empty one, long texts are scored whole. Repeated rows score alike; a null key is not held out;
+    without labels of both kinds the score is their share. Other columns are ignored, whatever their names; an empty table
+    gives no rows.
     """
     scored = score(docs, fit(docs, labels, key, text, label), key, text)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
