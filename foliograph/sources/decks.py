@@ -81,6 +81,7 @@ def entry_rows(key: str, data: bytes, limits: dict[str, float], with_rasters: bo
         yield {"input_key": key, "zip_error": str(e), "idx": -1}
         return
     total_denied = "archive-limit-exceeded" if len(found) > limits["entries"] or sum(e.usize for e in found) > limits["total"] else None
+    lapping = zip_entries.overlapping(found)
     overrides: dict[str, bool] = {}
     defaults: dict[str, bool] = {}
     for e in sorted(found, key=lambda e: e.name.lower() != "[content_types].xml"):
@@ -91,7 +92,7 @@ def entry_rows(key: str, data: bytes, limits: dict[str, float], with_rasters: bo
         row = {"input_key": key, "idx": e.idx, "raw_name": e.name, "method": e.method, "csize": e.csize, "usize": e.usize, "crc": e.crc, "encrypted": bool(e.flags & 1), "denied": total_denied or ("part-limit-exceeded" if over else None)}
         is_raster = with_rasters and low.endswith((".png", ".jpg", ".jpeg"))
         if not row["denied"] and not e.name.endswith("/") and (is_xml or is_raster):
-            body, row["read_error"] = zip_entries.read(data, e)
+            body, row["read_error"] = (None, "entry-read-failed") if e.idx in lapping else zip_entries.read(data, e)
             if body is not None and is_xml:
                 try:
                     root = xml_facts.parse(body)

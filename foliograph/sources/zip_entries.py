@@ -98,6 +98,19 @@ def entries(data: bytes) -> list[Entry]:
     return found
 
 
+def overlapping(found: list[Entry]) -> set[int]:
+    """Numbers of the entries whose local records reach into another's; such members can't be trusted."""
+    out: set[int] = set()
+    furthest = None
+    for e in sorted(found, key=lambda e: e.offset):
+        if furthest and e.offset < furthest[0]:
+            out |= {e.idx, furthest[1]}
+        end = e.offset + 30 + len(e.raw) + e.csize
+        if not furthest or end > furthest[0]:
+            furthest = (end, e.idx)
+    return out
+
+
 def read(data: bytes, entry: Entry) -> tuple[bytes | None, str | None]:
     """The member, or the code of what is wrong with it."""
     at = entry.offset

@@ -102,3 +102,11 @@ def test_xml_codes():
         assert e.value.code == code
     assert xml_facts.parse(b"<a><![CDATA[<!DOCTYPE]]></a>").tag == "a" and xml_facts.parse('<?xml version="1.0" encoding="utf-16"?><a/>'.encode("utf-16")).tag == "a"
     assert package()
+
+
+def test_overlapping_entries():
+    body = zipped([("a", "x" * 50), ("b", "y" * 50), ("c", "z")])
+    found = zip_entries.entries(body)
+    assert zip_entries.overlapping(found) == set()
+    second = found[1].__class__(**{f: getattr(found[1], f) for f in found[1].__dataclass_fields__} | {"offset": found[0].offset + 10})
+    assert zip_entries.overlapping([found[0], second, found[2]]) == {0, 1}
