@@ -39,7 +39,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
     path = new_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize that nothing reads any more."""
+    for table in tables:
+        if folder := getattr(table, "folder", None):
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def smallest(rows: DataFrame, hashed: Column, most: int, count: int, *ties: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL, where SQL can express one."""
+"""The queries op1 to op13 and their SQL, where SQL can express one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import ann, bpe, exact_dedup, html_extract, packing, sharding, simhash, toxicity, url_filter, warc
+from foliograph.llm import ann, bpe, code_compression, exact_dedup, html_extract, importance, packing, secret_scan, sharding, simhash, toxicity, url_filter, warc
 
 BPE_FILE, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 URL_RULES = (
@@ -64,8 +64,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_ann, op4_url_filter, op5_warc, op6_bpe, op7_exact_dedup, op8_packing, op9_toxicity, op10_html)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_ann, op4_url_filter, op5_warc, op6_bpe, op7_exact_dedup, op8_packing, op9_toxicity, op10_html, op11_importance, op12_secrets, op13_code_compression)
 }
 
 ORACLE_SQL: dict[str, str] = {
