@@ -194,7 +194,8 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     if not 1 <= entries <= 256:
         raise ValueError("a code's index has two hex digits: 1 to 256 entries")
     state, books = codebooks(vectors, parts, entries, rounds, key, vector, label, scale)
-    coded = materialize(encode(state, books), "coded") if books.size else state.selectExpr("vec_id", "label", "'' AS code", "0L AS error")
+    empty = state.selectExpr("vec_id", "label", "'' AS code", "0L AS error")
+    coded = materialize(encode(state, books) if books.size else empty, "coded")
     drop_tables(state)
     summed = _with_group_sum(coded, "label", "error", "label_error")
     return summed.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))

@@ -31,7 +31,7 @@ SPILLED = "doc_id long, n_words long, n_features long, buckets array<int>, count
 #: `skip` words at the head of a piece were counted with the piece before; only n-grams that end after them count.
 SQL = """
 WITH split AS (SELECT row, skip, regexp_extract_all(translate(text, '{upper}', '{lower}'), '{word}') AS w FROM pieces),
-     words AS (SELECT row, skip, unnest(w) AS w1, generate_subscripts(w, 1) AS at FROM split),
+     words AS (SELECT row, skip, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM split),
      grams AS ({grams}),
      many AS (SELECT row, gram, count(*) AS n FROM grams GROUP BY ALL),
      placed AS (SELECT gram, bucket_of(gram) AS bucket FROM (SELECT DISTINCT gram FROM many))
@@ -44,10 +44,10 @@ def _grams(low: int, high: int) -> str:
     out = []
     for n in range(low, high + 1):
         if n == 1:
-            out.append("SELECT row, w1 AS gram FROM words WHERE at > skip")
+            out.append("SELECT row, w1 AS gram FROM words WHERE pos > skip")
         else:
-            more = " || ' ' || ".join(["w1", *(f"lead(w1, {k}) OVER (PARTITION BY row ORDER BY at)" for k in range(1, n))])
-            out.append(f"SELECT row, gram FROM (SELECT row, skip, at, {more} AS gram FROM words) WHERE gram IS NOT NULL AND at + {n - 1} > skip")
+            more = " || ' ' || ".join(["w1", *(f"lead(w1, {k}) OVER (PARTITION BY row ORDER BY pos)" for k in range(1, n))])
+            out.append(f"SELECT row, gram FROM (SELECT row, skip, pos, {more} AS gram FROM words) WHERE gram IS NOT NULL AND pos + {n - 1} > skip")
     return " UNION ALL ".join(out)
 
 

@@ -80,7 +80,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_simhash, op3_ann, op4_url_filter, op5_warc, op6_bpe, op7_exact_dedup, op8_packing, op9_toxicity, op10_html, op11_importance, op12_secrets, op13_code_compression)
 }
 
+def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds as steps of one statement; sums are worked out anew in each."""
+    assign = """a{n} AS MATERIALIZED (SELECT vec_id, p, min({{'d': list_inner_product(c, c) - 2 * list_inner_product(x, c), 'e': e}}) AS m FROM parts JOIN b{n} USING (p) GROUP BY ALL)"""
+    update = """s{n} AS (SELECT p, m.e AS e, i, floor(sum(x[i]) / count(*)) AS c FROM a{n} JOIN parts USING (vec_id, p), generate_series(1, len(x)) g(i) GROUP BY ALL),
+        b{m} AS MATERIALIZED (SELECT p, e, coalesce(u.c, o.c) AS c FROM b{n} o LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS c FROM s{n} GROUP BY ALL) u USING (p, e))"""
+    steps = [x.format(n=n, m=n + 1) for n in range(rounds) for x in (assign, update)] + [assign.format(n=rounds)]
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p)),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < {entries}),
+        {", ".join(steps)},
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d + list_inner_product(x, x))::BIGINT AS error
+                  FROM a{rounds} JOIN parts USING (vec_id, p) GROUP BY ALL)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) FROM b{rounds}, generate_series(1, len(c)) g(i)) AS codebooks_sha256
+        FROM coded"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_code_compression": _lloyd_sql(),
+    "op11_importance": r"""
+        WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) g(i))),
+        texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        split AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        words AS (SELECT side, id, unnest(w) AS word FROM split),
+        placed AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+                   FROM (SELECT DISTINCT word FROM words), crc),
+        held AS (SELECT side, id, bucket, count(*) AS n FROM words JOIN placed USING (word) GROUP BY ALL),
+        buckets AS (SELECT b AS bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM range(10000) g(b) LEFT JOIN held ON b = bucket GROUP BY b),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)))) AS gain FROM buckets),
+        weighed AS (SELECT id AS doc_id, sum(n) AS n, floor(sum(n * gain) / sum(n)) AS weight FROM held JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+        scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                          (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+                   FROM documents LEFT JOIN weighed USING (doc_id)),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
