@@ -16,7 +16,7 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark) -> None:
     """Sends this package to the executors once per application, as --py-files would, and bounds the batches of Python workers."""
     context = spark.sparkContext
-    if int(spark.conf.get(BATCH_SETTING)) == 10_000:  # Spark's own default
+    if BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(BATCH_SETTING, str(BATCH))
     if context.applicationId in _SHIPPED:
         return

@@ -36,6 +36,16 @@ def trim_all(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def text_order(x: Column) -> Column:
+    """A key by which text sorts as its UTF-16 code units do: astral characters come before those from U+E000 on."""
+    return F.encode(x, "UTF-16BE")
+
+
+def sorted_text(x: Column) -> Column:
+    """An array of text in the order of its UTF-16 code units."""
+    return F.transform(F.array_sort(F.transform(x, lambda v: F.struct(text_order(v).alias("k"), v.alias("v")))), lambda v: v["v"])
+
+
 def canonical_json(*columns: Column) -> Column:
     """JSON of the aliased columns in the given order; nulls stay."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Distances and areas up to this are none (fixed value).
-EPSILON = 1e-9
+from foliograph.functions.clip import clipped
+
 Number = Column | float
 
 
@@ -112,38 +112,13 @@ def area(polygon: Column) -> Column:
     return F.abs(signed_area(polygon))
 
 
-def _distinct_neighbours(polygon: Column) -> Column:
-    near = lambda p, q: (F.abs(p["x"] - q["x"]) <= EPSILON) & (F.abs(p["y"] - q["y"]) <= EPSILON)
-    apart = lambda ring: F.filter(ring, lambda p, i: (F.size(ring) == 1) | ~near(p, _after(ring, i)))
-    return let(polygon, apart)
-
-
-def _cut(polygon: Column, a: Column, b: Column) -> Column:
-    """The part of the polygon left of the line from a to b, or on it."""
-
-    def side(p: Column) -> Column:
-        return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-
-    def corner(v: Column) -> Column:
-        gap = v["at_p"] - v["at_q"]
-        share = F.when(F.abs(gap) > EPSILON, v["at_p"] / gap).otherwise(0.0)
-        p, q = v["p"], v["q"]
-        crossing = point(p["x"] + share * (q["x"] - p["x"]), p["y"] + share * (q["y"] - p["y"]))
-        inside_p, inside_q = v["at_p"] >= -EPSILON, v["at_q"] >= -EPSILON
-        # a crossing where one end is inside, then the end if it is
-        return F.array_compact(F.array(F.when(inside_p != inside_q, crossing), F.when(inside_q, q)))
-
-    ends = F.transform(polygon, lambda p, i: F.struct(p.alias("p"), _after(polygon, i).alias("q")))
-    sided = F.transform(ends, lambda v: F.struct(v["p"].alias("p"), v["q"].alias("q"), side(v["p"]).alias("at_p"), side(v["q"]).alias("at_q")))
-    return F.flatten(F.transform(sided, corner))
-
-
 def intersection(subject: Column, clip: Column) -> Column:
-    """Intersection of two convex polygons; empty where its area is at most EPSILON."""
+    """STRUCT<polygon, area> of the intersection of two convex polygons, empty where its area is at most EPSILON; see functions/clip.py."""
+    return clipped(subject, clip)
 
-    def edges(ring: Column) -> Column:
-        return F.transform(ring, lambda p, i: F.struct(p.alias("a"), _after(ring, i).alias("b")))
 
-    turned = let(clip, lambda c: F.when(signed_area(c) < 0, F.reverse(c)).otherwise(c))
-    cut = F.aggregate(let(turned, edges), subject, lambda polygon, e: _cut(polygon, e["a"], e["b"]))
-    return let(_distinct_neighbours(cut), lambda c: F.when(area(c) > EPSILON, c).otherwise(F.slice(c, 1, 0)))
+def boxes_share(a: Column, b: Column) -> Column:
+    """The area that two bounds share."""
+    wide = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])
+    high = F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"])
+    return F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))

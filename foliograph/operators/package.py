@@ -167,3 +167,16 @@ def with_parts(found: DataFrame, parts: DataFrame) -> DataFrame:
         side = parts.where("alone").select("input_key", F.col("part_name").alias(column), *[F.col(k).alias(v) for k, v in wanted.items()])
         found = found.join(side, ["input_key", column], "left")
     return found
+
+
+def incoming(edges: DataFrame) -> DataFrame:
+    """input_key, target_key, source_part, rels_part, id, type: the edges that lead to each part, there or not, by its key."""
+    return edges.where("resolved IS NOT NULL").select("input_key", "target_key", "source_part", "rels_part", "id", "type")
+
+
+def by_id(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The edge of each wanted input_key, source_part (null: the package itself), id; parts are compared by their keys."""
+    key = paths.part_key(F.col("source_part"))
+    asked = wanted.select(F.col("input_key").alias("_key"), key.alias("_source"), F.col("id").alias("_id")).distinct()
+    same = (F.col("input_key") == F.col("_key")) & key.eqNullSafe(F.col("_source")) & (F.col("id") == F.col("_id"))
+    return edges.join(asked, same, "left_semi")

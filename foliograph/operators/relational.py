@@ -17,18 +17,29 @@ def missing(edges: DataFrame, targets: DataFrame, on: str | Sequence[str]) -> Da
     return edges.join(targets, on, "left_anti")
 
 
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[f"_{k}"])
+    return out
+
+
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by order; `repeats` tells how many more had the key. Combines before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.lit(None)
-    out = rows.groupBy(*keys).agg(first.alias("_first"), (F.count("*") - 1).alias("repeats"))
-    return out.select(*[c if c in keys else F.col(f"_first.{c}").alias(c) for c in rows.columns], "repeats")
+    """The first row of each key by order; `repeats` tells how many more had the key.
+
+    Ranks are limited before the shuffle, and keys are counted by hash beside them: nothing is aggregated by sorting.
+    """
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    counts = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((F.count("*") - 1).alias("repeats"))
+    return first.join(counts, _same(first, counts, keys)).select(*[first[c] for c in rows.columns], "repeats")
 
 
 def last_value_first_place(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Of rows with one key the last by order, at the place of the first. Combines before the shuffle."""
-    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, order)]), order)
-    return rows.groupBy(*keys).agg(F.min(order).alias(order), last.alias("_last")).select(*keys, order, "_last.*")
+    """Of rows with one key the last by order, at the place of the first; ranks are limited before the shuffle."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where("_n = 1")
+    place = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(order).alias("_place"))
+    return last.join(place, _same(last, place, keys)).select(*[last[k] for k in keys], F.col("_place").alias(order), *[last[c] for c in rest])
 
 
 def duplicated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,13 +81,58 @@ def outside(rows: DataFrame, polygon: str, frame: str, tolerance: float, least:
         F.when(box["x"] < room["x"] - tolerance, "left"), F.when(box["y"] < room["y"] - tolerance, "top"),
         F.when(box["x"] + box["width"] > right + tolerance, "right"), F.when(box["y"] + box["height"] > bottom + tolerance, "bottom"),
     )))
-    over = rows.withColumns({"edges": edges, "area": geometry.area(F.col(polygon))}).where("size(edges) > 0 AND area > 0")
-    inside = geometry.intersection(F.col(polygon), geometry.rectangle(room["x"], room["y"], room["width"], room["height"]))
-    # exploded, so that the clip is worked out once and not again by the filter
-    over = over.withColumn("_cut", F.explode(F.array(geometry.let(inside, lambda v: F.struct(v.alias("inside"), geometry.area(v).alias("area"))))))
-    over = over.withColumns({"inside": F.col("_cut.inside"), "inside_area": F.col("_cut.area")}).drop("_cut")
-    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("area") - F.col("inside_area")) / F.col("area")))
-    return over.withColumn("outside_ratio", ratio).where(canonical.at_least(F.col("outside_ratio"), least))
+    over = rows.withColumns({"edges": edges, "area": geometry.area(F.col(polygon)), "_box": box}).where("size(edges) > 0 AND area > 0")
+    # a polygon that fills its bounds is an unrotated box: its share is a product, and only boxes that fail are clipped
+    is_box = F.col("area") == F.col("_box.width") * F.col("_box.height")
+    share = lambda inside: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("area") - inside) / F.col("area")))
+    over = over.withColumn("_share", F.when(is_box, share(geometry.boxes_share(F.col("_box"), room)))).where(F.col("_share").isNull() | canonical.at_least(F.col("_share"), least))
+    over = over.withColumn("_cut", geometry.intersection(F.col(polygon), geometry.rectangle(room["x"], room["y"], room["width"], room["height"])))
+    over = over.withColumns({"inside": F.col("_cut.polygon"), "inside_area": F.col("_cut.area")}).drop("_cut", "_box", "_share")
+    return over.withColumn("outside_ratio", share(F.col("inside_area"))).where(canonical.at_least(F.col("outside_ratio"), least))
+
+
+#: Rows of a group that are few enough to meet each other, and cells of a grid's side at most.
+FEW, SIDE = 32, 512
+
+
+def with_grid(rows: DataFrame, group: Sequence[str], box: str) -> DataFrame:
+    """Adds `grid`: a grid over a group's boxes, of about a cell a row, no cell smaller than the mean box.
+
+    Groups of few rows have one cell. So boxes lie in a few cells each, and only those of a cell need to meet.
+    """
+    w, b = Window.partitionBy(*group), F.col(box)
+    n = F.count("*").over(w)
+    ends = {"x": F.min(b["x"]).over(w), "y": F.min(b["y"]).over(w), "right": F.max(b["x"] + b["width"]).over(w), "bottom": F.max(b["y"] + b["height"]).over(w), "wide": F.avg(b["width"]).over(w), "high": F.avg(b["height"]).over(w), "n": n}
+    rows = rows.withColumn("_g", F.struct(*[v.alias(k) for k, v in ends.items()]))
+    g = F.col("_g")
+    side = lambda size, mean: F.when(g["n"] > FEW, F.greatest(F.lit(1), F.least(F.lit(SIDE), F.ceil(F.sqrt(g["n"])), F.floor(size / mean)))).otherwise(1).cast("int")
+    across, down = side(g["right"] - g["x"], g["wide"]), side(g["bottom"] - g["y"], g["high"])
+    grid = F.struct(g["x"].alias("x"), g["y"].alias("y"), ((g["right"] - g["x"]) / across).alias("cell_w"), ((g["bottom"] - g["y"]) / down).alias("cell_h"), across.alias("across"), down.alias("down"))
+    return rows.withColumn("grid", grid).drop("_g")
+
+
+def _cell(at: Column, start: Column, size: Column, count: Column) -> Column:
+    """The place of a coordinate on a grid's side, at its ends where it lies beyond."""
+    return F.when(count == 1, 0).otherwise(F.greatest(F.lit(0), F.least(count - 1, F.floor((at - start) / size)))).cast("int")
+
+
+def meeting(first: DataFrame, second: DataFrame, group: Sequence[str], condition: Column) -> DataFrame:
+    """Pairs of a group's rows whose bounds overlap; columns but the group's start with a_ and b_. Rows have `bounds` and `grid` (see with_grid).
+
+    Rows meet in each cell that both reach; the pair counts in the cell of its overlap's first corner only.
+    """
+
+    def in_cells(rows: DataFrame, p: str) -> DataFrame:
+        b, g = F.col("bounds"), F.col("grid")
+        x = F.sequence(_cell(b["x"], g["x"], g["cell_w"], g["across"]), _cell(b["x"] + b["width"], g["x"], g["cell_w"], g["across"]))
+        y = F.sequence(_cell(b["y"], g["y"], g["cell_h"], g["down"]), _cell(b["y"] + b["height"], g["y"], g["cell_h"], g["down"]))
+        cells = F.flatten(F.transform(y, lambda j: F.transform(x, lambda i: j * g["across"] + i)))
+        return rows.select(*group, F.explode(cells).alias("cell"), *[F.col(c).alias(p + c) for c in rows.columns if c not in group])
+
+    pairs = in_cells(first, "a_").join(in_cells(second, "b_"), [*group, "cell"])
+    a, b, g = F.col("a_bounds"), F.col("b_bounds"), F.col("a_grid")
+    corner = _cell(F.greatest(a["y"], b["y"]), g["y"], g["cell_h"], g["down"]) * g["across"] + _cell(F.greatest(a["x"], b["x"]), g["x"], g["cell_w"], g["across"])
+    return pairs.where(condition & boxes_meet(a, b) & (F.col("cell") == corner)).drop("cell", "a_grid", "b_grid")
 
 
 def boxes_meet(a: Column, b: Column) -> Column:

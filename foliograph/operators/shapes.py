@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import geometry as G
+from foliograph.operators import relational
 
 #: Types of master placeholders that a layout placeholder's geometry can come from.
 COMPATIBLE = {
@@ -103,7 +104,8 @@ def leaves(slides: DataFrame) -> DataFrame:
         F.when(F.col("bad_group"), "The containing group can't be placed.").when(s["hidden"].isNull(), "The hidden attribute is invalid.").when(s["id"].isNull(), "The shape has no valid id.")
         .when(F.col("polygon").isNull(), "The transform is incomplete, invalid or not inherited.").when((F.col("bounds.width") <= 0) | (F.col("bounds.height") <= 0), "The bounds have no extent.")
     )
-    return rows.select("input_key", "number", "slide_id", "slide_part", "size", "z", s["id"].alias("shape_id"), s["name"].alias("shape_name"), s["kind"].alias("kind"), "group_ids", "m", "w", "h", "polygon", "bounds", s["fill"].alias("fill"), s["shows_text"].alias("shows_text"), s["cells"].alias("cells"), reason.alias("reason"))
+    rows = rows.select("input_key", "number", "slide_id", "slide_part", "size", "z", s["id"].alias("shape_id"), s["name"].alias("shape_name"), s["kind"].alias("kind"), "group_ids", "m", "w", "h", "polygon", "bounds", s["fill"].alias("fill"), s["shows_text"].alias("shows_text"), s["cells"].alias("cells"), reason.alias("reason"))
+    return relational.with_grid(rows, ["input_key", "number"], "bounds")
 
 
 def frames(shapes: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def frames(shapes: DataFrame) -> DataFrame:
     cell = lambda c: G.moved(G.rectangle(c["x"] * F.col("w") / c["grid_w"], c["y"] * F.col("h") / c["grid_h"], c["w"] * F.col("w") / c["grid_w"], c["h"] * F.col("h") / c["grid_h"]), F.col("m"))
     own = F.when(F.col("shows_text"), F.array(F.struct(F.lit("shape").alias("frame"), F.col("polygon").alias("frame_polygon"))))
     table = F.transform("cells", lambda c: F.struct(c["key"].alias("frame"), cell(c).alias("frame_polygon")))
-    out = shapes.where("reason IS NULL").select("input_key", "number", "slide_id", "slide_part", "z", "shape_id", "shape_name", "group_ids", F.posexplode(F.coalesce(own, table)).alias("frame_at", "f"))
+    out = shapes.where("reason IS NULL").select("input_key", "number", "slide_id", "slide_part", "z", "shape_id", "shape_name", "group_ids", "grid", F.posexplode(F.coalesce(own, table)).alias("frame_at", "f"))
     out = out.select("*", "f.frame", "f.frame_polygon").drop("f")
     return out.withColumns({"frame_bounds": G.bounds(F.col("frame_polygon")), "frame_area": G.area(F.col("frame_polygon"))}).where("frame_area > 0")
 

@@ -85,7 +85,7 @@ def _polygon(p: Column) -> Column:
 
 
 def _names(*columns: str) -> Column:
-    names = F.array_sort(F.array_compact(F.array(*[F.col(c) for c in columns])))
+    names = C.sorted_text(F.array_compact(F.array(*[F.col(c) for c in columns])))
     return F.when(F.size(names) > 0, names)
 
 
@@ -137,19 +137,17 @@ def outside_slide(f: Facts, severity: str, options: dict) -> DataFrame:
     return _draft(rows, "layout/outside-slide", severity, message, F.col("shape_id").cast("string"), evidence, (F.col("number"), F.col("z")), **_slide(), shape_ids=F.array("shape_id"), shape_names=_names("shape_name"))
 
 
-def _meeting(first: DataFrame, second: DataFrame, condition: Column, prefix_a: str, prefix_b: str) -> DataFrame:
-    """Pairs of a slide's rows whose boxes meet, with the intersection of their polygons."""
-    a = first.select("input_key", "number", *[F.col(c).alias(prefix_a + c) for c in first.columns if c not in ("input_key", "number")])
-    b = second.select("input_key", "number", *[F.col(c).alias(prefix_b + c) for c in second.columns if c not in ("input_key", "number")])
-    pairs = a.join(b, ["input_key", "number"]).where(condition)
-    return pairs.withColumn("cut", G.intersection(F.col("a_polygon"), F.col("b_polygon"))).withColumn("cut_area", G.area(F.col("cut"))).where("cut_area > 0")
+def _meeting(first: DataFrame, second: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of a slide's rows whose boxes meet, a_ and b_, with the intersection of their polygons."""
+    pairs = relational.meeting(first, second, ["input_key", "number"], condition).withColumn("_cut", G.intersection(F.col("a_polygon"), F.col("b_polygon")))
+    return pairs.withColumns({"cut": F.col("_cut.polygon"), "cut_area": F.col("_cut.area")}).drop("_cut").where("cut_area > 0")
 
 
 def text_overlap(f: Facts, severity: str, options: dict) -> DataFrame:
     """Pairs of independent shapes, the smaller id first; of a pair's frames the largest ratio, the first of equals."""
     frames = shapes.frames(f.leaves).withColumnsRenamed({"frame_polygon": "polygon", "frame_bounds": "bounds"})
-    free = (F.col("a_shape_id") < F.col("b_shape_id")) & ~F.array_contains("a_group_ids", F.col("b_shape_id")) & ~F.array_contains("b_group_ids", F.col("a_shape_id")) & relational.boxes_meet(F.col("a_bounds"), F.col("b_bounds"))
-    pairs = _meeting(frames, frames, free, "a_", "b_").withColumn("ratio", F.col("cut_area") / F.least("a_frame_area", "b_frame_area"))
+    free = (F.col("a_shape_id") < F.col("b_shape_id")) & ~F.array_contains("a_group_ids", F.col("b_shape_id")) & ~F.array_contains("b_group_ids", F.col("a_shape_id"))
+    pairs = _meeting(frames, frames, free).withColumn("ratio", F.col("cut_area") / F.least("a_frame_area", "b_frame_area"))
     best = F.max_by(F.struct("*"), F.struct("ratio", (-F.col("a_frame_at")).alias("p"), (-F.col("b_frame_at")).alias("q")))
     rows = pairs.groupBy("input_key", "number", "a_z", "b_z").agg(best.alias("v")).select("v.*").where(C.at_least(F.col("ratio"), options["minOverlapRatio"]))
     side = lambda s, n: {f"{n}BoundsEmu": _box(F.col(f"{s}_bounds")), f"{n}BoundsPt": _box(F.col(f"{s}_bounds"), POINT), f"{n}ShapeId": C.json_number(F.col(f"{s}_shape_id")), f"{n}ShapeName": C.json_text(F.col(f"{s}_shape_name")), f"{n}TextFrame": C.json_text(F.col(f"{s}_frame"))}
@@ -166,9 +164,9 @@ def text_occluded(f: Facts, severity: str, options: dict) -> DataFrame:
     """Opaque shapes above text: the geometry decides first, images are looked up for the pairs that remain."""
     frames = shapes.frames(f.leaves).withColumnsRenamed({"frame_polygon": "polygon", "frame_bounds": "bounds"})
     covers = f.leaves.where("reason IS NULL").withColumn("opacity", shapes.opacity(F.col("fill"), F.col("kind"))).where("opacity.state = 'opaque' OR opacity.basis = 'embedded-image'")
-    covers = covers.select("input_key", "number", "slide_part", "z", "shape_id", "shape_name", "polygon", "bounds", "opacity")
-    above = (F.col("b_z") > F.col("a_z")) & (F.col("a_shape_id") != F.col("b_shape_id")) & relational.boxes_meet(F.col("a_bounds"), F.col("b_bounds"))
-    pairs = _meeting(frames, covers, above, "a_", "b_").withColumn("ratio", F.col("cut_area") / F.col("a_frame_area"))
+    covers = covers.select("input_key", "number", "slide_part", "z", "shape_id", "shape_name", "polygon", "bounds", "grid", "opacity")
+    above = (F.col("b_z") > F.col("a_z")) & (F.col("a_shape_id") != F.col("b_shape_id"))
+    pairs = _meeting(frames, covers, above).withColumn("ratio", F.col("cut_area") / F.col("a_frame_area"))
     best = F.max_by(F.struct("*"), F.struct("ratio", (-F.col("a_frame_at")).alias("p")))
     rows = pairs.groupBy("input_key", "number", "a_z", "b_z").agg(best.alias("v")).select("v.*").where(C.at_least(F.col("ratio"), options["minOccludedRatio"]))
     image = f.edges.where(package.is_type(F.col("type"), "image") & F.col("internal")).select("input_key", F.col("source_part").alias("b_slide_part"), F.col("id").alias("embed"), F.col("target_part").alias("media"))
@@ -229,7 +227,7 @@ def fonts_allowed(f: Facts, severity: str, options: dict) -> DataFrame:
     """Typefaces of used slots that the list lacks; those that can't be resolved have a severity of their own, or none."""
     families = [x.lower() for x in options["families"]]
     rows = text.typefaces(f.runs)
-    allowed = C.json_list(F.transform(F.array_sort(F.array(*[F.lit(x) for x in options["families"]])), C.json_text))
+    allowed = C.json_list(F.transform(C.sorted_text(F.array(*[F.lit(x) for x in options["families"]])), C.json_text))
     base = {"allowedFamilies": allowed, "placeholderKind": C.json_text(F.col("placeholder_kind")), "scriptSlot": C.json_text(F.col("slot")), "textBodyIndex": C.json_number(F.col("body_at"))}
     named = rows.where(F.col("typeface").isNotNull() & ~F.lower(C.trim_all(F.col("typeface"))).isin(*families))
     out = _run_draft(named, "fonts/allowed", severity, F.concat(F.lit("The typeface "), C.json_text(F.col("typeface")), F.lit(" is not allowed.")), C.json_object(**base, resolvedTypeface=C.json_text(F.col("typeface"))), F.col("slot"))

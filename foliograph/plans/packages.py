@@ -1,25 +1,27 @@
 """Queries over generated packages: one for each row of part, inspected in one job, each with SQL that derives the same rows from the columns.
 
 A package's number tells what is wrong with it (sources/fixtures.py), and p_size by how much. The packages of a table are
-parsed once in an application.
+parsed once in an application, and anew when the table's files change.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.plans import config, inspection, reports
+from foliograph.operators import package
+from foliograph.plans import config, inspection, reports, work
 from foliograph.sources import decks, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Of one suppression of everything outside, one that fits some slides' media, and one that fits nothing.
 QUIET = {"extends": ["recommended"], "ignore": [{"rule": "layout/outside-slide", "shapeIds": [4]}, {"rule": "package/missing-media", "slide": 1, "part": "PPT/slides/slide1.xml"}, {"rule": "text/min-font-size", "slide": 2}]}
-_KNOWN: dict[tuple[str, str], inspection.Facts] = {}
-_FOUND_ROWS: dict[tuple[str, str, str], DataFrame] = {}
+_KNOWN: dict[tuple, inspection.Facts] = {}
+_FOUND_ROWS: dict[tuple, DataFrame] = {}
 
 #: n, s and kind of each package, and its name.
 DECKS = f"SELECT p_partkey AS n, p_size AS s, p_partkey % {len(fixtures.KINDS)} AS k, 'decks/' || p_partkey || '.pptx' AS input_key FROM part"
@@ -48,7 +50,7 @@ RULES = (
     (3, "text/autofit-scale-below-minimum", "error", SLIDE, True, "6", "0", f"""'{{"baseFontSizePt":16,"baseSizeProvenance":{{"rawValue":"1600","sourceKind":"run-properties","sourcePart":"{SLIDE}"}},"configuredMinimumPt":12,"effectiveFontSizePt":' || {number('16 * (0.5 + 0.004 * s)', 3)} || ',"fontScaleRatio":' || {number('0.5 + 0.004 * s', 6)} || ',"placeholderKind":"other","rawFontScale":"' || (50000 + 400 * s) || '","scaleSourceKind":"slide-body-properties","scaleSourcePart":"{SLIDE}","textBodyIndex":0}}'""", r"'6\u00000\u00000\u00000'"),
     (4, "package/missing-media", "error", SLIDE, True, "", None, edge("image", "'../media/gone' || n || '.png'", "'ppt/media/gone' || n || '.png'", more='"mediaKind":"image",', slide='"referencingSlide":1,'), r"'ppt/slides/_rels/slide1.xml.rels\u0000rId8\u0000ppt/media/gone' || n || '.png'"),
     (5, "package/broken-relationship", "error", SLIDE, False, "", None, edge("chart", "'../charts/gone' || n || '.xml'", "'ppt/charts/gone' || n || '.xml'"), r"'ppt/slides/_rels/slide1.xml.rels\u0000rId8\u0000ppt/charts/gone' || n || '.xml'"),
-    (6, "package/malformed-xml", "error", "ppt/notes.xml", False, "", None, """'{"column":9,"diagnosticCode":"malformed-xml","diagnosticMessage":"mismatched tag","line":1,"offset":0,"partName":"ppt/notes.xml"}'""", "'ppt/notes.xml'"),
+    (6, "package/malformed-xml", "error", "ppt/notes.xml", False, "", None, """'{"column":7,"diagnosticCode":"malformed-xml","diagnosticMessage":"mismatched tag","line":1,"offset":6,"partName":"ppt/notes.xml"}'""", "'ppt/notes.xml'"),
     (7, "layout/text-overlap", "warning", SLIDE, True, "2,3", None, f"""'{{"firstBoundsEmu":' || {box('0', '3000000')} || ',"firstBoundsPt":' || {box('0', '3000000', scale=12700)} || ',"firstShapeId":2,"firstShapeName":"Body","firstTextFrame":"shape","intersectionAreaEmu2":' || {number('(3000000 - 20000 * s) * 1000000.0', 3)} || ',"intersectionBoundsEmu":' || {box('20000 * s', '3000000 - 20000 * s')} || ',"intersectionPolygonEmu":[{{"x":' || (20000 * s) || ',"y":0}},{{"x":3000000,"y":0}},{{"x":3000000,"y":1000000}},{{"x":' || (20000 * s) || ',"y":1000000}}],"minOverlapRatio":0.2,"overlapRatio":' || {number('(3000000 - 20000 * s) / 3000000', 6)} || ',"secondBoundsEmu":' || {box('20000 * s', '3000000')} || ',"secondBoundsPt":' || {box('20000 * s', '3000000', scale=12700)} || ',"secondShapeId":3,"secondShapeName":"Over","secondTextFrame":"shape","smallerShapeId":2}}'""", r"'2\u00003'"),
     (8, "package/broken-relationship", "error", "_rels/.rels", False, "", None, edge("officeDocument", "'ppt/presentation.xml'", "'ppt/presentation.xml'", "rId1", "_rels/.rels", "null"), r"'_rels/.rels\u0000rId1\u0000ppt/presentation.xml'"),
     (11, "text/autofit-enabled", "warning", SLIDE, True, "7", None, f"""'{{"autofitKind":"runtime","rawFontScale":null,"reason":"No scale is stored.","sourceKind":"slide-body-properties","sourcePart":"{SLIDE}","textBodyIndex":0}}'""", r"'7\u00000'"),
@@ -73,17 +75,26 @@ def query(sql: str):
     return add
 
 
-def known(spark: SparkSession, sf_dir: str) -> inspection.Facts:
-    at = (spark.sparkContext.applicationId, sf_dir)
+def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the table from another: its files' names, sizes and times."""
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return spark.sparkContext.applicationId, sf_dir, *sorted(tuple(map(str, r)) for r in files.collect())
+
+
+def known(spark: SparkSession, sf_dir: str, build: Callable[[int, int], bytes] = fixtures.generated) -> inspection.Facts:
+    at = (*state(spark, sf_dir), build.__name__)
     if at not in _KNOWN:
-        rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
-        _KNOWN[at] = inspection.facts(decks.decks(fixtures.generated_files(rows)))
+        _KNOWN[at] = inspection.facts(decks.decks(fixtures.generated_files(rows_of(spark, sf_dir), build)), with_rasters=True)
     return _KNOWN[at]
 
 
 def found(spark: SparkSession, sf_dir: str, given: dict | None = None) -> tuple[inspection.Facts, DataFrame, config.Config]:
     f, c = known(spark, sf_dir), config.resolve(given)
-    at = (spark.sparkContext.applicationId, sf_dir, config.digest(c))
+    at = (*state(spark, sf_dir), config.digest(c))
     if at not in _FOUND_ROWS:
         _FOUND_ROWS[at] = inspection.findings(f, c)
     return f, inspection.suppressed(_FOUND_ROWS[at], c), c
@@ -166,8 +177,10 @@ def q_deck_types(spark, sf_dir):
 
 @query(f"""WITH d AS ({DECKS}) SELECT input_key, p AS part_name, lower(p) AS part_key, true AS alone, CASE WHEN p = 'ppt/notes.xml' THEN 'malformed-xml' END AS code, CAST(CASE WHEN n % 2 = 1 THEN 8 ELSE 0 END AS INTEGER) AS method FROM d, (VALUES {_PARTS}) AS t(p) WHERE {_HELD}""")
 def q_deck_entries(spark, sf_dir):
-    """Entries, their canonical names, whether their XML could be read, and how they are stored."""
-    return known(spark, sf_dir).parts.select("input_key", "part_name", "part_key", "alone", F.col("xml.code").alias("code"), "method")
+    """Entries of packages that are files, read by ranges: canonical names, whether their XML could be read, and how they are stored."""
+    folder = f"{work.folder(spark)}/packages-{uuid.uuid4().hex}"
+    fixtures.write_files(rows_of(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    return decks.names(decks.entries(decks.scan(spark, folder))).select("input_key", "part_name", "part_key", "alone", F.col("xml.code").alias("code"), "method")
 
 
 _MORE = "(1, 4, 11692000, 2000000, NULL), (2, 5, 0, 2000000, NULL), (3, 6, 0, 2000000, NULL), (7, 3, NULL, 0, NULL), (11, 7, 0, 2000000, NULL)"
@@ -196,3 +209,62 @@ def q_deck_documents(spark, sf_dir):
     done = {"findings": rows, "unused": inspection.unused(rows, f.files, c), "resolved": None, "diagnostics": f.diagnostics, "skipped": inspection.skipped(f, c), "summary": inspection.summary(f, rows, c), "facts": f}
     value = lambda path: F.get_json_object("document", path)
     return reports.documents(done).select("input_key", F.json_array_length(value("$.findings")).cast("long").alias("findings"), value("$.input.inputKey").alias("named"), value("$.findings[0].fingerprint").alias("first"))
+
+
+_INCOMING = f"""SELECT input_key, r, i, t FROM d, (VALUES {_EDGES}) AS e(r, i, t) WHERE NOT (k = 10 AND r = 'ppt/slides/_rels/slide1.xml.rels')
+    UNION ALL SELECT input_key, 'ppt/slides/_rels/slide1.xml.rels', 'rId8', CASE k WHEN 4 THEN 'ppt/media/gone' || n || '.png' ELSE 'ppt/charts/gone' || n || '.xml' END FROM d WHERE k IN (4, 5)"""
+
+
+@query(rf"""WITH d AS ({DECKS}), e AS ({_INCOMING}), s AS (SELECT *, lower(t) AS target_key, CASE WHEN r = '_rels/.rels' THEN '' ELSE regexp_replace(r, '_rels/([^/]*)\.rels$', '\1') END AS source FROM e)
+    SELECT input_key, target_key, count(*) AS edges, string_agg(source || '#' || i, ',' ORDER BY source, i) AS sources FROM s GROUP BY ALL""")
+def q_deck_incoming(spark, sf_dir):
+    """The edges that lead to each part, there or not."""
+    rows = package.incoming(known(spark, sf_dir).edges)
+    named = F.struct(F.coalesce("source_part", F.lit("")).alias("s"), F.col("id").alias("i"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: F.concat(x["s"], F.lit("#"), x["i"])), ",")
+    return rows.groupBy("input_key", "target_key").agg(F.count("*").alias("edges"), joined.alias("sources"))
+
+
+#: Packages of the kinds whose shapes cover, overlap, turn or inherit, under rules that are off by default too.
+PLACED = f"SELECT p_partkey AS n, p_size AS s, p_partkey % {len(fixtures.PLACED_KINDS)} AS k, 'decks/' || p_partkey || '.pptx' AS input_key FROM part"
+EVERY = {"extends": ["recommended"], "rules": {"layout/text-occluded": "error", "fonts/allowed": ["warning", {"families": ["arial "], "unresolved": "ignore"}]}}
+_PLACED_RULES = (
+    (0, "layout/text-occluded", "error", 1, "256", SLIDE, "2,3", number("s / 50.0", 6), "'solid-fill'", "s >= 10"),
+    (1, "layout/text-occluded", "error", 1, "256", SLIDE, "2,3", number("s / 50.0", 6), "'ppt/media/photo.png'", "s >= 10"),
+    (2, "fonts/allowed", "warning", 1, "256", SLIDE, "2", "CASE WHEN s % 2 = 1 THEN 'Yu Gothic' ELSE 'Face ' || s END", "CASE WHEN s % 2 = 1 THEN 'eastAsian' ELSE 'latin' END", "true"),
+    (3, "layout/text-overlap", "warning", 1, "256", SLIDE, "21,30", number("1 - s / 100.0", 6), "'shape,shape'", "true"),
+    (4, "layout/text-overlap", "warning", 1, "256", SLIDE, "2,3", number("1 - s / 50.0", 6), "'shape,shape'", "s <= 40"),
+    (5, "layout/text-overlap", "warning", 1, "256", SLIDE, "5,6", number("1 - s / 50.0", 6), "'table:r1:c1,shape'", "s <= 40"),
+    (6, "layout/outside-slide", "warning", 1, "256", "ppt/slides/slideB.xml", "4", "'0.5'", "'right'", "true"),
+    (6, "layout/outside-slide", "warning", 2, "257", "ppt/slides/slideA.xml", "5", number("s / 100.0", 6), "'right'", "s >= 5"),
+    (7, "text/min-font-size", "error", 1, "256", SLIDE, "2", "'18'", "'title'", "true"),
+)
+_PLACED_FOUND = " UNION ALL ".join(
+    f"SELECT input_key, '{rule}' AS rule_id, '{severity}' AS severity, {at} AS slide_number, '{slide}' AS slide_id, '{part}' AS part, '{ids}' AS shape_ids, {value} AS value, {detail} AS detail FROM d WHERE k = {k} AND {when}"
+    for k, rule, severity, at, slide, part, ids, value, detail, when in _PLACED_RULES
+)
+
+
+@query(f"WITH d AS ({PLACED}) {_PLACED_FOUND}")
+def q_deck_placed(spark, sf_dir):
+    """Findings of covered, overlapping, turned, grouped and inherited shapes, table cells, typefaces and several slides, with what decides them."""
+    c = config.resolve(EVERY)
+    rows = inspection.findings(known(spark, sf_dir, fixtures.generated_placed), c)
+    of = lambda *keys: F.coalesce(*[F.get_json_object("evidence", f"$.{k}") for k in keys])
+    frames = F.concat_ws(",", of("firstTextFrame"), of("secondTextFrame"))
+    detail = F.when(F.col("rule_id") == "layout/text-overlap", frames).otherwise(of("mediaPart", "opacityBasis", "scriptSlot", "affectedEdges[0]", "placeholderKind"))
+    return rows.select("input_key", "rule_id", "severity", "slide_number", "slide_id", "part", F.array_join("shape_ids", ",").alias("shape_ids"), of("occludedRatio", "overlapRatio", "outsideRatio", "resolvedTypeface", "baseFontSizePt").alias("value"), detail.alias("detail"))
+
+
+_PLACED_SHAPES = """(0, 1, 0, 2, 'shape', 0, 0, 3000000, 1000000, ''), (0, 1, 1, 3, 'shape', 0, 0, 60000 * s, 1000000, ''), (1, 1, 0, 2, 'shape', 0, 0, 3000000, 1000000, ''), (1, 1, 1, 3, 'picture', 0, 0, 60000 * s, 1000000, ''),
+    (2, 1, 0, 2, 'shape', 0, 0, 3000000, 1000000, ''), (3, 1, 0, 21, 'shape', 1000000, 1000000, 1000000, 1000000, '20'), (3, 1, 1, 30, 'shape', 1000000 + 10000 * s, 1000000, 1000000, 1000000, ''), (4, 1, 0, 2, 'shape', 500000, 1500000, 4000000, 1000000, ''),
+    (4, 1, 1, 3, 'shape', 4100000 + 8000 * s, 1600000, 400000, 400000, ''), (5, 1, 0, 5, 'graphic-frame', 0, 0, 4000000, 2000000, ''), (5, 1, 1, 6, 'shape', 2000000 + 40000 * s, 1000000, 2000000, 1000000, ''),
+    (6, 1, 0, 4, 'shape', 11692000, 0, 1000000, 100000, ''), (6, 2, 0, 5, 'shape', 11192000 + 10000 * s, 0, 1000000, 100000, ''), (7, 1, 0, 2, 'shape', 10000 * s, 0, 2000000, 500000, '')"""
+
+
+@query(f"""WITH d AS ({PLACED}) SELECT input_key, CAST(m.number AS INTEGER) AS number, CAST(z AS INTEGER) AS z, CAST(id AS BIGINT) AS shape_id, kind, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, g AS groups
+    FROM d, LATERAL (VALUES {_PLACED_SHAPES}) AS m(kk, number, z, id, kind, x, y, w, h, g) WHERE kk = k""")
+def q_deck_places(spark, sf_dir):
+    """Bounds of leaf shapes: in a scaling group, turned, inherited from the layout, pictures and tables, on several slides."""
+    rows = known(spark, sf_dir, fixtures.generated_placed).leaves
+    return rows.select("input_key", F.col("number").cast("int").alias("number"), F.col("z").cast("int").alias("z"), "shape_id", "kind", *[F.col(f"bounds.{c}").alias(c) for c in ("x", "y", "width", "height")], F.array_join("group_ids", ",").alias("groups"))

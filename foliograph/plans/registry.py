@@ -5,25 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foliograph.plans import config, inspection, packages, tables
-from foliograph.sources import decks, fixtures
+from foliograph.plans import packages, tables
 
-
-def q_package_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The golden package, inspected under the recommended configuration."""
-    content = F.unhex(F.lit(fixtures.golden().hex()))
-    files = spark.range(1).select(F.lit("examples/public-broken-deck.pptx").alias("file"), content.alias("content"))
-    found = inspection.findings(inspection.facts(decks.decks(files)), config.resolve())
-    return found.select("input_key", "rule_id", "severity", "slide_number", "slide_id", "fingerprint")
-
-
-#: The golden package's findings.
-PACKAGE_SQL = """SELECT 'examples/public-broken-deck.pptx' AS input_key, rule_id, severity, CAST(1 AS INTEGER) AS slide_number, '256' AS slide_id, fingerprint FROM (VALUES
-    ('layout/outside-slide', 'warning', 'b610fc1ccb18c1159962694e27f28ba93fa8aa0f9a58da6276cd0387afc9e821'),
-    ('text/autofit-scale-below-minimum', 'error', '4fb8a2226c58cc7fe79e57a94c1bcec9a296cbba0bbec92f57b7813a7c72aa1d'),
-    ('text/min-font-size', 'error', 'c038cd30376efd3f2e6cbda502b94de4b92293f6e91b51bb2c3bb4b2b7ede1ba')) AS t(rule_id, severity, fingerprint)"""
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tables.QUERIES | packages.QUERIES | {"q_package_findings": q_package_findings}
-ORACLE_SQL: dict[str, str] = tables.SQL | packages.SQL | {"q_package_findings": PACKAGE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tables.QUERIES | packages.QUERIES
+ORACLE_SQL: dict[str, str] = tables.SQL | packages.SQL

@@ -67,7 +67,8 @@ def finding() -> Column:
 
 def _sorted_by_input(rows: DataFrame, value: Column, name: str, *order: str) -> DataFrame:
     """name: the values of an input as one JSON list, in order. A package's findings are bounded by its size."""
-    each = rows.select("input_key", F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], value.alias("v")).alias("s"))
+    key = lambda o: F.coalesce(F.col(o), F.lit(0)) if dict(rows.dtypes)[o] in ("int", "bigint") else C.text_order(F.coalesce(F.col(o), F.lit("")))
+    each = rows.select("input_key", F.struct(*[key(o).alias(f"o{i}") for i, o in enumerate(order)], value.alias("v")).alias("s"))
     return each.groupBy("input_key").agg(C.json_list(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"])).alias(name))
 
 
@@ -83,7 +84,7 @@ def documents(done: dict[str, DataFrame]) -> DataFrame:
     lists = [
         _sorted_by_input(live, finding(), "findings", *ORDER), _sorted_by_input(quiet, C.json_object(finding=finding(), suppressionIndex=C.json_number(F.col("suppressed_by"))), "suppressedFindings", *ORDER),
         _sorted_by_input(done["unused"], C.json_object(ruleId=C.json_text(F.col("rule_id")), suppressionIndex=C.json_number(F.col("idx"))), "unusedSuppressions", "idx"),
-        _sorted_by_input(done["diagnostics"], diagnostic, "diagnostics", "code", "part", "rel_id", "message"), _sorted_by_input(done["skipped"], C.json_text(F.col("rule_id")), "skippedRules", "rule_id"),
+        _sorted_by_input(done["diagnostics"], diagnostic, "diagnostics", "part", "code", "rel_id", "message"), _sorted_by_input(done["skipped"], C.json_text(F.col("rule_id")), "skippedRules", "rule_id"),
     ]
     if done["resolved"] is not None:
         lists.append(_sorted_by_input(done["resolved"], C.json_object(fingerprint=C.json_text(F.col("fingerprint"))), "resolvedFindings", "fingerprint"))

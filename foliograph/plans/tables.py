@@ -325,4 +325,19 @@ def q_clip_area(spark, sf_dir):
     """The general convex clip, on rectangles."""
     lines = placed_lines(spark, sf_dir)
     cut = geometry.intersection(geometry.rectangle(F.col("x"), F.col("y"), F.col("w"), F.col("h")), geometry.rectangle(10, 2, 30, 4))
-    return lines.select("l_orderkey", "pos", F.explode(F.array(geometry.area(cut))).alias("area")).withColumn("area", canonical.round_half_up(F.col("area"), 3))
+    return lines.select("l_orderkey", "pos", cut["area"].alias("area")).withColumn("area", canonical.round_half_up(F.col("area"), 3))
+
+
+#: A square on a corner, of half diagonal r about x, y, cut by the line 40 to the right.
+_LEFT_OF = "CASE WHEN 40 - x >= r THEN 2 * r * r WHEN 40 - x <= -r THEN 0 WHEN x >= 40 THEN (r + 40 - x) * (r + 40 - x) ELSE 2 * r * r - (r - 40 + x) * (r - 40 + x) END"
+
+
+@query(f"""WITH p AS (SELECT *, w / sqrt(2) AS r FROM ({PLACED})) SELECT l_orderkey, pos, floor({_LEFT_OF} * 1000 + 0.5) / 1000 AS area FROM p""")
+def q_clip_turned(spark, sf_dir):
+    """Squares turned by an eighth, clipped where they reach over a line."""
+    lines = placed_lines(spark, sf_dir)
+    turned = geometry.shape_matrix(F.col("x") - F.col("w") / 2, F.col("y") - F.col("w") / 2, F.col("w"), F.col("w"), F.lit(45.0), F.lit(False), F.lit(False))
+    # exploded, because Spark doesn't take an Arrow function out of a projection whose lambdas feed it
+    lines = lines.select("l_orderkey", "pos", F.explode(F.array(geometry.moved(geometry.rectangle(0, 0, F.col("w"), F.col("w")), turned))).alias("polygon"))
+    cut = geometry.intersection(F.col("polygon"), geometry.rectangle(-1000, -1000, 1040, 2000))
+    return lines.select("l_orderkey", "pos", cut["area"].alias("area")).withColumn("area", canonical.round_half_up(F.col("area"), 3))

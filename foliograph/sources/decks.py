@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -16,7 +18,8 @@ from pyspark.sql.types import StructType
 
 from foliograph.functions import paths
 from foliograph.operators import relational
-from foliograph.sources import xml_facts, zip_entries
+from foliograph.plans.work import keep
+from foliograph.sources import ranged, xml_facts, zip_entries
 
 #: The limits, which options may lower and not raise.
 LIMITS = {"entries": 10_000, "part": 256 << 20, "xml": 20 << 20, "total": 1 << 30, "ratio": 200}
@@ -34,16 +37,23 @@ SHAPE = f"""STRUCT<id LONG, name STRING, hidden BOOLEAN, kind STRING, groups ARR
     fill {FILL}, shows_text BOOLEAN, cells ARRAY<STRUCT<key STRING, x LONG, y LONG, w LONG, h LONG, grid_w LONG, grid_h LONG>>, font_ref {PROPS}, bodies ARRAY<{BODY}>>"""
 FACTS = f"""root STRING, types ARRAY<STRUCT<kind STRING, key STRING, content_type STRING>>, rels ARRAY<STRUCT<id STRING, type STRING, target STRING, mode STRING>>, size STRUCT<cx LONG, cy LONG>,
     slide_ids ARRAY<STRUCT<id STRING, rid STRING>>, styles ARRAY<{PROPS}>, shapes ARRAY<{SHAPE}>, fonts ARRAY<STRUCT<family STRING, slot STRING, script STRING, typeface STRING>>"""
-ENTRY = f"""input_key STRING, zip_error STRING, idx INT, raw_name STRING, method INT, csize LONG, usize LONG, crc LONG, encrypted BOOLEAN, denied STRING, read_error STRING,
-    xml STRUCT<code STRING, message STRING, line INT, col INT, offset INT>, raster STRING, {FACTS}"""
+#: An entry of a package, with the bytes of what will be parsed and their digest.
+MEMBER = "input_key STRING, zip_error STRING, idx INT, raw_name STRING, method INT, csize LONG, usize LONG, crc LONG, encrypted BOOLEAN, denied STRING, read_error STRING, digest STRING, content BINARY"
+PARSED = f"digest STRING, xml STRUCT<code STRING, message STRING, line INT, col INT, offset INT>, raster STRING, {FACTS}"
+#: Bytes of one package that a task reads, and of members' contents in a batch.
+SPLIT, BATCH_BYTES = 64 << 20, 8 << 20
+#: Parts that over 1/HOT of the members have are spread over several tasks, SPREAD at most; there are fewer than HOT such parts. Fewer than LEAST members are never spread.
+HOT, SPREAD, LEAST = 1000, 64, 100
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """file, input_key, source_sha256, content of the packages under a folder, which their keys are relative to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][pP][tT][xX]").option("recursiveFileLookup", "true").load(folder)
-    base = re.sub(r"^file:/*", "/", folder.rstrip("/") + "/")
-    relative = F.expr(f"substr(path, instr(path, '{base}') + {len(base)})")
-    return decks(files.select(relative.alias("file"), "content"))
+    """file, uri, size, input_key, source_sha256 of the packages under a folder, which their keys are relative to.
+
+    Files are read as streams for their hashes, and later by ranges (see sources/ranged.py): none is held whole.
+    """
+    ranged.register(spark)
+    files = spark.read.format(ranged.NAME).option("path", folder).option("rows", "files").load()
+    return files.select("file", "uri", "size", paths.input_key(F.col("file")).alias("input_key"), "source_sha256")
 
 
 def decks(files: DataFrame) -> DataFrame:
@@ -73,58 +83,158 @@ def raster_opacity(data: bytes) -> str:
     return "invalid"
 
 
-def entry_rows(key: str, data: bytes, limits: dict[str, float], with_rasters: bool) -> Iterator[dict]:
-    """A row for each entry of a package; limits are checked on the directory before any member is inflated."""
-    try:
-        found = zip_entries.entries(data)
-    except (zip_entries.ZipError, ValueError) as e:
-        yield {"input_key": key, "zip_error": str(e), "idx": -1}
-        return
-    total_denied = "archive-limit-exceeded" if len(found) > limits["entries"] or sum(e.usize for e in found) > limits["total"] else None
-    lapping = zip_entries.overlapping(found)
+@functools.lru_cache(maxsize=64)
+def _declared(body: bytes) -> tuple[dict[str, bool], dict[str, bool]]:
+    """Whether the types that a content-types part declares are XML's: by part name and by extension, the first of each."""
     overrides: dict[str, bool] = {}
     defaults: dict[str, bool] = {}
-    for e in sorted(found, key=lambda e: e.name.lower() != "[content_types].xml"):
+    try:
+        types = xml_facts.facts(xml_facts.parse(body)).get("types", ())
+    except xml_facts.Bad:
+        types = ()
+    for t in types:
+        if t["key"] and t["content_type"]:
+            held, name = (overrides, "/" + t["key"].lower().lstrip("/")) if t["kind"] == "Override" else (defaults, t["key"].lower())
+            held.setdefault(name, bool(XML_TYPE.search(t["content_type"])))
+    return overrides, defaults
+
+
+class Package:
+    """The directory of a package and what its members are; limits are checked on the directory before any is inflated."""
+
+    def __init__(self, source: zip_entries.Bytes, limits: dict[str, float]) -> None:
+        self.source, self.limits = source, limits
+        self.entries = zip_entries.entries(source)
+        self.total_denied = "archive-limit-exceeded" if len(self.entries) > limits["entries"] or sum(e.usize for e in self.entries) > limits["total"] else None
+        self.lapping = zip_entries.overlapping(self.entries)
+        self.overrides: dict[str, bool] = {}
+        self.defaults: dict[str, bool] = {}
+        for e in self.entries:
+            if e.name.lower() == "[content_types].xml" and not self.denied(e, True) and (body := self.read(e)[0]) is not None:
+                for held, more in zip((self.overrides, self.defaults), _declared(body), strict=True):
+                    held.update({k: v for k, v in more.items() if k not in held})
+
+    def is_xml(self, e: zip_entries.Entry) -> bool:
         low = e.name.lower()
-        is_xml = low.endswith((".xml", ".rels")) or overrides.get("/" + low, defaults.get(low.rpartition("/")[2].rpartition(".")[2], False) if "." in low.rpartition("/")[2] else False)
+        last = low.rpartition("/")[2]
+        return low.endswith((".xml", ".rels")) or self.overrides.get("/" + low, self.defaults.get(last.rpartition(".")[2], False) if "." in last else False)
+
+    def denied(self, e: zip_entries.Entry, is_xml: bool) -> str | None:
         ratio = e.usize / e.csize if e.csize else float("inf") if e.usize else 1
-        over = e.usize > limits["part"] or ratio > limits["ratio"] or is_xml and e.usize > limits["xml"]
-        row = {"input_key": key, "idx": e.idx, "raw_name": e.name, "method": e.method, "csize": e.csize, "usize": e.usize, "crc": e.crc, "encrypted": bool(e.flags & 1), "denied": total_denied or ("part-limit-exceeded" if over else None)}
-        is_raster = with_rasters and low.endswith((".png", ".jpg", ".jpeg"))
-        if not row["denied"] and not e.name.endswith("/") and (is_xml or is_raster):
-            body, row["read_error"] = (None, "entry-read-failed") if e.idx in lapping else zip_entries.read(data, e)
-            if body is not None and is_xml:
-                try:
-                    root = xml_facts.parse(body)
-                    row |= xml_facts.facts(root)
-                    row["xml"] = {}
-                    for t in row.get("types", ()) if low == "[content_types].xml" else ():
-                        if t["key"] and t["content_type"]:
-                            held, name = (overrides, "/" + t["key"].lower().lstrip("/")) if t["kind"] == "Override" else (defaults, t["key"].lower())
-                            held.setdefault(name, bool(XML_TYPE.search(t["content_type"])))
-                except xml_facts.Bad as x:
-                    row["xml"] = {"code": x.code, "message": str(x), "line": x.line, "col": x.column, "offset": x.offset}
-            elif body is not None:
-                row["raster"] = raster_opacity(body)
-        yield row
+        over = e.usize > self.limits["part"] or ratio > self.limits["ratio"] or is_xml and e.usize > self.limits["xml"]
+        return self.total_denied or ("part-limit-exceeded" if over else None)
 
+    def read(self, e: zip_entries.Entry) -> tuple[bytes | None, str | None]:
+        return (None, "entry-read-failed") if e.idx in self.lapping else zip_entries.read(self.source, e)
 
-def entries(files: DataFrame, limits: dict[str, float] | None = None, with_rasters: bool = False) -> DataFrame:
-    """The entries of decks (input_key, content), each with the facts of its XML; columns as in ENTRY."""
+    def rows(self, low: float = 0, high: float = float("inf"), with_rasters: bool = False) -> Iterator[dict]:
+        """Entries whose local records start in [low, high), in the directory's order; XML members with their bytes, rasters if wanted.
+
+        A task owns what starts in its range, so that the ranges of a package are read by as many tasks.
+        """
+        for e in self.entries:
+            if not low <= e.offset < high:
+                continue
+            is_xml = self.is_xml(e)
+            row = {"idx": e.idx, "raw_name": e.name, "method": e.method, "csize": e.csize, "usize": e.usize, "crc": e.crc, "encrypted": bool(e.flags & 1), "denied": self.denied(e, is_xml)}
+            is_raster = with_rasters and e.name.lower().endswith((".png", ".jpg", ".jpeg"))
+            if not row["denied"] and not e.name.endswith("/") and (is_xml or is_raster):
+                body, row["read_error"] = self.read(e)
+                if body is not None:
+                    row |= {"content": body, "digest": ("x" if is_xml else "r") + hashlib.sha256(body).hexdigest()}
+            yield row
+
+
+def member_rows(key: str, source: zip_entries.Bytes, limits: dict[str, float], with_rasters: bool, low: float = 0, high: float = float("inf")) -> Iterator[dict]:
+    """A package's rows of MEMBER; of one that can't be read a single row with the reason, from the range that starts at 0."""
+    try:
+        package = Package(source, limits)
+    except (zip_entries.ZipError, ValueError) as e:
+        if low == 0:
+            yield {"input_key": key, "zip_error": str(e), "idx": -1}
+        return
+    for row in package.rows(low, high, with_rasters):
+        yield {"input_key": key, **row}
+
+
+def batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows with at most about BATCH_BYTES of contents."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row.get("content") or b"") + 200
+        if size >= BATCH_BYTES:
+            yield from pa.Table.from_pylist(held, schema=schema).to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_pylist(held, schema=schema).to_batches()
+
+
+def members(files: DataFrame, limits: dict[str, float] | None = None, with_rasters: bool = False) -> DataFrame:
+    """MEMBER of files that have a content (held) or a uri and size (read by ranges, a large package by several tasks)."""
     held = LIMITS | (limits or {})
     for name, value in held.items():
         if not 0 < value <= LIMITS[name]:
             raise ValueError(f"the limit {name} must be positive and at most {LIMITS[name]}")
-    schema = to_arrow_schema(StructType.fromDDL(ENTRY))
+    schema = to_arrow_schema(StructType.fromDDL(MEMBER))
+    files = files.where("input_key IS NOT NULL")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bodies = batch.column(0), batch.column(1)
+            yield from batched((r for i in range(batch.num_rows) for r in member_rows(keys[i].as_py(), zip_entries.Held(bodies[i].as_py()), held, with_rasters)), schema)
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, uri, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with ranged.opened(uri) as source:
+                    yield from batched(member_rows(key, source, held, with_rasters, n * SPLIT, (n + 1) * SPLIT), schema)
+
+    if "content" in files.columns:
+        return files.select("input_key", "content").mapInArrow(inside, MEMBER)
+    splits = files.select("input_key", "uri", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / SPLIT))).alias("n"))
+    return splits.repartition("input_key", "n").mapInArrow(by_range, MEMBER)
+
+
+def _parsed(digest: str, body: bytes) -> dict:
+    """A row of PARSED."""
+    if digest[0] == "r":
+        return {"digest": digest, "raster": raster_opacity(body)}
+    try:
+        return {"digest": digest, "xml": {}} | xml_facts.facts(xml_facts.parse(body))
+    except xml_facts.Bad as x:
+        return {"digest": digest, "xml": {"code": x.code, "message": str(x), "line": x.line, "col": x.column, "offset": x.offset}}
+
+
+def part_store(found: DataFrame) -> DataFrame:
+    """PARSED of the distinct parts of all packages: equal ones (masters, layouts, themes) are parsed once. found: rid, digest, content.
+
+    Digests and row numbers shuffle to choose a row of each part; only the chosen rows' contents move.
+    """
+    chosen = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("rid"))
+    bodies = found.select("rid", "digest", "content").join(chosen.select("rid"), "rid", "left_semi")
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a package at a time
-                key, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                rows = list(entry_rows(key, data, held, with_rasters))
-                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+            yield from batched((_parsed(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in range(batch.num_rows)), schema)
+
+    return keep(bodies.select("digest", "content").mapInArrow(run, PARSED), "part-store")
 
-    return files.where("input_key IS NOT NULL").select("input_key", "content").mapInArrow(run, ENTRY)
+
+def entries(files: DataFrame, limits: dict[str, float] | None = None, with_rasters: bool = False) -> DataFrame:
+    """The entries of packages, each with the facts of its XML out of the part store."""
+    found = keep(members(files, limits, with_rasters).withColumn("rid", F.monotonically_increasing_id()), "members")
+    store = part_store(found)
+    bare = found.drop("content")
+    rows = bare.count()
+    shares = F.least(F.lit(SPREAD), F.ceil(F.col("n") * HOT / max(1, rows))).cast("long")
+    often = bare.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST) & (F.col("n") * HOT > rows))
+    hot = found.sparkSession.createDataFrame([tuple(r) for r in often.select("digest", shares).collect()], "digest string, shares long")
+    # rows of a part that very many packages have are dealt over copies of its facts
+    dealt = bare.join(F.broadcast(hot), "digest", "left").withColumn("turn", F.pmod("rid", F.coalesce("shares", F.lit(1)))).drop("shares", "rid")
+    copies = store.join(F.broadcast(hot), "digest", "left").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1))).drop("shares")
+    return dealt.join(copies, ["digest", "turn"], "left").drop("digest", "turn")
 
 
 def names(entries_: DataFrame) -> DataFrame:
@@ -145,7 +255,9 @@ def cwd_key(path: str, cwd: str) -> str:
 
 
 def named(spark: SparkSession, inputs: dict[str, str]) -> DataFrame:
-    """Decks of the given files, path to key."""
-    files = spark.read.format("binaryFile").load([f"file://{quote(os.path.abspath(p))}" for p in inputs])
-    keys = spark.createDataFrame([("file:" + os.path.abspath(p), key) for p, key in inputs.items()], "path string, file string")
-    return decks(files.join(F.broadcast(keys), "path").select("file", "content"))
+    """Packages of the given local files, path to key: as scan gives them."""
+    ranged.register(spark)
+    keys = spark.createDataFrame([("file://" + quote(os.path.abspath(p)), key) for p, key in inputs.items()], "uri string, file string")
+    files = spark.read.format(ranged.NAME).option("paths", json.dumps([f"file://{quote(os.path.abspath(p))}" for p in inputs])).option("rows", "files").load()
+    files = files.drop("file").join(F.broadcast(keys), "uri")
+    return files.select("file", "uri", "size", paths.input_key(F.col("file")).alias("input_key"), "source_sha256")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 from foliograph.functions.canonical import SPACE
 
@@ -29,12 +30,14 @@ INTEGER = re.compile(r"[+-]?\d+\Z", re.A)
 BLANK = re.compile(f"[{SPACE}]*\\Z")
 SKIPPED = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|(<!DOCTYPE)", re.S)
 DECLARED = re.compile(r"<\?xml\s[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._\-]+)[\"']")
-#: Errors of expat that concern namespaces: unbound or undeclared prefixes and reserved names.
-NAMESPACE_ERRORS = frozenset((27, 28, 38, 39, 40))
+#: Expat's code of an end tag that fits no start (fixed value).
+MISMATCHED = 7
 
 
 class Bad(ValueError):
-    def __init__(self, code: str, message: str, line: int = 1, column: int = 1, offset: int = 0) -> None:
+    """Why a part can't be used; encodings and names have no position."""
+
+    def __init__(self, code: str, message: str, line: int | None = None, column: int | None = None, offset: int | None = None) -> None:
         super().__init__(message)
         self.code, self.line, self.column, self.offset = code, line, column, offset
 
@@ -57,17 +60,38 @@ def parse(data: bytes) -> ElementTree.Element:
         name = declared[1].lower()
         if name not in ({"utf-8"} if encoding == "utf-8" else {"utf-16", encoding.replace("-le", "le").replace("-be", "be")}):
             raise Bad("unsupported-encoding", f"the declared encoding {declared[1]} is not {encoding}")
-        text = text[: declared.start(1)] + "utf-8" + text[declared.end(1) :]
     for m in SKIPPED.finditer(text):
         if m[1]:
-            line = text.count("\n", 0, m.start()) + 1
-            raise Bad("dtd-prohibited", "a document type declaration is not allowed", line, m.start() - text.rfind("\n", 0, m.start()), m.start())
+            raise Bad("dtd-prohibited", "a document type declaration is not allowed", *position(text, m.start()))
+    raw = data if encoding == "utf-8" and not skip else text.encode()
     try:
-        return ElementTree.fromstring(text.encode())
+        return ElementTree.fromstring(raw, ElementTree.XMLParser(encoding="utf-8"))
     except ElementTree.ParseError as e:
-        line, column = e.position
-        names = e.code in NAMESPACE_ERRORS or e.code == 4 and re.search(r"<[^\s<>]*:[^\s<>]*:", text)
-        raise Bad("invalid-namespace" if names else "malformed-xml", str(e).split(":")[0], line, column + 1) from None
+        raise fault(text, raw, str(e)) from None
+
+
+def position(text: str, at: int) -> tuple[int, int, int]:
+    """Line, column and offset of a place in a text; columns and offsets count UTF-16 code units, columns and lines from 1."""
+    units = lambda part: len(part) + sum(c > "\uffff" for c in part)
+    before = text[:at]
+    return before.count("\n") + 1, units(before[before.rfind("\n") + 1 :]) + 1, units(before)
+
+
+def fault(text: str, raw: bytes, why: str) -> Bad:
+    """What is wrong with XML that can't be parsed with namespaces.
+
+    Where it is well-formed without them, its names or bindings are at fault, which have no position. Else the position is
+    that of the token that can't stand there: of an end tag that fits no start, the tag's own.
+    """
+    plain = expat.ParserCreate("utf-8")
+    try:
+        plain.Parse(raw, True)
+    except expat.ExpatError as e:
+        at = len(raw[: plain.ErrorByteIndex].decode("utf-8", "ignore"))
+        if e.code == MISMATCHED:
+            at = text.rfind("</", 0, at + 2)
+        return Bad("malformed-xml", expat.ErrorString(e.code), *position(text, at))
+    return Bad("invalid-namespace", why.split(":")[0])
 
 
 def name(e: ElementTree.Element) -> str:

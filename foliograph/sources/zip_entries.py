@@ -1,4 +1,4 @@
-"""Directory and members of an untrusted ZIP held in memory; nothing is inflated beyond its declared size."""
+"""Directory and members of an untrusted ZIP, in memory or read by ranges; nothing is inflated beyond its declared size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import struct
 import zlib
 from dataclasses import dataclass
 
+from pyarrow import NativeFile
+
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 
@@ -27,31 +29,80 @@ class Entry:
     offset: int
 
 
-def _end(data: bytes) -> int:
-    """The last end record whose comment reaches the end of the data."""
-    low = max(0, len(data) - 22 - MAX16)
-    at = data.rfind(END, low)
-    while at >= 0:
-        if at + 22 <= len(data) and at + 22 + struct.unpack_from("<H", data, at + 20)[0] == len(data):
-            return at
-        at = data.rfind(END, low, at + len(END) - 1)
+class Held:
+    """Bytes in memory, read by range."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.size = data, len(data)
+
+    def at(self, start: int, count: int) -> bytes:
+        return self.data[start : start + count]
+
+
+class Ranged:
+    """A seekable file (pyarrow's), of which only the ranges asked for are read: small ones by whole blocks, a few of which are held."""
+
+    BLOCK, BLOCKS = 128 << 10, 8
+
+    def __init__(self, file: NativeFile) -> None:
+        self.file, self.size, self.read_bytes = file, file.size(), 0
+        self.blocks: dict[int, bytes] = {}
+
+    def _read(self, start: int, count: int) -> bytes:
+        data = self.file.read_at(max(0, min(count, self.size - start)), start)
+        self.read_bytes += len(data)
+        return data
+
+    def _block(self, n: int) -> bytes:
+        held = self.blocks.pop(n, None)
+        if held is None:
+            held = self._read(n * self.BLOCK, self.BLOCK)
+            if len(self.blocks) >= self.BLOCKS:
+                del self.blocks[next(iter(self.blocks))]
+        self.blocks[n] = held
+        return held
+
+    def at(self, start: int, count: int) -> bytes:
+        if start >= self.size or count <= 0:
+            return b""
+        if count > self.BLOCK:
+            return self._read(start, count)
+        first, last = start // self.BLOCK, (start + count - 1) // self.BLOCK
+        data = self._block(first) + (self._block(last) if last > first else b"")
+        return data[start - first * self.BLOCK :][:count]
+
+
+Bytes = Held | Ranged
+
+
+def _end(data: Bytes) -> tuple[int, bytes]:
+    """Where the last end record whose comment reaches the end of the data stands, and it."""
+    for most in (22, 22 + MAX16):  # few archives have a comment
+        low = max(0, data.size - most)
+        tail = data.at(low, most)
+        at = tail.rfind(END)
+        while at >= 0:
+            if at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+                return low + at, tail[at : at + 22]
+            at = tail.rfind(END, 0, at + len(END) - 1)
     raise ZipError("no end of the central directory")
 
 
-def _directory(data: bytes) -> tuple[int, int, int, int]:
+def _directory(data: Bytes) -> tuple[int, int, int, int]:
     """Offset, size and entries of the central directory, and where its trailer starts."""
-    end = _end(data)
-    disk, first_disk, on_disk, count, size, offset = struct.unpack_from("<HHHHII", data, end + 4)
+    end, record = _end(data)
+    disk, first_disk, on_disk, count, size, offset = struct.unpack_from("<HHHHII", record, 4)
     if MAX16 not in (disk, first_disk, on_disk, count) and MAX32 not in (size, offset):
         if disk or first_disk or on_disk != count:
             raise ZipError("split archives are not supported")
         return offset, size, count, end
-    if end < 20 or data[end - 20 : end - 16] != LOCATOR64:
+    locator = data.at(end - 20, 20) if end >= 20 else b""
+    if locator[:4] != LOCATOR64:
         raise ZipError("no ZIP64 locator")
-    locator_disk, at, disks = struct.unpack_from("<IQI", data, end - 16)
-    if locator_disk or disks != 1 or at + 56 > end - 20 or data[at : at + 4] != END64:
+    locator_disk, at, disks = struct.unpack_from("<IQI", locator, 4)
+    if locator_disk or disks != 1 or at + 56 > end - 20 or data.at(at, 4) != END64:
         raise ZipError("invalid ZIP64 locator")
-    length, _, _, disk64, first64, on64, count64, size64, offset64 = struct.unpack_from("<QHHIIQQQQ", data, at + 4)
+    length, _, _, disk64, first64, on64, count64, size64, offset64 = struct.unpack("<QHHIIQQQQ", data.at(at + 4, 52))
     if at + 12 + length != end - 20 or disk64 or first64 or on64 != count64:
         raise ZipError("invalid ZIP64 record")
     for small, large, most in ((count, count64, MAX16), (on_disk, on64, MAX16), (size, size64, MAX32), (offset, offset64, MAX32), (disk, disk64, MAX16), (first_disk, first64, MAX16)):
@@ -77,20 +128,22 @@ def _sizes64(extra: bytes, usize: int, csize: int, offset: int) -> tuple[int, in
     return usize, csize, offset
 
 
-def entries(data: bytes) -> list[Entry]:
+def entries(data: bytes | Bytes) -> list[Entry]:
     """All central headers in their order, repeated names included; ZipError where the structure contradicts itself."""
+    data = Held(data) if isinstance(data, bytes) else data
     offset, size, count, trailer = _directory(data)
     if offset + size != trailer:
         raise ZipError("the central directory's bounds don't meet its end record")
     found, at = [], offset
     while at < offset + size:
-        if at + 46 > offset + size or data[at : at + 4] != CENTRAL:
+        head = data.at(at, 46)
+        if at + 46 > offset + size or head[:4] != CENTRAL:
             raise ZipError("an unknown record stands in the central directory")
-        flags, method, _, _, crc, csize, usize, n, m, k, _, _, _, local = struct.unpack_from("<HHHHIIIHHHHHII", data, at + 8)
+        flags, method, _, _, crc, csize, usize, n, m, k, _, _, _, local = struct.unpack_from("<HHHHIIIHHHHHII", head, 8)
         if at + 46 + n + m + k > offset + size:
             raise ZipError("a central header is cut off")
-        raw = data[at + 46 : at + 46 + n]
-        usize, csize, local = _sizes64(data[at + 46 + n : at + 46 + n + m], usize, csize, local)
+        raw, extra = data.at(at + 46, n), data.at(at + 46 + n, m)
+        usize, csize, local = _sizes64(extra, usize, csize, local)
         found.append(Entry(len(found), raw, raw.decode("utf-8" if flags & 0x800 else "cp437", "replace"), method, flags, crc, csize, usize, local))
         at += 46 + n + m + k
     if len(found) != count:
@@ -111,19 +164,19 @@ def overlapping(found: list[Entry]) -> set[int]:
     return out
 
 
-def read(data: bytes, entry: Entry) -> tuple[bytes | None, str | None]:
+def read(data: bytes | Bytes, entry: Entry) -> tuple[bytes | None, str | None]:
     """The member, or the code of what is wrong with it."""
-    at = entry.offset
-    if at + 30 > len(data) or data[at : at + 4] != LOCAL:
+    data = Held(data) if isinstance(data, bytes) else data
+    head = data.at(entry.offset, 30)
+    if len(head) < 30 or head[:4] != LOCAL:
         return None, "entry-read-failed"
-    flags, method, _, _, crc, csize, usize, n, m = struct.unpack_from("<HHHHIIIHH", data, at + 6)
+    flags, method, _, _, crc, csize, usize, n, m = struct.unpack_from("<HHHHIIIHH", head, 6)
     later = flags & 8  # sizes follow the member
-    if data[at + 30 : at + 30 + n] != entry.raw or method != entry.method or flags & 1 or not later and crc != entry.crc:
+    if data.at(entry.offset + 30, n) != entry.raw or method != entry.method or flags & 1 or not later and crc != entry.crc:
         return None, "entry-read-failed"
     if not later and not (usize in (entry.usize, MAX32) and csize in (entry.csize, MAX32)):
         return None, "entry-read-failed"
-    start = at + 30 + n + m
-    packed = data[start : start + entry.csize]
+    packed = data.at(entry.offset + 30 + n + m, entry.csize)
     if len(packed) < entry.csize:
         return None, "entry-read-failed"
     try:
