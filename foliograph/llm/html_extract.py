@@ -9,14 +9,16 @@ running text outside the template; a page's text is what stands there in slots,
 
 Tags and class words that tell of menus, headers, adverts, comments and the like break ties only: they weigh text when the
 main slot is chosen, and leave off parts inside it. Marks on the main slot or around it don't count, nor do marks of forms
-and class words where next to all text stands under one.
+and class words where next to all text stands under one. A page costs time and memory in proportion to its size: paths spell
+out their first SPELT levels, and elements below these are never the main slot.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -26,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm import exact_dedup
 from foliograph.llm.common import materialize
 from foliograph.llm.url_filter import host_of
 
@@ -65,13 +68,52 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table".split())
 
 
+#: Levels whose steps a path spells out, and characters of a step; what is longer or deeper goes on as a hash, so that no page's paths grow with its depth.
+SPELT, STEP = 64, 80
+
+
 class Element:
-    """marks: the paths of marked elements it stands in, itself included, each with whether the mark is weak (a form or a class word)."""
+    """An open element. strong, weak: the deepest marked path it stands in, itself included, by a tag or by a form or class word.
 
-    __slots__ = ("linked", "marks", "path", "tag", "titled", "unseen")
+    own: whether all marks around are an article's own headers; self_weak: whether it bears a weak mark itself;
+    near_p, near: whether closing a p, or which of CLOSES, can reach one that stands open; chain: hash of its whole ancestry.
+    """
 
-    def __init__(self, tag: str, path: str, marks: tuple, unseen: bool, linked: bool, titled: bool) -> None:
-        self.tag, self.path, self.marks, self.unseen, self.linked, self.titled = tag, path, marks, unseen, linked, titled
+    __slots__ = ("chain", "depth", "linked", "near", "near_p", "own", "path", "self_weak", "strong", "tag", "titled", "unseen", "weak")
+
+    def __init__(self, tag: str, above: Element | None, words: list[str]) -> None:
+        self.tag = tag
+        if above is None:
+            self.path, self.chain, self.depth, self.strong, self.weak, self.own = "", 0, 0, "", "", True
+            self.unseen = self.linked = self.titled = self.self_weak = self.near_p = False
+            self.near = frozenset()
+            return
+        step = ".".join([tag, *dict.fromkeys(words)])
+        hashed = xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), above.chain)
+        self.chain, self.depth = hashed, above.depth + 1
+        if len(step) > STEP:
+            step = f"{tag}.~{hashed:016x}"
+        self.path = f"{above.path}/{step}" if self.depth <= SPELT else f"{above.path.partition('/~')[0]}/~{hashed:016x}"
+        self.strong, self.weak, self.own, self.self_weak = above.strong, above.weak, above.own, False
+        self.titled = above.titled or tag in ("article", "main")
+        hit = () if tag in WHOLE else MARKED_WORDS.intersection(words)
+        if tag in MARKED_TAGS or hit:
+            header = tag == "header" or tag not in MARKED_TAGS and hit == {"header"}
+            self.self_weak = tag == "form" or tag not in MARKED_TAGS
+            if self.self_weak:
+                self.weak = self.path
+            else:
+                self.strong = self.path
+            self.own = above.own and header and above.titled
+        elif tag in HEADINGS and self.marked and above.own:  # an article's own header holds its title
+            self.strong = self.weak = ""
+        self.unseen, self.linked = above.unseen or tag in UNSEEN, above.linked or tag == "a"
+        self.near_p = tag == "p" or above.near_p and tag in INLINE
+        self.near = (frozenset() if tag in SCOPES else above.near) | ({tag} if tag in CLOSES else frozenset())
+
+    @property
+    def marked(self) -> bool:
+        return bool(self.strong or self.weak)
 
 
 def _named(attributes: str) -> list[str]:
@@ -79,21 +121,13 @@ def _named(attributes: str) -> list[str]:
     return [w.lower() for m in NAMES.finditer(attributes) for w in WORDS.findall(m[1] or m[2] or m[3] or "")]
 
 
-def _child(above: Element, tag: str, words: list[str]) -> Element:
-    path = f"{above.path}/{'.'.join([tag, *dict.fromkeys(words)])}"
-    hit = () if tag in WHOLE else MARKED_WORDS.intersection(words)
-    marks, titled = above.marks, above.titled or tag in ("article", "main")
-    if tag in MARKED_TAGS or hit:
-        header = tag == "header" or tag not in MARKED_TAGS and hit == {"header"}
-        marks = (*marks, (path, tag == "form" or tag not in MARKED_TAGS, header and above.titled))
-    elif tag in HEADINGS and marks and all(own for _, _, own in marks):  # an article's own header holds its title
-        marks = ()
-    return Element(tag, path, marks, above.unseen or tag in UNSEEN, above.linked or tag == "a", titled)
-
-
 def parts(page: str) -> Iterator[tuple[str, Element | None, str]]:
-    """("open" or "close", element, ""), ("text", element it stands in, text), and ("cut", None, "") where a block starts or ends."""
-    stack, at, find = [Element("", "", (), False, False, False)], 0, TOKEN.search
+    """("open" or "close", element, ""), ("text", element it stands in, text), and ("cut", None, "") where a block starts or ends.
+
+    A tag costs what it opens and closes, however deep it stands: what can't be closed isn't looked for.
+    """
+    stack, at, find = [Element("", None, [])], 0, TOKEN.search
+    standing: Counter[str] = Counter()
     while at < len(page):
         m = find(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -108,16 +142,14 @@ def parts(page: str) -> Iterator[tuple[str, Element | None, str]]:
         if tag not in INLINE:
             yield "cut", None, ""
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    yield from _closed(stack, i)
-                    break
+            if standing[tag]:
+                yield from _closed(stack, standing, lambda e, tag=tag: e.tag == tag)
             continue
-        if tag not in INLINE and tag not in VOID:
-            yield from _close(stack, ("p",), SCOPES)
-        if tag in CLOSES:
-            yield from _close(stack, CLOSES[tag], SCOPES)
-        element = _child(stack[-1], tag, _named(m[3]) if m[3] else [])
+        if tag not in INLINE and tag not in VOID and stack[-1].near_p:
+            yield from _closed(stack, standing, lambda e: e.tag == "p")
+        if tag in CLOSES and not stack[-1].near.isdisjoint(CLOSES[tag]):
+            yield from _closed(stack, standing, lambda e, tags=CLOSES[tag]: e.tag in tags)
+        element = Element(tag, stack[-1], _named(m[3]) if m[3] else [])
         yield "open", element, ""
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
@@ -129,20 +161,17 @@ def parts(page: str) -> Iterator[tuple[str, Element | None, str]]:
             yield "close", element, ""
         else:
             stack.append(element)
-    yield from _closed(stack, 1)
-
+            standing[tag] += 1
+    yield from _closed(stack, standing, lambda e: False)
 
-def _closed(stack: list[Element], start: int) -> Iterator[tuple[str, Element, str]]:
-    while len(stack) > start:
-        yield "close", stack.pop(), ""
 
-
-def _close(stack: list[Element], tags: tuple[str, ...], scopes: frozenset[str]) -> Iterator[tuple[str, Element, str]]:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            yield from _closed(stack, i)
-            return
-        if stack[i].tag in scopes or stack[i].tag not in INLINE and stack[i].tag not in tags and tags == ("p",):
+def _closed(stack: list[Element], standing: Counter[str], last: Callable[[Element], bool]) -> Iterator[tuple[str, Element, str]]:
+    """Closes elements up to the last one."""
+    while len(stack) > 1:
+        element = stack.pop()
+        standing[element.tag] -= 1
+        yield "close", element, ""
+        if last(element):
             return
 
 
@@ -176,7 +205,8 @@ def token_id(path: str, key: int) -> int:
 def structure(page: str) -> tuple[list[Token], list[int]]:
     """The page's tokens, and its events in order: n where token n opens or a text is, -n-1 where it closes. The first is the page itself."""
     known: dict[tuple[str, int], int] = {("", 0): 0}
-    sums, events, open_ = [[1, 0, 0, 0, False, 0]], [0], [0]
+    sums, events = [[1, 0, 0, 0, False, 0]], [0]
+    open_: list[list[int]] = [[0, 0, 0, 0]]  # token, and what text, linked and plain stand in it so far: carried up when it closes
 
     def token(path: str, key: int, weak: bool = False) -> int:
         n = known.setdefault((path, key), len(known))
@@ -186,20 +216,28 @@ def structure(page: str) -> tuple[list[Token], list[int]]:
         events.append(n)
         return n
 
+    def closed() -> int:
+        n, *held = open_.pop()
+        for i, x in enumerate(held, 1):
+            sums[n][i] += x
+            if open_:
+                open_[-1][i] += x
+        return -n - 1
+
     for kind, element, body in parts(page):
         if kind == "open":
-            open_.append(token(element.path, 0, bool(element.marks) and element.marks[-1][0] == element.path and element.marks[-1][1]))
+            open_.append([token(element.path, 0, element.self_weak), 0, 0, 0])
         elif kind == "close":
-            events.append(-open_.pop() - 1)
+            events.append(closed())
         elif kind == "text" and not element.unseen and (words := " ".join(body.split())):
             own = token(element.path, text_key(element.path, words))
-            for n in (*dict.fromkeys(open_), own):
-                sums[n][1] += len(words)
+            for held in (sums[own], open_[-1]):
+                held[1] += len(words)
                 if element.linked:
-                    sums[n][2] += len(words)
-                elif not element.marks:
-                    sums[n][3] += len(words)
-    events.append(-1)
+                    held[2] += len(words)
+                elif not element.marked:
+                    held[3] += len(words)
+    events.append(closed())
     return [Token(path, key, 1, times, times, text, linked, plain, weak, first) for (path, key), (times, text, linked, plain, weak, first) in zip(known, sums, strict=True)], events
 
 
@@ -280,7 +318,7 @@ def template(tokens: list[Token], valid: list[list[Token]], nested: dict[int, tu
     pages = max((t.pages for t in tokens), default=0)
     inside = {c for c in nested if _rooted(c, nested)}
     skeleton = [t for c in inside for t in valid[c] if t.pages >= NEARLY_ALL * pages and t.times == t.pages]
-    boxes = {t.path: t for t in skeleton if not t.key}
+    boxes = {t.path: t for t in skeleton if not t.key and "/~" not in t.path}
     if "" not in boxes:
         return Template()
     texts = [t for c in inside for t in valid[c] if t.key]
@@ -352,7 +390,7 @@ def main_text(page: str, known: Template | None) -> str:
             if known.main is not None:
                 if main and not path.startswith(under) or menus and path.startswith(menus):
                     continue
-                if any(len(p) > len(main) and (known.weak or not weak) for p, weak, _ in element.marks):
+                if len(element.strong) > len(main) or known.weak and len(element.weak) > len(main):
                     continue
                 if texts and text_key(element.path, " ".join(body.split())) in texts:
                     continue
@@ -387,7 +425,12 @@ def structures(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(events, pa.list_(pa.int32()))], ["host", "page", "tally", "events"])
 
     each = pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(run, f"host string, page long, tally {TALLY}, events array<int>")
-    return each.groupBy("host", "page").agg(F.any_value(F.struct("tally", "events")).alias("s")).select("host", "page", "s.*")
+    each = materialize(each.withColumn("_h", F.xxhash64("host", "page")), "structures")
+    # tallies stay where they are; only pages whose hash may repeat meet, those that a Bloom filter of the repeating hashes lets through
+    often = exact_dedup.repeated(each.select("_h"), "_h")
+    few = exact_dedup.tested(each, "_h", *exact_dedup.filter_of(often, "_h", often.count()))
+    once = few.where("_maybe").groupBy("host", "page").agg(F.any_value(F.struct("tally", "events")).alias("s")).select("host", "page", "s.*")
+    return few.where("NOT _maybe").select(*once.columns).unionByName(materialize(once, "copies"))
 
 
 def vectors(pages: DataFrame) -> DataFrame:
@@ -471,7 +514,7 @@ def nested_in(rows: list[tuple]) -> dict[int, tuple[int, int]]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, pages, main, menus, weak, texts of each host, from host, html; see Template."""
-    each = materialize(structures(pages), "structures")
+    each = structures(pages)
     frequent = materialize(vectors(each), "frequent")
     found = materialize(candidates(frequent), "candidates")
     checked = validated(each, found)

@@ -163,3 +163,26 @@ def test_order_and_copies_do_not_matter(spark):
     a = {r.page_id: r.text for r in h.extract(frame(spark, rows)).collect()}
     b = {r.page_id: r.text for r in h.extract(frame(spark, rows[::-1] + [rows[4]] * 60).repartition(7)).collect()}
     assert a == b
+
+
+def test_deep_markup_is_linear():
+    """Unclosed elements, tags that close nothing, nested marks and long class names: time and paths grow with the page, not with its square."""
+    import time
+
+    def took(page):
+        began = time.process_time()
+        tokens, events = h.structure(page)
+        assert sum(len(t.path) for t in tokens) < 120 * len(page) and len(events) < len(page)
+        h.main_text(page, h.own_template(page))
+        return time.process_time() - began
+
+    for piece in ("<div>x", "<b>x</i>", "<nav class=menu>x", "<li><b>x</u>", "<p><b><br>", "<ul><li>x</p>"):
+        small, large = piece * 4000, piece * 16000
+        assert took(large) < 8 * took(small) + 1
+    assert took("".join(f"<div class='{'w' * 50} {i}'>" for i in range(3000))) < 5
+
+
+def test_deep_text_is_kept():
+    deep = "<body><article><p>top</p>" + "<div>" * 300 + "<p>bottom</p>" + "</div>" * 300 + "</article><footer>f</footer></body>"
+    assert h.main_text(deep, h.own_template(deep)) == "top bottom"
+    assert len(h.structure("<div>" * 10_000 + "x")[0]) == 10_002
