@@ -34,10 +34,15 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first.join(counts, _same(first, counts, keys)).select(*[first[c] for c in rows.columns], "repeats")
 
 
+def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The last row of each key by order; rows are read once, and ranks are limited before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+
+
 def last_value_first_place(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Of rows with one key the last by order, at the place of the first; ranks are limited before the shuffle."""
     rest = [c for c in rows.columns if c not in (*keys, order)]
-    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where("_n = 1")
+    last = last_wins(rows, keys, order)
     place = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(order).alias("_place"))
     return last.join(place, _same(last, place, keys)).select(*[last[k] for k in keys], F.col("_place").alias(order), *[last[c] for c in rest])
 

@@ -41,7 +41,7 @@ class Facts:
 
 def facts(files: DataFrame, limits: dict | None = None, with_rasters: bool = False) -> Facts:
     """files: file, input_key, source_sha256, content (see decks.decks). Packages are parsed once and the facts kept."""
-    parts = keep(decks.names(keep(decks.entries(files, limits, with_rasters), "entries")), "parts")
+    parts = keep(decks.names(decks.entries(files, limits, with_rasters)), "parts")
     files = keep(files.drop("content"), "files")  # contents are read no more
     keys = files.where("input_key IS NOT NULL").select("input_key").distinct()
     readable = keep(keys.join(parts.where("zip_error IS NOT NULL").select("input_key"), "input_key", "left_anti"), "readable")
@@ -226,7 +226,7 @@ def autofit_enabled(f: Facts, severity: str, options: dict) -> DataFrame:
 def fonts_allowed(f: Facts, severity: str, options: dict) -> DataFrame:
     """Typefaces of used slots that the list lacks; those that can't be resolved have a severity of their own, or none."""
     families = [x.lower() for x in options["families"]]
-    rows = text.typefaces(f.runs)
+    rows = keep(text.typefaces(f.runs), "typefaces")  # else the filters below repeat how a typeface is found
     allowed = C.json_list(F.transform(C.sorted_text(F.array(*[F.lit(x) for x in options["families"]])), C.json_text))
     base = {"allowedFamilies": allowed, "placeholderKind": C.json_text(F.col("placeholder_kind")), "scriptSlot": C.json_text(F.col("slot")), "textBodyIndex": C.json_number(F.col("body_at"))}
     named = rows.where(F.col("typeface").isNotNull() & ~F.lower(C.trim_all(F.col("typeface"))).isin(*families))
@@ -267,7 +267,7 @@ def findings(f: Facts, config: Config) -> DataFrame:
         out = spark.createDataFrame([], ", ".join(f"{c} string" for c in DRAFT)).withColumns({"shape_ids": F.lit(None).cast("array<bigint>"), "shape_names": F.lit(None).cast("array<string>"), "slide_number": F.lit(None).cast("int"), "emitted": F.lit(None).cast("array<bigint>")})
     ids = F.coalesce("shape_ids", F.array().cast("array<bigint>"))
     out = out.withColumn("fingerprint", C.fingerprint(F.col("rule_id"), F.col("input_key"), F.col("part"), F.col("slide_id"), F.col("slide_number"), ids, F.col("discriminator")))
-    return keep(relational.last_value_first_place(out.drop("discriminator"), ["input_key", "fingerprint"], "emitted").drop("emitted"), "findings")
+    return keep(relational.last_wins(out.drop("discriminator"), ["input_key", "fingerprint"], "emitted").drop("emitted"), "findings")
 
 
 def suppressed(found: DataFrame, config: Config) -> DataFrame:

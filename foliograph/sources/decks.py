@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from foliograph.functions import paths
-from foliograph.operators import relational
 from foliograph.plans.work import keep
 from foliograph.sources import ranged, xml_facts, zip_entries
 
@@ -240,9 +240,9 @@ def entries(files: DataFrame, limits: dict[str, float] | None = None, with_raste
 def names(entries_: DataFrame) -> DataFrame:
     """Adds part_name, part_key and `alone`: whether no other entry of the package has the key."""
     named = entries_.withColumn("part_name", paths.part_name(F.col("raw_name"))).withColumn("part_key", paths.part_key(F.col("part_name")))
-    copies = relational.duplicated(named.where("part_key IS NOT NULL AND raw_name NOT LIKE '%/'"), ["input_key", "part_key"])
     plain = F.col("part_key").isNotNull() & ~F.col("raw_name").endswith("/")
-    return named.join(copies, ["input_key", "part_key"], "left").withColumn("alone", plain & F.col("copies").isNull()).drop("copies")
+    copies = F.count_if(plain).over(Window.partitionBy("input_key", "part_key"))
+    return named.withColumn("alone", plain & (copies == 1))
 
 
 def cwd_key(path: str, cwd: str) -> str:
