@@ -299,23 +299,34 @@ def head(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return own[: len(own) - (4 * len(own) + 4) // 5 + 1]
 
 
+#: Bits of a set's parities: 64 in each of so many words.
+PARITY_WORDS = 8
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes fall on each place; a hash that only one of two sets has flips one place."""
+    odd = np.bincount((own & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prints(texts: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, at, fp (hash of the shingle set), n (its size), head, counts (its hashes by their top byte, up to 255) of each row of texts (doc_id, at, text)."""
+    """doc_id, at, fp (hash of the shingle set), n (its size), head, counts (its hashes by their top byte, up to 255), parity (of its hashes by their low bits) of each row of texts (doc_id, at, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
-                fps, sizes, heads, counts = [], [], [], []
+                fps, sizes, heads, counts, parities = [], [], [], [], []
                 for x in part.column(2):
                     own = shingle_set(x.as_py(), width)
                     fps.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                     sizes.append(len(own))
                     heads.append(head(own, common).view(np.int64))
                     counts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads), pa.array(counts, pa.binary())], ["doc_id", "at", "fp", "n", "head", "counts"])
+                    parities.append(parity(own))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads), pa.array(counts, pa.binary()), _lists(parities)], ["doc_id", "at", "fp", "n", "head", "counts", "parity"])
 
-    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head array<long>, counts binary")
+    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head array<long>, counts binary, parity array<long>")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -340,6 +351,8 @@ MAY = (
     "(x.n < y.n OR x.n = y.n AND x.fp < y.fp) AND 5 * x.n >= 4 * y.n AND x.pos <= x.n - (8 * x.n + 8) div 9 "
     "AND 9 * (least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1) >= 4 * (x.n + y.n)"
 )
+#: Whether sets x and y can be so alike by their parities: no more places differ than hashes that one of the two has.
+NEAR = "9 * (" + " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(PARITY_WORDS)) + ") <= x.n + y.n"
 
 
 def _verified(pairs: DataFrame, fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -380,8 +393,8 @@ def _similar_edges(fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """u, v: edges between sets (fp, n, at, head) whose classes are those of all pairs of a similarity of 0.8 or more.
 
     Sets that share a shingle of their heads are compared. Of a shingle that over FEW of them share, each is first compared
-    with two of them; then those outside the shingle's largest class with all that aren't in their own class. No pair is
-    left off that isn't in one class already.
+    with two of them; then those outside the shingle's largest class with all that aren't in their own class and whose parities
+    allow it. No pair is left off that isn't in one class already or that can be so alike.
     """
     shared = _shared(fps)
     few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
@@ -390,13 +403,14 @@ def _similar_edges(fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     star = many.join(ends, "token").select(F.col("fp").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
     edges = _verified(pairs.union(star.select(F.least("u", "v"), F.greatest("u", "v"))), fps, texts, width)
     roots = materialize(classes(edges), "roots").withColumnRenamed("node", "fp")
-    many = materialize(many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "many")
+    many = many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(fps.select("fp", "parity"), "fp")
+    many = materialize(many, "many")
     sizes = many.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "root"))["root"].alias("main"))
     many = materialize(many.join(sizes.where("kinds > 1"), "token"), "open")
     if many.isEmpty():
         return edges
     other = many.where("root <> main")
-    unlike = "x.token = y.token AND x.root <> y.root AND " + MAY
+    unlike = f"x.token = y.token AND x.root <> y.root AND {MAY} AND {NEAR}"
     pairs = other.alias("x").join(many.alias("y"), F.expr(unlike)).select("x.fp", "y.fp")
     pairs = pairs.union(many.where("root = main").alias("x").join(other.alias("y"), F.expr(unlike)).select("x.fp", "y.fp")).toDF("u", "v")
     return edges.union(_verified(pairs, fps, texts, width))
@@ -416,14 +430,14 @@ def _similar(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("at"))
     prints = materialize(_prints(texts, width, _common(texts, width, docs.count())), "prints")
     fps = materialize(_distinct(prints), "fps")
-    return _components(prints.drop("n", "head", "counts"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
+    return _components(prints.drop("n", "head", "counts", "parity"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
 
 
 def _distinct(prints: DataFrame) -> DataFrame:
-    """fp, first (the smallest doc_id), at, n, head, counts of each set. Sets of one row pass a Bloom filter and don't move."""
+    """fp, first (the smallest doc_id), at, n, head, counts, parity of each set. Sets of one row pass a Bloom filter and don't move."""
     often = repeated(prints, "fp")
     each = tested(prints.withColumn("first", F.col("doc_id")), "fp", *filter_of(often, "fp", often.count()))
-    rest = ["at", "n", "head", "counts"]
+    rest = ["at", "n", "head", "counts", "parity"]
     alone = each.where("NOT _maybe").select("fp", "first", *rest)
     return alone.unionByName(each.where("_maybe").groupBy("fp").agg(F.min("first").alias("first"), F.min("at").alias("at"), *[F.first(c).alias(c) for c in rest[1:]]))
 

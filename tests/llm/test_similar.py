@@ -78,3 +78,13 @@ def test_rows_are_dropped_by_their_own_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [r for r in rows if r[1] not in copies[1:]]))
+
+
+def test_parities_bound_what_differs():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 400, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 10 :], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)))
+        apart = len(np.setxor1d(a, b))
+        flipped = np.bitwise_count((simhash.parity(np.unique(a)) ^ simhash.parity(np.unique(b))).view(np.uint64)).sum()
+        assert flipped <= apart and (n > 100 or flipped >= apart // 2)
