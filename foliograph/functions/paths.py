@@ -43,18 +43,21 @@ def encoded_key(key: Column) -> Column:
     return key
 
 
-def external_key(relative: Column) -> Column:
-    """Key of an input outside the working directory."""
-    encoded = encoded_key(relative)
-    return F.concat(F.lit("external/"), F.sha2(encoded, 256), F.lit("/"), F.element_at(F.split(encoded, "/"), -1))
-
-
 def part_name(raw: Column) -> Column:
     """Canonical name of a zip entry; null where it is no part name."""
     bad = (raw == "") | raw.contains(NUL) | raw.contains("\\") | raw.startswith("/") | raw.rlike("^[A-Za-z]:")
     return F.when(~bad, folded(raw))
 
 
+def name_fault(raw: Column) -> Column:
+    """Why a zip entry's name is no part name, as the diagnostic's code; null where it is one."""
+    depth = F.aggregate(F.filter(F.split(raw, "/"), lambda s: ~s.isin("", ".")), F.lit(0), lambda d, s: F.when(d < 0, d).when(s == "..", d - 1).otherwise(d + 1))
+    return (
+        F.when(raw == "", "empty-part-name").when(raw.contains(NUL), "invalid-part-name").when(raw.contains("\\"), "backslash-in-part-name")
+        .when(raw.startswith("/") | raw.rlike("^[A-Za-z]:"), "absolute-part-name").when(depth < 0, "path-traversal").when(depth == 0, "empty-part-name")
+    )
+
+
 def directory(name: Column) -> Column:
     return F.regexp_extract(name, r"^(.*/)?[^/]*$", 1)
 

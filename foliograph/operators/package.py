@@ -48,7 +48,7 @@ def entries(parts: DataFrame) -> DataFrame:
     bad = "invalid-relationships"
     return said(
         parts.where("zip_error IS NULL"),
-        note(part.isNull(), "invalid-part-name", F.col("raw_name"), "The entry's name is no part name."),
+        note(part.isNull(), paths.name_fault(F.col("raw_name")), F.col("raw_name"), "The entry's name is no part name."),
         note(part.isNotNull() & ~F.col("alone") & ~F.col("raw_name").endswith("/"), "ambiguous-part-name", F.col("part_key"), "Several entries have this name."),
         note(F.col("denied").isNotNull(), F.col("denied"), part, "The entry is over a limit."),
         note(F.col("read_error").isNotNull(), F.col("read_error"), part, "The entry can't be read."),
@@ -180,3 +180,11 @@ def by_id(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = wanted.select(F.col("input_key").alias("_key"), key.alias("_source"), F.col("id").alias("_id")).distinct()
     same = (F.col("input_key") == F.col("_key")) & key.eqNullSafe(F.col("_source")) & (F.col("id") == F.col("_id"))
     return edges.join(asked, same, "left_semi")
+
+
+def part_status(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (input_key, part_name) with status: ok, or why the part can't be read: part-not-found, ambiguous-part-name, a limit, or a fault of its bytes."""
+    held = parts.where(F.col("part_key").isNotNull() & ~F.col("raw_name").endswith("/")).groupBy("input_key", "part_key").agg(F.count("*").alias("_n"), F.max("denied").alias("_denied"), F.max("read_error").alias("_error"))
+    asked = wanted.withColumn("part_key", paths.part_key(paths.part_name(F.col("part_name")))).join(held, ["input_key", "part_key"], "left")
+    status = F.when(F.col("_n").isNull(), "part-not-found").when(F.col("_n") > 1, "ambiguous-part-name").otherwise(F.coalesce("_denied", "_error", F.lit("ok")))
+    return asked.select(*wanted.columns, status.alias("status"))

@@ -94,12 +94,13 @@ def run(args: list[str], spark: SparkSession | None = None, out: TextIO = sys.st
         baseline = reports.read_baseline(_read(given.baseline)) if given.baseline else None
         spark = spark or SparkSession.builder.appName("foliograph").getOrCreate()
         began = time.perf_counter()
-        inputs = {p: decks.cwd_key(os.path.join(cwd, p), cwd) for p in given.inputs}
+        inputs = {p: (decks.shown_path(p, cwd), decks.cwd_key(p, cwd)) for p in (os.path.abspath(os.path.join(cwd, x)) for x in given.inputs)}
+        spent = {} if given.debug else None
         old = spark.createDataFrame(baseline, "input_key string, fingerprint string") if baseline is not None else None
-        done = inspection.inspect(decks.named(spark, inputs), settings, old)
+        done = inspection.inspect(decks.named(spark, inputs), settings, old, timings=spent)
         each = [json.loads(r.document) for r in reports.documents(done).select("document").toLocalIterator()]
         code = done["summary"].where("input_key IS NULL").first().exit_code
-        timings = {"analysis": 1000 * (time.perf_counter() - began)} if given.debug else None
+        timings = {**spent, "analysis": 1000 * (time.perf_counter() - began)} if given.debug else None
         peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024 if given.debug else None
         text = reports.FORMATS[given.format](reports.command_report(each, config.digest(settings), timings, peak))
         guarded = [*given.inputs, *[p for p in (path, given.baseline) if p]]

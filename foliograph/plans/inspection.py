@@ -5,6 +5,10 @@ Every table carries input_key, so any number of packages is one job.
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +19,7 @@ from foliograph.functions import geometry as G
 from foliograph.functions import paths
 from foliograph.operators import package, relational, shapes, text
 from foliograph.plans.config import SELECTORS, Config
-from foliograph.plans.work import keep
+from foliograph.plans.work import keep, together
 from foliograph.sources import decks
 
 #: EMU in a point (fixed value).
@@ -41,12 +45,12 @@ class Facts:
 
 def facts(files: DataFrame, limits: dict | None = None, with_rasters: bool = False) -> Facts:
     """files: file, input_key, source_sha256, content (see decks.decks). Packages are parsed once and the facts kept."""
-    parts = keep(decks.names(decks.entries(files, limits, with_rasters)), "parts")
-    files = keep(files.drop("content"), "files")  # contents are read no more
+    spark = files.sparkSession
+    bare = files.drop("content")  # contents are read once
+    parts, files = together(spark, lambda: keep(decks.names(decks.entries(files, limits, with_rasters)), "parts"), lambda: keep(bare, "files"))
     keys = files.where("input_key IS NOT NULL").select("input_key").distinct()
-    readable = keep(keys.join(parts.where("zip_error IS NOT NULL").select("input_key"), "input_key", "left_anti"), "readable")
-    types, of_types = package.content_types(parts, readable)
-    edges, of_edges = package.relationships(parts)
+    readable = keys.join(parts.where("zip_error IS NOT NULL").select("input_key"), "input_key", "left_anti")
+    (types, of_types), (edges, of_edges) = together(spark, lambda: package.content_types(parts, readable), lambda: package.relationships(parts))
     order, of_slides = package.slides(edges, parts, readable)
     slides = package.with_parts(order, parts)
     over = edges.where(F.col("internal") & package.is_type(F.col("type"), "themeOverride")).groupBy("input_key", F.col("source_part").alias("over_source")).agg(F.min(F.coalesce("resolved", "rels_part")).alias("over"))
@@ -54,15 +58,19 @@ def facts(files: DataFrame, limits: dict | None = None, with_rasters: bool = Fal
         slides = slides.join(over.withColumnsRenamed({"over_source": part, "over": f"_{part}"}), ["input_key", part], "left")
     slides = keep(slides.withColumn("override_part", F.least("_slide_part", "_layout_part")).drop("_slide_part", "_layout_part"), "slides")
     usable = slides.where("slide_part IS NOT NULL")
-    leaves = keep(shapes.leaves(usable), "leaves")
-    found = keep(text.bodies(usable).join(usable.select("input_key", "number", "override_part"), ["input_key", "number"]), "bodies")
+
+    def texts() -> tuple[DataFrame, DataFrame]:
+        found = keep(text.bodies(usable).join(usable.select("input_key", "number", "override_part"), ["input_key", "number"]), "bodies")
+        return found, keep(text.runs(found), "runs")
+
+    leaves, (found, runs) = together(spark, lambda: keep(shapes.leaves(usable), "leaves"), texts)
     bad = leaves.where("reason IS NOT NULL").groupBy("input_key", "slide_part").agg(F.count("*").alias("n"), F.min("number").alias("number"), F.min_by("reason", F.struct("number", "z")).alias("reason"))
     text_of = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
     placeless = package.note(F.lit(True), "unsupported-geometry", F.col("slide_part"), text_of("Slide ", F.col("number"), ": shapes without a place: ", F.col("n"), ", first: ", F.col("reason")))
     diagnostics = package.entries(parts)
     for more in (of_types, of_edges, of_slides, package.said(bad, placeless)):
         diagnostics = diagnostics.unionByName(more)
-    return Facts(files, parts, types, edges, slides, leaves, found, keep(text.runs(found), "runs"), keep(diagnostics.distinct(), "diagnostics"))
+    return Facts(files, parts, types, edges, slides, leaves, found, runs, keep(diagnostics.distinct(), "diagnostics"))
 
 
 # rules
@@ -256,13 +264,26 @@ NEEDS_PRESENTATION = ("fonts/", "layout/", "text/")
 # findings
 
 
-def findings(f: Facts, config: Config) -> DataFrame:
-    """Findings of the enabled rules, one per fingerprint. Rules that are off aren't planned."""
-    out = None
-    for rule, (severity, options) in config.enabled().items():
-        rows = RULES[rule](f, severity, options)
+def findings(f: Facts, config: Config, timings: dict[str, float] | None = None) -> DataFrame:
+    """Findings of the enabled rules, one per fingerprint. Rules that are off aren't planned.
+
+    With timings each rule is a step of its own, whose milliseconds are noted; else all are planned together.
+    """
+    spark, out = f.files.sparkSession, None
+
+    def of(rule: str) -> DataFrame:
+        rows = RULES[rule](f, *config.enabled()[rule])
+        return rows if timings is None else keep(rows, "rule")
+
+    if timings is None:
+        found = together(spark, *[functools.partial(of, rule) for rule in config.enabled()])
+    else:
+        found = []
+        for rule in config.enabled():
+            with spent(timings, f"rule/{rule}"):
+                found.append(of(rule))
+    for rows in found:
         out = rows if out is None else out.unionByName(rows)
-    spark = f.files.sparkSession
     if out is None:
         out = spark.createDataFrame([], ", ".join(f"{c} string" for c in DRAFT)).withColumns({"shape_ids": F.lit(None).cast("array<bigint>"), "shape_names": F.lit(None).cast("array<string>"), "slide_number": F.lit(None).cast("int"), "emitted": F.lit(None).cast("array<bigint>")})
     ids = F.coalesce("shape_ids", F.array().cast("array<bigint>"))
@@ -296,14 +317,13 @@ def unused(found: DataFrame, files: DataFrame, config: Config) -> DataFrame:
 def classified(found: DataFrame, baseline: DataFrame | None, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Adds status (new or existing) to what no suppression took, and the baseline's entries that are resolved, of the files' inputs.
 
-    baseline: input_key, fingerprint. A suppressed finding counts as gone.
+    baseline: input_key, fingerprint. A suppressed finding counts as gone. Of a table of reports.save_baseline nothing moves.
     """
     if baseline is None:
         return found.withColumn("status", F.lit("new")), None
     keys = ["input_key", "fingerprint"]
-    of_files = baseline.join(files.select("input_key"), "input_key", "left_semi")
-    status = relational.baseline_status(found.where("suppressed_by IS NULL"), of_files, keys)
-    resolved = relational.missing(of_files, status.where("status <> 'resolved'"), keys)
+    status = relational.baseline_status(found.where("suppressed_by IS NULL"), baseline, keys)
+    resolved = status.where("status = 'resolved'").select(*keys).join(files.select("input_key").distinct(), "input_key", "left_semi")
     return found.join(status.where("status <> 'resolved'"), keys, "left").withColumn("status", F.coalesce("status", F.lit("new"))), resolved
 
 
@@ -364,9 +384,22 @@ def summary(f: Facts, found: DataFrame, config: Config, resolved: DataFrame | No
     return rows.rollup("input_key").agg(*[F.sum(c).alias(c) for c in sums], F.bool_and("complete").alias("complete"), F.max("exit_code").alias("exit_code"))
 
 
-def inspect(files: DataFrame, config: Config, baseline: DataFrame | None = None, limits: dict | None = None) -> dict[str, DataFrame]:
-    """findings (with suppressed_by and status), unused suppressions, resolved, diagnostics, skipped, summary. Suppressions come before the baseline."""
-    f = facts(files, limits, "layout/text-occluded" in config.enabled())
-    found, resolved = classified(suppressed(findings(f, config), config), baseline, files)
+@contextlib.contextmanager
+def spent(timings: dict[str, float] | None, name: str) -> Iterator[None]:
+    """Adds the milliseconds of a step to timings, if there are any."""
+    began = time.perf_counter()
+    yield
+    if timings is not None:
+        timings[name] = timings.get(name, 0) + 1000 * (time.perf_counter() - began)
+
+
+def inspect(files: DataFrame, config: Config, baseline: DataFrame | None = None, limits: dict | None = None, timings: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """findings (with suppressed_by and status), unused suppressions, resolved, diagnostics, skipped, summary. Suppressions come before the baseline.
+
+    timings, if given, gets the milliseconds of the context and of each rule.
+    """
+    with spent(timings, "context"):
+        f = facts(files, limits, "layout/text-occluded" in config.enabled())
+    found, resolved = classified(suppressed(findings(f, config, timings), config), baseline, f.files)
     found = keep(found, "classified")
-    return {"findings": found, "unused": unused(found, files, config), "resolved": resolved, "diagnostics": f.diagnostics, "skipped": skipped(f, config), "summary": summary(f, found, config, resolved), "facts": f}
+    return {"findings": found, "unused": unused(found, f.files, config), "resolved": resolved, "diagnostics": f.diagnostics, "skipped": skipped(f, config), "summary": summary(f, found, config, resolved), "facts": f}

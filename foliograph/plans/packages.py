@@ -225,6 +225,15 @@ def q_deck_incoming(spark, sf_dir):
     return rows.groupBy("input_key", "target_key").agg(F.count("*").alias("edges"), joined.alias("sources"))
 
 
+@query(f"""WITH d AS ({DECKS}) SELECT input_key, p AS part_name, CASE WHEN p = 'ppt/none.xml' OR (k = 8 AND p = 'ppt/./presentation.xml') OR (k = 9 AND p = '[CONTENT_TYPES].xml') THEN 'part-not-found' ELSE 'ok' END AS status
+    FROM d, (VALUES ('{SLIDE}'), ('ppt/./presentation.xml'), ('[CONTENT_TYPES].xml'), ('ppt/none.xml')) AS t(p)""")
+def q_deck_part_status(spark, sf_dir):
+    """Whether parts can be read, asked for by names in any case."""
+    f = known(spark, sf_dir)
+    names = F.array(*[F.lit(p) for p in (SLIDE, "ppt/./presentation.xml", "[CONTENT_TYPES].xml", "ppt/none.xml")])
+    return package.part_status(f.parts, f.files.select("input_key", F.explode(names).alias("part_name")))
+
+
 #: Packages of the kinds whose shapes cover, overlap, turn or inherit, under rules that are off by default too.
 PLACED = f"SELECT p_partkey AS n, p_size AS s, p_partkey % {len(fixtures.PLACED_KINDS)} AS k, 'decks/' || p_partkey || '.pptx' AS input_key FROM part"
 EVERY = {"extends": ["recommended"], "rules": {"layout/text-occluded": "error", "fonts/allowed": ["warning", {"families": ["arial "], "unresolved": "ignore"}]}}

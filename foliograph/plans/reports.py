@@ -62,7 +62,7 @@ def location() -> Column:
 
 
 def finding() -> Column:
-    return C.json_object(ruleId=C.json_text(F.col("rule_id")), severity=C.json_text(F.col("severity")), status=C.json_text(F.col("status")), message=C.json_text(F.col("message")), file=C.json_text(F.col("input_key")), location=location(), evidence=F.col("evidence"), fingerprint=C.json_text(F.col("fingerprint")))
+    return C.json_object(ruleId=C.json_text(F.col("rule_id")), severity=C.json_text(F.col("severity")), status=C.json_text(F.col("status")), message=C.json_text(F.col("message")), file=C.json_text(F.col("file")), location=location(), evidence=F.col("evidence"), fingerprint=C.json_text(F.col("fingerprint")))
 
 
 def _sorted_by_input(rows: DataFrame, value: Column, name: str, *order: str) -> DataFrame:
@@ -78,7 +78,8 @@ ORDER = ("rule_id", "part", "slide_number", "fingerprint")
 
 def documents(done: dict[str, DataFrame]) -> DataFrame:
     """input_key, document: the whole JSON report of each input of an inspection (see inspection.inspect)."""
-    found, f = done["findings"], done["facts"]
+    f = done["facts"]
+    found = done["findings"].join(f.files.select("input_key", "file"), "input_key")
     live, quiet = found.where("suppressed_by IS NULL"), found.where("suppressed_by IS NOT NULL")
     diagnostic = C.json_object(code=C.json_text(F.col("code")), message=C.json_text(F.col("message")), partName=C.json_text(F.col("part")), relationshipId=C.json_text(F.col("rel_id")))
     lists = [
@@ -88,7 +89,7 @@ def documents(done: dict[str, DataFrame]) -> DataFrame:
     ]
     if done["resolved"] is not None:
         lists.append(_sorted_by_input(done["resolved"], C.json_object(fingerprint=C.json_text(F.col("fingerprint"))), "resolvedFindings", "fingerprint"))
-    rows = f.files.where("input_key IS NOT NULL").select("input_key", "source_sha256").join(done["summary"].where("input_key IS NOT NULL"), "input_key")
+    rows = f.files.where("input_key IS NOT NULL").select("input_key", "file", "source_sha256").join(done["summary"].where("input_key IS NOT NULL"), "input_key")
     for df in lists:
         rows = rows.join(df.withColumnRenamed(df.columns[1], f"_{df.columns[1]}"), "input_key", "left")
     rows = rows if "_resolvedFindings" in rows.columns else rows.withColumn("_resolvedFindings", F.lit(None).cast("string"))
@@ -96,7 +97,7 @@ def documents(done: dict[str, DataFrame]) -> DataFrame:
     count = lambda e, w: C.json_object(errors=C.json_number(e), warnings=C.json_number(w), total=C.json_number(e + w))
     n = F.col
     tally = C.json_object(errors=C.json_number(n("errors")), warnings=C.json_number(n("warnings")), total=C.json_number(n("total")), new=count(n("new_errors"), n("new_warnings")), existing=C.json_number(n("existing")), resolved=C.json_number(n("resolved")), suppressed=C.json_number(n("suppressed")))
-    of = C.json_object(file=C.json_text(n("input_key")), inputKey=C.json_text(n("input_key")), sourceSha256=C.json_text(n("source_sha256")))
+    of = C.json_object(file=C.json_text(n("file")), inputKey=C.json_text(n("input_key")), sourceSha256=C.json_text(n("source_sha256")))
     return rows.select("input_key", C.json_object(schemaVersion=F.lit(str(REPORT_VERSION)), input=of, analysisComplete=n("complete").cast("string"), summary=tally, **held).alias("document"))
 
 
@@ -106,7 +107,8 @@ def _indented(value: object) -> str:
 
 def command_report(reports: Iterable[dict], config_hash: str, timings: dict[str, float] | None = None, peak: int | None = None) -> dict:
     """The report of a command from its inputs' documents, ordered by input key, source and file. Small: one command's packages."""
-    inputs = sorted(reports, key=lambda r: (r["input"]["inputKey"], r["input"]["sourceSha256"], r["input"]["file"]))
+    units = lambda s: s.encode("utf-16-be", "surrogatepass")
+    inputs = sorted(reports, key=lambda r: (units(r["input"]["inputKey"]), r["input"]["sourceSha256"], units(r["input"]["file"])))
     total: dict[str, object] = {}
     for r in inputs:
         for k, v in r["summary"].items():
@@ -123,23 +125,28 @@ def _named(place: dict) -> str:
     return " / ".join(parts) or (f"part {place['part']}" if "part" in place else "package")
 
 
+def sarif_input(r: dict, i: int) -> tuple[dict, list[dict]]:
+    """The artifact of an input's document, whose place is i, and a result for each of its findings that isn't suppressed."""
+    at = {k: n for n, k in enumerate(RULES)}
+    key = r["input"]["inputKey"]
+    where = {"uri": quote(key, safe="/!'()*~"), "uriBaseId": "%SRCROOT%", "index": i}
+    artifact = {"location": where, "roles": ["analysisTarget"], "mimeType": PACKAGE_TYPE, "hashes": {"sha-256": r["input"]["sourceSha256"]}, "properties": {"inputKey": key, "analysisComplete": r["analysisComplete"], "skippedRules": r["skippedRules"], "diagnostics": r["diagnostics"]}}
+    results = []
+    for f in r["findings"]:
+        place = f["location"]
+        whole = ";".join(f"{n}={','.join(map(str, v)) if isinstance(v, list) else v}" for n, v in place.items()) or "package"
+        kind = "element" if "slideNumber" in place else "module" if "part" in place else "resource"
+        logical = {"name": _named(place), "fullyQualifiedName": f"{key}#{whole}", "kind": kind, "properties": place}
+        results.append({"ruleId": f["ruleId"], "ruleIndex": at[f["ruleId"]], "kind": "fail", "level": f["severity"], "message": {"text": f["message"]}, "locations": [{"physicalLocation": {"artifactLocation": where}, "logicalLocations": [logical]}], "partialFingerprints": {"finding/v1": f["fingerprint"]}, "properties": {"status": f["status"], "evidence": f["evidence"]}})
+    return artifact, results
+
+
 def sarif(report: dict) -> dict:
-    """A SARIF 2.1.0 log: one run with all rules, an artifact for each input, a result for each finding that isn't suppressed."""
+    """A SARIF 2.1.0 log: one run with all rules, and the artifacts and results of the inputs."""
     rules = [{"id": k, "shortDescription": {"text": SHORT[k]}, "defaultConfiguration": {"enabled": v[0] != "off", "level": "none" if v[0] == "off" else v[0]}} for k, v in RULES.items()]
-    at = {k: i for i, k in enumerate(RULES)}
-    artifacts, results = [], []
-    for i, r in enumerate(report["inputs"]):
-        key = r["input"]["inputKey"]
-        where = {"uri": quote(key, safe="/!'()*~"), "uriBaseId": "%SRCROOT%", "index": i}
-        artifacts.append({"location": where, "roles": ["analysisTarget"], "mimeType": PACKAGE_TYPE, "hashes": {"sha-256": r["input"]["sourceSha256"]}, "properties": {"inputKey": key, "analysisComplete": r["analysisComplete"], "skippedRules": r["skippedRules"], "diagnostics": r["diagnostics"]}})
-        for f in r["findings"]:
-            place = f["location"]
-            whole = ";".join(f"{n}={','.join(map(str, v)) if isinstance(v, list) else v}" for n, v in place.items()) or "package"
-            kind = "element" if "slideNumber" in place else "module" if "part" in place else "resource"
-            logical = {"name": _named(place), "fullyQualifiedName": f"{key}#{whole}", "kind": kind, "properties": place}
-            results.append({"ruleId": f["ruleId"], "ruleIndex": at[f["ruleId"]], "kind": "fail", "level": f["severity"], "message": {"text": f["message"]}, "locations": [{"physicalLocation": {"artifactLocation": where}, "logicalLocations": [logical]}], "partialFingerprints": {"finding/v1": f["fingerprint"]}, "properties": {"status": f["status"], "evidence": f["evidence"]}})
+    each = [sarif_input(r, i) for i, r in enumerate(report["inputs"])]
     properties = {k: report[k] for k in ("schemaVersion", "configHash", "analysisComplete", "summary", "timingsMs")}
-    return {"version": "2.1.0", "$schema": SARIF_SCHEMA, "runs": [{"tool": {"driver": {"name": "foliograph", "rules": rules}}, "artifacts": artifacts, "results": results, "properties": properties}]}
+    return {"version": "2.1.0", "$schema": SARIF_SCHEMA, "runs": [{"tool": {"driver": {"name": "foliograph", "rules": rules}}, "artifacts": [a for a, _ in each], "results": [x for _, own in each for x in own], "properties": properties}]}
 
 
 def stylish(report: dict) -> str:
@@ -234,3 +241,19 @@ def write_whole(path: str, text: str, inputs: list[str]) -> None:
 def baseline(found: DataFrame) -> DataFrame:
     """What a later run compares with: the fingerprints of findings that aren't suppressed, of any status."""
     return found.where("suppressed_by IS NULL").select("input_key", "fingerprint", "rule_id", "part").distinct()
+
+
+#: Buckets of a baseline's table.
+BUCKETS = 64
+
+
+def save_baseline(found: DataFrame, files: DataFrame, table: str, buckets: int = BUCKETS) -> None:
+    """The baseline as a table in buckets by input and fingerprint: a later run compares with it where it lies (see inspection.classified).
+
+    files: input_key, source_sha256. BaselineError where two files of different content have one key.
+    """
+    twice = files.groupBy("input_key").agg(F.count_distinct("source_sha256").alias("n")).where("n > 1 AND input_key IS NOT NULL").first()
+    if twice:
+        raise BaselineError(f"two files of different content have the key {twice.input_key}")
+    keys = ("input_key", "fingerprint")
+    baseline(found).repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").mode("overwrite").saveAsTable(table)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +25,9 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, *steps: Callable[[], Any]) -> list[Any]:
+    """What the steps return; they are planned and run beside each other, so that short jobs don't wait for one another."""
+    with ThreadPoolExecutor(min(8, max(1, len(steps)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]

@@ -209,7 +209,8 @@ def _parsed(digest: str, body: bytes) -> dict:
 def part_store(found: DataFrame) -> DataFrame:
     """PARSED of the distinct parts of all packages: equal ones (masters, layouts, themes) are parsed once. found: rid, digest, content.
 
-    Digests and row numbers shuffle to choose a row of each part; only the chosen rows' contents move.
+    Digests and row numbers are grouped to choose a row of each part. Where the chosen numbers are too many to be sent to
+    every task, contents move to meet them, once; parsing, which costs far more, is done for the chosen rows only.
     """
     chosen = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("rid"))
     bodies = found.select("rid", "digest", "content").join(chosen.select("rid"), "rid", "left_semi")
@@ -254,10 +255,17 @@ def cwd_key(path: str, cwd: str) -> str:
     return f"external/{hashlib.sha256(encoded.encode()).hexdigest()}/{encoded.rpartition('/')[2]}"
 
 
-def named(spark: SparkSession, inputs: dict[str, str]) -> DataFrame:
-    """Packages of the given local files, path to key: as scan gives them."""
+def shown_path(path: str, cwd: str) -> str:
+    """What reports call a file: its path from cwd, or its name where it is outside."""
+    relative = os.path.relpath(path, cwd).replace(os.sep, "/")
+    return os.path.basename(path) if relative.startswith("../") else relative
+
+
+def named(spark: SparkSession, inputs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Packages of the given local files, path to what reports call it and its key: as scan gives them."""
     ranged.register(spark)
-    keys = spark.createDataFrame([("file://" + quote(os.path.abspath(p)), key) for p, key in inputs.items()], "uri string, file string")
-    files = spark.read.format(ranged.NAME).option("paths", json.dumps([f"file://{quote(os.path.abspath(p))}" for p in inputs])).option("rows", "files").load()
+    uris = {p: "file://" + quote(os.path.abspath(p)) for p in inputs}
+    keys = spark.createDataFrame([(uris[p], file, key) for p, (file, key) in inputs.items()], "uri string, file string, key string")
+    files = spark.read.format(ranged.NAME).option("paths", json.dumps(sorted(uris.values()))).option("rows", "files").load()
     files = files.drop("file").join(F.broadcast(keys), "uri")
-    return files.select("file", "uri", "size", paths.input_key(F.col("file")).alias("input_key"), "source_sha256")
+    return files.select("file", "uri", "size", paths.input_key(F.col("key")).alias("input_key"), "source_sha256")

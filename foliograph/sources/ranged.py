@@ -37,13 +37,14 @@ ENTRIES = "file STRING, uri STRING, size LONG, zip_error STRING, idx INT, raw_na
 SPLIT, CHUNK, TOGETHER = 64 << 20, 8 << 20, 64
 
 
-def _located(uri: str) -> tuple[fs.FileSystem, str]:
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, and the path in it."""
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
 @contextlib.contextmanager
 def opened(uri: str) -> Iterator[zip_entries.Ranged]:
-    system, path = _located(uri)
+    system, path = located(uri)
     with system.open_input_file(path) as file:
         yield zip_entries.Ranged(file)
 
@@ -52,7 +53,7 @@ def listed(where: list[str]) -> list[tuple[str, str, int]]:
     """file, uri, size of the packages in folders and files; file is relative to the folder."""
     out = []
     for uri in where:
-        system, path = _located(uri)
+        system, path = located(uri)
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(uri)
@@ -116,7 +117,7 @@ class Reader(DataSourceReader):
                 yield from decks.batched(({"file": file, "uri": uri, "size": size, **r} for r in self._entries(decks, source, low, high)), self.schema)
 
     def _hashed(self, file: str, uri: str, size: int) -> dict:
-        system, path = _located(uri)
+        system, path = located(uri)
         digest = hashlib.sha256()
         with system.open_input_stream(path) as stream:
             while data := stream.read(CHUNK):

@@ -3,7 +3,7 @@
 import io
 import json
 
-from foliograph.plans import command, reports
+from foliograph.plans import command, config, reports
 from foliograph.sources import fixtures
 
 
@@ -19,7 +19,7 @@ def test_reports_and_baseline(spark, tmp_path, monkeypatch):
     code, text, err = ran(spark, tmp_path, "--format", "json", "--debug", "--write-baseline", "base.json", "deck.pptx")
     report = json.loads(text)
     one = report["inputs"][0]
-    assert (code, err) == (1, "") and report["summary"]["new"] == {"errors": 2, "warnings": 1, "total": 3} and report["timingsMs"]["analysis"] > 0 and report["peakRssBytes"] > 0
+    assert (code, err) == (1, "") and report["summary"]["new"] == {"errors": 2, "warnings": 1, "total": 3} and report["timingsMs"]["analysis"] >= report["timingsMs"]["context"] > 0 and {k for k in report["timingsMs"] if k.startswith("rule/")} == {f"rule/{r}" for r in config.resolve().enabled()} and report["peakRssBytes"] > 0
     assert [f["ruleId"] for f in one["findings"]] == ["layout/outside-slide", "text/autofit-scale-below-minimum", "text/min-font-size"] and one["input"]["inputKey"] == "deck.pptx"
     assert one["findings"][2]["location"] == {"part": "ppt/slides/slide1.xml", "slideNumber": 1, "slideId": "256", "shapeIds": [2], "paragraphIndex": 0, "runIndex": 0}
     base = json.loads((tmp_path / "base.json").read_text())
@@ -32,6 +32,18 @@ def test_reports_and_baseline(spark, tmp_path, monkeypatch):
     assert code == 0 and "Nothing new" in text and "2 existing, 1 resolved, 1 suppressed, 1 unused suppressions" in text and "unused suppression ignore[1] (fonts/allowed)" in text
 
 
+def test_names_of_files(spark, tmp_path):
+    """Reports name files as they are seen from the working directory, keys encode them; those outside have their name."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/50% a.pptx").write_bytes(fixtures.golden())
+    (tmp_path / "b.pptx").write_bytes(fixtures.golden())
+    code, text, _ = ran(spark, tmp_path / "in", "--format", "json", "50% a.pptx", "../b.pptx")
+    inputs = {x["input"]["file"]: x for x in json.loads(text)["inputs"]}
+    assert code == 1 and set(inputs) == {"50% a.pptx", "b.pptx"}
+    assert inputs["50% a.pptx"]["input"]["inputKey"] == "50%25 a.pptx" and inputs["b.pptx"]["input"]["inputKey"].startswith("external/") and inputs["b.pptx"]["input"]["inputKey"].endswith("/b.pptx")
+    assert {f["file"] for f in inputs["b.pptx"]["findings"]} == {"b.pptx"}
+
+
 def test_usage(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "deck.pptx").write_bytes(b"no zip")

@@ -110,3 +110,10 @@ def test_overlapping_entries():
     assert zip_entries.overlapping(found) == set()
     second = found[1].__class__(**{f: getattr(found[1], f) for f in found[1].__dataclass_fields__} | {"offset": found[0].offset + 10})
     assert zip_entries.overlapping([found[0], second, found[2]]) == {0, 1}
+
+
+def test_faults_of_names(spark):
+    raw = ["", "a\\b", "/a", "C:x", "../a", "a/../../b", "./", "a/..", "x\0y", "ok/./a"]
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(paths.name_fault(F.col("r")).alias("f"), paths.part_name(F.col("r")).alias("n")).collect()
+    assert [r.f for r in got] == ["empty-part-name", "backslash-in-part-name", "absolute-part-name", "absolute-part-name", "path-traversal", "path-traversal", "empty-part-name", "empty-part-name", "invalid-part-name", None]
+    assert [r.f is None for r in got] == [r.n is not None for r in got]
