@@ -32,9 +32,10 @@ def test_reports_and_baseline(spark, tmp_path, monkeypatch):
     assert code == 0 and "Nothing new" in text and "2 existing, 1 resolved, 1 suppressed, 1 unused suppressions" in text and "unused suppression ignore[1] (fonts/allowed)" in text
 
 
-def test_names_of_files(spark, tmp_path):
+def test_names_of_files(spark, tmp_path, monkeypatch):
     """Reports name files as they are seen from the working directory, keys encode them; those outside have their name."""
     (tmp_path / "in").mkdir()
+    monkeypatch.chdir(tmp_path / "in")
     (tmp_path / "in/50% a.pptx").write_bytes(fixtures.golden())
     (tmp_path / "b.pptx").write_bytes(fixtures.golden())
     code, text, _ = ran(spark, tmp_path / "in", "--format", "json", "50% a.pptx", "../b.pptx")
