@@ -16,7 +16,7 @@ shingle by shingle, so no pair is lost or told by an estimate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,13 @@ SAMPLE = 20_000
 #: Shingles that are hashed at a time; bounds memory on very long texts.
 CHUNK = 1 << 16
 BANDS = 5
-#: Texts that tell about which shingles are common, and common shingles at most; a shingle is in few heads if in so many.
-SHINGLED, COMMON, FEW = 8_000, 1 << 18, 8
+#: Texts that tell about which shingles are common, or every so manieth one if that is more, and common shingles at most;
+#: a shingle is in few heads if in so many.
+SHINGLED, EVERY, COMMON, FEW = 8_000, 8, 1 << 18, 8
+#: Differing bits that link two SimHash fingerprints of similar texts.
+LINK = 4
+#: Sets of a shingle of many that those of other classes are compared with, turn by turn, before the rest meets all.
+HUBS = (2, 16)
 #: Texts that are looked up in a broadcast at most; more meet theirs in a shuffle.
 LOOKED_UP = 500_000
 #: Texts whose shingles a worker holds at a time.
@@ -64,8 +69,13 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, width: int) -> int:
     """Bit i is 1 if it is 1 in over half the hashes; zero for a text without words."""
+    return simhash_of(shingle_hashes(text, width))
+
+
+def simhash_of(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in blocks, as a signed number."""
     total, ones = 0, np.zeros(64, np.int64)
-    for hashes in shingle_hashes(text, width):
+    for hashes in blocks:
         total += len(hashes)
         ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > total, bitorder="little")
@@ -275,14 +285,14 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def _common(texts: DataFrame, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that some of about SHINGLED texts share, sorted, and in how many of these. They only set the order of shingles."""
+    """Shingle hashes that some of about SHINGLED texts share, or of every EVERYth one, sorted, and in how many of these. They only set the order of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width).view(np.int64))], ["token"])
 
-    some = texts.where(F.pmod("at", F.lit(max(1, rows // SHINGLED))) == 0).dropDuplicates(["at"])
+    some = texts.where(F.pmod("at", F.lit(min(EVERY, max(1, rows // SHINGLED)))) == 0).dropDuplicates(["at"])
     tokens = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     got = tokens.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     token, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
@@ -310,13 +320,13 @@ def parity(own: np.ndarray) -> np.ndarray:
 
 
 def _prints(texts: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, at, fp (hash of the shingle set), n (its size), head, counts (its hashes by their top byte, up to 255), parity (of its hashes by their low bits) of each row of texts (doc_id, at, text)."""
+    """doc_id, at, fp (hash of the shingle set), n (its size), head, counts (its hashes by their top byte, up to 255), parity (of its hashes by their low bits), sim (their SimHash) of each row of texts (doc_id, at, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
-                fps, sizes, heads, counts, parities = [], [], [], [], []
+                fps, sizes, heads, counts, parities, sims = [], [], [], [], [], []
                 for x in part.column(2):
                     own = shingle_set(x.as_py(), width)
                     fps.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
@@ -324,9 +334,10 @@ def _prints(texts: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray])
                     heads.append(head(own, common).view(np.int64))
                     counts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                     parities.append(parity(own))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads), pa.array(counts, pa.binary()), _lists(parities)], ["doc_id", "at", "fp", "n", "head", "counts", "parity"])
+                    sims.append(simhash_of(own[i : i + CHUNK] for i in range(0, len(own), CHUNK)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads), pa.array(counts, pa.binary()), _lists(parities), pa.array(sims, pa.int64())], ["doc_id", "at", "fp", "n", "head", "counts", "parity", "sim"])
 
-    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head array<long>, counts binary, parity array<long>")
+    return texts.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, fp long, n long, head array<long>, counts binary, parity array<long>, sim long")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -389,26 +400,53 @@ def _verified(pairs: DataFrame, fps: DataFrame, texts: DataFrame, width: int) ->
     return materialize(shared.where("5 * both >= 4 * (n - both)").select("u", "v"), "verified")
 
 
+def _simhash_pairs(fps: DataFrame) -> DataFrame:
+    """u, v: sets (fp, sim) whose SimHash fingerprints are linked, by vantage-point trees: a spanning forest of all links of LINK or fewer bits."""
+    sims = materialize(fps.groupBy("sim").agg(F.min("fp").alias("own")), "sims")
+    links = linked(sims.select(F.col("sim").alias("fp")), sims.count(), LINK)
+    ends = [sims.select(F.col("sim").alias(c), F.col("own").alias(own)) for c, own in (("u", "a"), ("v", "b"))]
+    apart = links.join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    same = fps.join(sims, "sim").where("fp <> own").select("fp", "own")
+    return apart.union(same).toDF("a", "b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def _hub_pairs(many: DataFrame, turn: int) -> DataFrame:
+    """u, v: each set of many (token, fp, n, parity, root) with some of its shingle's sets, drawn for each shingle and turn, that are of another class and whose parities allow it."""
+    set_ = F.struct("fp", "n", "parity", "root")
+    hubs = many.groupBy("token").agg(F.array(*[F.min_by(set_, F.xxhash64("fp", "token", F.lit(100 * turn + i))) for i in range(HUBS[turn])]).alias("hubs"))
+    apart = " + ".join(f"bit_count(parity[{i}] ^ h.parity[{i}])" for i in range(PARITY_WORDS))
+    own = f"filter(hubs, h -> h.root <> root AND 5 * least(n, h.n) >= 4 * greatest(n, h.n) AND 9 * ({apart}) <= n + h.n)"
+    met = many.join(hubs, "token").select("fp", F.explode(F.expr(own)["fp"]).alias("hub"))
+    return met.select(F.least("fp", "hub").alias("u"), F.greatest("fp", "hub").alias("v")).distinct()
+
+
+def _open(many: DataFrame, edges: DataFrame) -> DataFrame:
+    """many with root, by the edges, and main, the shingle's largest class: the rows of shingles whose sets are in more than one class."""
+    roots = materialize(classes(edges), "roots").withColumnRenamed("node", "fp")
+    many = materialize(many.drop("root", "kinds", "main").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "many")
+    sizes = many.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "root"))["root"].alias("main"))
+    return materialize(many.join(sizes.where("kinds > 1"), "token"), "open")
+
+
 def _similar_edges(fps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """u, v: edges between sets (fp, n, at, head) whose classes are those of all pairs of a similarity of 0.8 or more.
+    """u, v: edges between sets (fp, n, at, head, sim, parity) whose classes are those of all pairs of a similarity of 0.8 or more.
 
-    Sets that share a shingle of their heads are compared. Of a shingle that over FEW of them share, each is first compared
-    with two of them; then those outside the shingle's largest class with all that aren't in their own class and whose parities
-    allow it. No pair is left off that isn't in one class already or that can be so alike.
+    Sets whose SimHash fingerprints the vantage-point trees link are compared, and so are those that share a shingle of their
+    heads. Of a shingle that over FEW of them share, each is compared with some drawn ones of other classes, turn by turn (HUBS); then
+    those outside the shingle's largest class with all that aren't in their own class and whose parities allow it. No pair is
+    left off that isn't in one class already or that can be so alike.
     """
     shared = _shared(fps)
     few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
+    many = materialize(many.join(fps.select("fp", "parity"), "fp"), "many")
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.token = y.token AND " + MAY)).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
-    ends = many.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    star = many.join(ends, "token").select(F.col("fp").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
-    edges = _verified(pairs.union(star.select(F.least("u", "v"), F.greatest("u", "v"))), fps, texts, width)
-    roots = materialize(classes(edges), "roots").withColumnRenamed("node", "fp")
-    many = many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(fps.select("fp", "parity"), "fp")
-    many = materialize(many, "many")
-    sizes = many.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "root"))["root"].alias("main"))
-    many = materialize(many.join(sizes.where("kinds > 1"), "token"), "open")
-    if many.isEmpty():
-        return edges
+    edges = _verified(pairs.union(_simhash_pairs(fps)), fps, texts, width)
+    for turn in range(len(HUBS)):
+        many = _open(many, edges)
+        if many.isEmpty():
+            return edges
+        edges = edges.union(_verified(_hub_pairs(many, turn), fps, texts, width))
+    many = _open(many, edges)
     other = many.where("root <> main")
     unlike = f"x.token = y.token AND x.root <> y.root AND {MAY} AND {NEAR}"
     pairs = other.alias("x").join(many.alias("y"), F.expr(unlike)).select("x.fp", "y.fp")
@@ -430,14 +468,14 @@ def _similar(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("at"))
     prints = materialize(_prints(texts, width, _common(texts, width, docs.count())), "prints")
     fps = materialize(_distinct(prints), "fps")
-    return _components(prints.drop("n", "head", "counts", "parity"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
+    return _components(prints.drop("n", "head", "counts", "parity", "sim"), fps, _similar_edges(fps, texts.drop("doc_id"), width))
 
 
 def _distinct(prints: DataFrame) -> DataFrame:
-    """fp, first (the smallest doc_id), at, n, head, counts, parity of each set. Sets of one row pass a Bloom filter and don't move."""
+    """fp, first (the smallest doc_id), at, n, head, counts, parity, sim of each set. Sets of one row pass a Bloom filter and don't move."""
     often = repeated(prints, "fp")
     each = tested(prints.withColumn("first", F.col("doc_id")), "fp", *filter_of(often, "fp", often.count()))
-    rest = ["at", "n", "head", "counts", "parity"]
+    rest = ["at", "n", "head", "counts", "parity", "sim"]
     alone = each.where("NOT _maybe").select("fp", "first", *rest)
     return alone.unionByName(each.where("_maybe").groupBy("fp").agg(F.min("first").alias("first"), F.min("at").alias("at"), *[F.first(c).alias(c) for c in rest[1:]]))
 

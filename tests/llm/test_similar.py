@@ -88,3 +88,45 @@ def test_parities_bound_what_differs():
         apart = len(np.setxor1d(a, b))
         flipped = np.bitwise_count((simhash.parity(np.unique(a)) ^ simhash.parity(np.unique(b))).view(np.uint64)).sum()
         assert flipped <= apart and (n > 100 or flipped >= apart // 2)
+
+
+def spied(monkeypatch, name, told):
+    real = getattr(simhash, name)
+
+    def spy(*args):
+        told.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(simhash, name, spy)
+
+
+def test_simhash_trees_find_pairs(spark, monkeypatch):
+    """Pairs that the vantage-point trees link are compared, whatever shingles of their heads others share."""
+    trees, compared = [], []
+    spied(monkeypatch, "linked", trees)
+    spied(monkeypatch, "_verified", compared)
+    rng = np.random.default_rng(6)
+    base = [f"s{x}" for x in rng.integers(0, 9000, 900)]
+    texts = [" ".join(base), " ".join(edited(rng, base, [400])), *(" ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 30)) for _ in range(9))]
+    assert told(spark, texts) == [0, 0, *range(2, 11)]
+    fps = trees[0][0]
+    assert len(trees) == 1 and trees[0][2] == simhash.LINK and fps.count() == len(texts)
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    assert {r.fp for r in fps.collect()} == {simhash.simhash_of([s]) for s in sets}
+    one, two = (simhash.simhash_of([s]) & ((1 << 64) - 1) for s in sets[:2])
+    assert (one ^ two).bit_count() <= simhash.LINK
+    pairs = simhash._simhash_pairs(compared[0][1])
+    u, v = sorted(int(np.uint64(simhash.xxhash.xxh64_intdigest(s.tobytes(), 42)).astype(np.int64)) for s in sets[:2])
+    assert {tuple(r) for r in pairs.collect()} == {(u, v)}
+
+
+def test_group_near_the_limit_meets_few_pairs(spark, monkeypatch):
+    """Copies of one text, on either side of the limit from one another, become one class before all that are left meet."""
+    compared = []
+    spied(monkeypatch, "_verified", compared)
+    rng = np.random.default_rng(9)
+    base = [f"b{x}" for x in rng.integers(0, 9000, 150)]
+    texts = [" ".join(edited(rng, base, rng.choice(150, rng.integers(2, 5), replace=False))) for _ in range(260)]
+    assert told(spark, texts) == classes(texts)
+    met = [args[0].count() for args in compared]
+    assert sum(met) < 10 * len(texts)
