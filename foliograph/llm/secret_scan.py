@@ -2,7 +2,7 @@
 
 The patterns' findings always stay. Every other run of characters that could be a secret is a candidate; the network reads
 it with the characters around it, in windows, and adds it if its calibrated chance passes a threshold. The network is
-trained on labelled findings: those of the patterns, as they stand and in other surroundings, against candidates that no
+trained on all labelled findings, by many tasks whose networks are averaged: those of the patterns, as they stand and in other surroundings, against candidates that no
 pattern fits. Chances are calibrated, and the threshold is chosen, on findings that it wasn't trained on: of those that find
 RECALL of each kind of them one with the fewest false findings, in the middle of their range.
 """
@@ -16,11 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import drop_tables, materialize, smallest
+from foliograph.llm.common import drop_tables, materialize
 
 #: The patterns of the kinds, in their order, the group that must have so many characters, and that number.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,8 +33,11 @@ ADDED = "learned"
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 #: Characters around a candidate that are read, and of a candidate in one window; longer ones have windows WIDE - OVER apart.
 AROUND, WIDE, OVER = 24, 48, 16
-#: Findings of either label that the network is trained on at most, those of smallest hash.
-SAMPLE = 3_000
+#: Findings that one task trains a network on, those of a label in each task at least (they repeat, if there are too few), and
+#: how often the tasks' networks are averaged.
+GROUP, LEAST, ROUNDS = 6_000, 500, 3
+#: Logits are told apart by so much.
+STEP = 1 / 1024
 RECALL = 0.98
 #: A quarter of the findings calibrates, by the hash of its window.
 CALIBRATES = 4
@@ -133,15 +137,18 @@ class Network:
 
     def logits(self, rows: list[str]) -> np.ndarray:
         parts = [self.forward(codes(rows[at : at + 256]))[0] for at in range(0, len(rows), 256)]
-        return np.concatenate(parts).astype(float) if parts else np.zeros(0)
+        return np.round(np.concatenate(parts).astype(float) / STEP) * STEP if parts else np.zeros(0)
 
     def chances(self, rows: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(rows) + self.shift, -30, 30)))
+        return self.chance(self.logits(rows))
 
+    def chance(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -30, 30)))
 
-def train(rows: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 3e-3, seed: int = 7) -> Network:
-    """Adam on logistic loss; either label has the same weight in all."""
-    rng, net = np.random.default_rng(seed), Network.new(seed)
+
+def train(rows: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 3e-3, seed: int = 7, net: Network | None = None) -> Network:
+    """Adam on logistic loss, from net if there is one; either label has the same weight in all."""
+    rng, net = np.random.default_rng(seed), net or Network.new(seed)
     first, second = ({n: np.zeros(v.shape) for n, v in net.p.items()} for _ in range(2))
     weight = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     x, step = codes(rows), 0
@@ -159,29 +166,30 @@ def train(rows: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 3
     return net
 
 
-def calibrated(net: Network, rows: list[str], labels: np.ndarray, kinds: np.ndarray) -> Network:
-    """Slope and shift of the logits by Newton's method on smoothed labels, and the threshold: RECALL of each kind binds it, false findings tell how high it need be."""
-    z = net.logits(rows)
-    ones, zeros = labels.sum(), len(labels) - labels.sum()
+def calibrated(net: Network, z: np.ndarray, labels: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> Network:
+    """Slope and shift of logits that occur n times by Newton's method on smoothed labels, and the threshold: RECALL of each kind binds it, false findings tell how high it need be."""
+    ones, zeros = n[labels > 0].sum(), n[labels == 0].sum()
     want = np.where(labels > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     design, at = np.stack((z, np.ones(len(z))), axis=1), np.array([1.0, 0.0])
 
     def loss(w: np.ndarray) -> float:
         m = design @ w
-        return float((np.logaddexp(0, m) - want * m).sum())
+        return float((n * (np.logaddexp(0, m) - want * m)).sum())
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), design.T @ (p - want))
+        step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-6 * np.eye(2), design.T @ (n * (p - want)))
         size = 1.0
         while size > 1e-6 and loss(at - size * step) > loss(at):
             size /= 2
         at = at - size * step
     net.slope, net.shift = max(1e-3, float(at[0])), float(at[1])
-    chance, least = net.chances(rows), []
+    chance, least = net.chance(z), []
     for kind in np.unique(kinds[labels > 0]):
-        own = np.sort(chance[(labels > 0) & (kinds == kind)])
-        least.append(own[int(np.floor((1 - RECALL) * len(own)))])
+        own = np.flatnonzero((labels > 0) & (kinds == kind))
+        own = own[np.argsort(chance[own])]
+        upto = np.cumsum(n[own])
+        least.append(chance[own[np.searchsorted(upto, np.floor((1 - RECALL) * upto[-1]), side="right")]])
     below = chance[(labels == 0) & (chance < min(least))]
     net.threshold = max(0.5, (min(least) + below.max(initial=0)) / 2)
     return net
@@ -239,7 +247,9 @@ def fit(found: list[tuple[str, int]], seed: int = 7) -> Network | None:
         if not good or not bad:
             return None
         parts.append(shown(good, bad, seed + fold))
-    return calibrated(train(*parts[0][:2], seed=seed), *parts[1])
+    net = train(*parts[0][:2], seed=seed)
+    rows, labels, kinds = parts[1]
+    return calibrated(net, net.logits(rows), labels, kinds, np.ones(len(rows)))
 
 
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -271,13 +281,102 @@ def labelled(found: DataFrame) -> DataFrame:
 
 
 def learn(found: DataFrame) -> Network | None:
-    """A network of at most SAMPLE findings and SAMPLE other candidates, those of smallest hash."""
+    """A network of all findings and other candidates (row, kind). Those of one task are fitted where they are read together, more by many tasks."""
     found = materialize(found.distinct(), "findings")
-    counts = {r[0]: r[1] for r in found.groupBy(F.col("kind") >= 0).agg(F.count("*")).collect()}
-    halves = [smallest(found.where(f"(kind >= 0) = {v}"), F.xxhash64("row"), SAMPLE, counts.get(v, 0), "row", "kind") for v in (True, False)]
-    got = halves[0].unionByName(halves[1]).toArrow().to_pydict()
+    count = found.count()
+    if count <= GROUP:
+        got = found.toArrow().to_pydict()
+        net = fit(list(zip(got["row"], got["kind"], strict=True)))
+    else:
+        net = fit_apart(found)
     drop_tables(found)
-    return fit(list(zip(got["row"], got["kind"], strict=True)))
+    return net
+
+
+def dealt(found: DataFrame) -> DataFrame | None:
+    """found with group: about GROUP rows each, and of either label LEAST or all there are; a label's rows repeat if they are too few. None without both labels."""
+    counts = {r[0]: r[1] for r in found.groupBy(F.col("kind") >= 0).agg(F.count("*")).collect()}
+    if len(counts) < 2:
+        return None
+    groups = -(-sum(counts.values()) // GROUP)
+    copies = {v: min(groups, -(-groups * LEAST // n)) for v, n in counts.items()}
+    first = F.pmod(F.xxhash64("row"), F.lit(groups))
+    many = F.when(F.col("kind") >= 0, copies[True]).otherwise(copies[False])
+    return found.withColumn("group", F.explode(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.pmod(first + i, F.lit(groups)))))
+
+
+def _each(groups: DataFrame) -> GroupedData:
+    """Its groups, in as many partitions: their work is long and their rows few, so Spark must not put them together."""
+    return groups.repartition((groups.agg(F.max("group")).first()[0] or 0) + 1, "group").groupBy("group")
+
+
+def _halved(pdf: pd.DataFrame) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    own = sorted(zip(pdf["row"], pdf["kind"].tolist(), strict=True))
+    return [f for f in own if f[1] >= 0], [f for f in own if f[1] < 0]
+
+
+def train_apart(found: DataFrame, epochs: int, seed: int) -> Network | None:
+    """A network of all rows of found: each group trains the last average further, and the groups' networks are averaged, ROUNDS times."""
+    groups, net = dealt(found), Network.new(seed)
+    if groups is None:
+        return None
+    groups = materialize(groups, "dealt")
+    for turn in range(ROUNDS):
+        start = pickle.dumps(net)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: B023
+            good, bad = _halved(pdf)
+            own: Network = pickle.loads(start)
+            if good and bad:
+                own = train(*shown(good, bad, seed + turn)[:2], epochs=epochs // ROUNDS, seed=seed + turn, net=own)
+            flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(float)
+            return pd.DataFrame({"at": np.arange(len(flat)), "v": np.round(flat * (1 << 30)).astype(np.int64)})
+
+        sums = _each(groups).applyInPandas(run, "at int, v long").groupBy("at").agg(F.sum("v").alias("v"), F.count("*").alias("n")).toPandas().sort_values("at")
+        flat, at = (sums["v"] / sums["n"] / (1 << 30)).to_numpy(np.float32), 0
+        for name, v in net.p.items():
+            net.p[name] = flat[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+    drop_tables(groups)
+    return net
+
+
+def fit_apart(found: DataFrame, seed: int = 7) -> Network | None:
+    """As fit, of any number of distinct windows: every one trains or calibrates."""
+    digest = F.sha2("row", 256)
+    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
+    found = found.withColumn("later", byte(0) % CALIBRATES == 0).withColumn("half", byte(1) % 2)
+    now, good = found.where("NOT later").select("row", "kind", "half"), found.where("NOT later AND kind >= 0").select("row", "kind")
+    kept = []
+    for half in (0, 1):
+        net, rest = train_apart(now.where(f"half = {half}").select("row", "kind"), 6, seed), now.where(f"half <> {half} AND kind < 0").select("row", "kind")
+        kept.append(rest if net is None else _unlike(rest, net))
+    net = train_apart(good.union(kept[0]).union(kept[1]), 12, seed)
+    groups = dealt(found.where("later").select("row", "kind"))
+    if net is None or groups is None:
+        return None
+    packed = pickle.dumps(net)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        good, bad = _halved(pdf)
+        if not good or not bad:
+            return pd.DataFrame({"z": [], "label": [], "kind": []}, dtype="int64")
+        rows, labels, kinds = shown(good, bad, seed + 1)
+        return pd.DataFrame({"z": np.round(pickle.loads(packed).logits(rows) / STEP).astype(np.int64), "label": labels.astype(int), "kind": kinds})
+
+    held = _each(groups).applyInPandas(run, "z long, label int, kind int").groupBy("z", "label", "kind").agg(F.count("*").alias("n")).toPandas().sort_values(["z", "label", "kind"])
+    return calibrated(net, held["z"].to_numpy() * STEP, held["label"].to_numpy(), held["kind"].to_numpy(), held["n"].to_numpy(float))
+
+
+def _unlike(rows: DataFrame, net: Network) -> DataFrame:
+    """The rows that net doesn't take for secrets."""
+    packed = pickle.dumps(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(pickle.loads(packed).chances(batch.column(0).to_pylist()) < 0.5))
+
+    return rows.mapInArrow(run, "row string, kind int")
 
 
 def judged(found: DataFrame, net: Network | None) -> DataFrame:

@@ -110,3 +110,23 @@ def test_empty_and_redacted(spark, no_docs, docs):
     frame = spark.createDataFrame([(1, 'a token = "abcdefghij" b'), (2, "nothing"), (3, None), (4, "token=" + "0f" * 20)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in ss.redact(frame, ss.scan(frame)).collect()}
     assert got == {1: 'a [secret]" b', 2: "nothing", 3: None, 4: "[secret]"}
+
+
+def test_every_finding_trains(spark, corpus, monkeypatch):
+    """More findings than one task takes are dealt to groups; none is left off, and the network still tells secrets."""
+    found = []
+    for _, t in corpus:
+        spans = ss.base_spans(t)
+        found += [(ss.windows(t, *ss.secret_of(t, s, k))[0], k) for s, k, _ in spans]
+        found += [(ss.windows(t, a, b)[0], -1) for a, b in ss.other_candidates(t, spans)]
+    monkeypatch.setattr(ss, "GROUP", 250)
+    monkeypatch.setattr(ss, "LEAST", 80)
+    frame = spark.createDataFrame(found, "row string, kind int")
+    groups = ss.dealt(frame.distinct()).collect()
+    assert {(r.row, r.kind) for r in groups} == set(found) and len({r.group for r in groups}) == -(-len(set(found)) // 250)
+    assert all(sum((r.kind >= 0) == v for r in groups if r.group == g) for g in {r.group for r in groups} for v in (True, False))
+    net = ss.learn(frame)
+    fresh = [ss.windows(f"xx {drawn(40)} yy", 3, 43)[0] for _ in range(200)]
+    assert net.threshold >= 0.5 and (net.chances(fresh) >= net.threshold).mean() > 0.8
+    assert (net.chances([w for w, k in found if k < 0]) >= net.threshold).mean() < 0.1
+    assert ss.learn(frame.where("kind < 0")) is None
