@@ -34,7 +34,8 @@ class WordIds:
 
     Words are what stands between spaces and line ends. A plain word, letters of Latin-1 and then punctuation, has the ids
     of its lower-cased letters and those of its punctuation, so only these are looked up; other words are encoded as they
-    are. Unknown ones go to the tokenizer many at a time, parted by one of its special tokens, which no word here holds.
+    are. Unknown ones go to the tokenizer many at a time, parted by one of its special tokens, which no word here holds;
+    letters of ASCII go to its model alone, if its normalizer and its splits leave them as they are.
     """
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()]*)")
@@ -45,6 +46,9 @@ class WordIds:
         self.part, self.parter = special[0] if special else (None, "")
         self.marks = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.seen: dict[str, bytes] = {"": b""}
+        small, steps = "abcdefghijklmnopqrstuvwxyz", (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        kept = (steps[0] is None or steps[0].normalize_str(small) == small) and steps[1] is not None and [w for w, _ in steps[1].pre_tokenize_str(small)] == [small]
+        self.tokenize = self.tokenizer.model.tokenize if kept and not self.marks.search(small) else None
 
     def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         alone = [w for w in words if self.part is None or self.marks.search(w)]
@@ -59,14 +63,21 @@ class WordIds:
                 yield word, body[start:stop]
 
     def _learn(self, words: set[str]) -> None:
-        seen, plain, other = self.seen, [], []
+        seen, plain, other, tokenize, match = self.seen, [], [], self.tokenize, self.PLAIN.fullmatch
         for word in words:
-            m = len(word) <= LONG and self.PLAIN.fullmatch(word)
-            if m:
-                plain.append((word, m[1].lower(), m[2]))
-            else:
+            m = match(word) if len(word) <= LONG else None
+            if m is None:
                 other.append(word)
-        parts = {x for _, a, b in plain for x in (a, b)}.difference(seen)  # letters and punctuation are words themselves
+                continue
+            letters, marks = m.groups()
+            letters = letters.lower()
+            if letters not in seen and tokenize and letters.isascii():  # letters and punctuation are words themselves
+                seen[letters] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            if letters in seen and marks in seen:
+                seen[word] = seen[letters] + seen[marks]
+            else:
+                plain.append((word, letters, marks))
+        parts = {x for _, a, b in plain for x in (a, b)}.difference(seen)
         seen.update(self._encoded([*parts, *other]))
         seen.update((word, seen[a] + seen[b]) for word, a, b in plain if word not in parts)
 

@@ -77,3 +77,14 @@ def test_one_length_holds_all(spark):
     cut = spark.range(9000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "700L AS length", "id AS ids_crc32")
     rows = packing.pack(cut).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 9000 and len({r.sequence_id for r in rows}) == 4500
+
+
+def test_letters_go_to_the_model():
+    """Unknown letters of ASCII are encoded by the model alone, to the same ids."""
+    rng, coder = random.Random(3), packing.WordIds(PATH)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuwyABC", k=rng.randint(1, 30))) + rng.choice(["", ".", ",)", "é"]) for _ in range(3000)]
+    sent = []
+    real, coder._encoded = coder._encoded, lambda words: (sent.extend(words), real(words))[1]
+    want = [np.array(TOKENIZER.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert coder.encode(words) == want
+    assert not any(w.isascii() and w.isalpha() for w in sent)
