@@ -1,8 +1,13 @@
 """Steps over many packages: what moves, and what must not pass through the driver."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from foliograph.plans import work
+from foliograph.sources import decks
+from foliograph.sources.fixtures import package, text_shape, zipped
 
 
 def test_large_steps_are_not_broadcast(spark):
@@ -14,3 +19,23 @@ def test_large_steps_are_not_broadcast(spark):
     assert "Broadcast" not in kept.join(slim, "input_key")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in kept.join(F.broadcast(few), "input_key")._jdf.queryExecution().executedPlan().toString()
     assert kept.join(slim, "input_key").count() == work.MOST + 1 and kept.join(few, "input_key", "left_semi").count() == work.MOST + 1
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver gets neither the files' names nor a task for every few of them."""
+    data = zipped(package(text_shape(2, "Body", (0, 0, 3000000, 1000000))))
+    names = [f"decks/{i % 3}/deep/{i}.pptx" for i in range(398)] + ["top.PPTX", "decks/a b%.pptx"]
+    for i, name in enumerate(names):
+        at = tmp_path / f"part{i % 2}" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(data)
+    (tmp_path / "part0/notes.txt").write_bytes(data)
+    files = decks.scan(spark, str(tmp_path / "part0"), f"file://{tmp_path}/part1")
+    assert "presentation_packages" not in files._jdf.queryExecution().executedPlan().toString()
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = files.collect()
+    assert sorted(r.file for r in rows) == sorted(names) and {r.source_sha256 for r in rows} == {hashlib.sha256(data).hexdigest()} and {r.size for r in rows} == {len(data)}
+    assert [r.file for r in decks.scan(spark, str(tmp_path / "part0/top.PPTX")).collect()] == ["top.PPTX"]
+    assert decks.named_entries(files)[0].count() == 400 * 11
+    with pytest.raises(FileNotFoundError):
+        decks.scan(spark, str(tmp_path / "none"))
